@@ -1,0 +1,168 @@
+"""Frequency of every distinct index and value of a sparse data set.
+
+Vertical layout: each term has a bitmap of the records that hold it, gap-coded (the sorted
+identifiers as differences, compressed), and beside it a counter of its occurrences. Every task
+builds the bitmaps of its own records, cut into slots of record identifiers; bitmaps of one slot
+are merged by union, so a record that was sent again counts once. Slots hold disjoint identifiers:
+a term's document frequency is the sum of the cardinalities of its bitmaps over the slots. No slot
+grows with a frequent term or a record repeated many times, as both are merged before the shuffle.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from grovelight.sources.tables import cut
+
+KINDS = ("idx", "val", "all")  # all: one term that every record holds, for the number of records
+BLOCKS = pa.schema([("slot", pa.int64()), ("kind", pa.int32()), ("terms", pa.binary()), ("ids", pa.binary()), ("times", pa.binary())])
+BLOCKS_DDL = "slot bigint, kind int, terms binary, ids binary, times binary"
+COUNTS = pa.schema([("kind", pa.string()), ("term", pa.int64()), ("docs", pa.int64()), ("occurrences", pa.int64())])
+COUNTS_DDL = "kind string, term bigint, docs bigint, occurrences bigint"
+FLUSH = 3_000_000  # postings that a task holds before it writes their bitmaps out
+
+
+def exploded(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row number, value and validity of each element of a list column; a NULL list has none."""
+    lens = col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = col.flatten()
+    return np.repeat(np.arange(len(col)), lens), flat.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(flat.is_valid())
+
+
+def postings(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Kind, terms and record identifiers of a batch."""
+    ids = batch.column(0).to_numpy(zero_copy_only=False)
+    rows, index, valid = exploded(batch.column(1))
+    yield 0, index[valid].astype(np.int64), ids[rows[valid]]
+    rows, value, valid = exploded(batch.column(2))
+    valid &= np.isfinite(value) & (np.abs(value) < 9e15)
+    value = value[valid] * 1000.0
+    yield 1, (np.sign(value) * np.floor(np.abs(value) + 0.5)).astype(np.int64), ids[rows[valid]]
+    yield 2, np.zeros(len(ids), np.int64), ids
+
+
+def union(term: np.ndarray, ids: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (term, identifier) pairs in order, and how often each occurred."""
+    if not len(term):
+        return term, ids, np.zeros(0, np.int64)
+    if -(1 << 31) <= term.min() and term.max() < 1 << 31 and ids.max() - (low := ids.min()) < 1 << 32:
+        key = (term << 32) | (ids - low)  # one sort of single integers
+        order = None
+        if times is None:
+            key.sort()
+        else:
+            order = np.argsort(key)
+            key = key[order]
+        new = np.r_[True, key[1:] != key[:-1]]
+    else:
+        order = np.lexsort((ids, term))
+        key, low = None, 0
+        term, ids = term[order], ids[order]
+        new = np.r_[True, (term[1:] != term[:-1]) | (ids[1:] != ids[:-1])]
+    at = np.flatnonzero(new)
+    if times is None:
+        n = np.diff(np.r_[at, len(new)])
+    else:
+        n = np.add.reduceat(times[order], at)
+    if key is None:
+        return term[at], ids[at], n
+    key = key[at]
+    return key >> 32, (key & 0xFFFFFFFF) + low, n
+
+
+def coded(x: np.ndarray) -> bytes:
+    """Gap coding: differences, compressed."""
+    return zstandard.compress(np.diff(x, prepend=np.int64(0)).astype("<i8").tobytes(), 1)
+
+
+def decoded(x: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.decompress(x), "<i8"))
+
+
+def _build(slot_bits: int, slots: int):
+    def blocks(held: dict[int, list]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for kind, parts in held.items():
+            term, ids, n = union(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+            # neighbouring identifiers share a slot, slots are dealt evenly
+            slot = (((ids >> slot_bits) * 0x9E3779B1) >> 7) % slots
+            order = np.argsort(slot, kind="stable")
+            slot, term, ids, n = slot[order], term[order], ids[order], n[order]
+            at = np.r_[0, np.flatnonzero(np.diff(slot)) + 1, len(slot)]
+            out += [(int(slot[a]), kind, coded(term[a:b]), coded(ids[a:b]), coded(n[a:b])) for a, b in zip(at[:-1], at[1:], strict=True) if b > a]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), BLOCKS, strict=True)], schema=BLOCKS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        n = 0
+        for batch in batches:
+            for kind, term, ids in postings(batch):
+                held.setdefault(kind, []).append((term, ids))
+                n += len(term)
+            if n > FLUSH:
+                yield from blocks(held)
+                held, n = {}, 0
+        yield from blocks(held)
+
+    return run
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, list] = {}
+    waiting = 0
+
+    def settle(kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return union(*(np.concatenate([p[i] for p in held[kind]]) for i in range(3)))
+
+    for batch in batches:
+        for kind, *arrays in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+            held.setdefault(kind, []).append(tuple(map(decoded, arrays)))
+            waiting += len(held[kind][-1][0])
+        if waiting > 2 * FLUSH:
+            held = {k: [settle(k)] for k in held}
+            waiting = 0
+    for kind in held:
+        term, _, n = settle(kind)
+        if not len(term):
+            continue
+        at = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
+        docs, occ = np.diff(np.r_[at, len(term)]), np.add.reduceat(n, at)
+        for s in range(0, len(at), 100_000):
+            e = slice(s, s + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array([KINDS[kind]] * len(at[e]), pa.string()), pa.array(term[at[e]]), pa.array(docs[e]), pa.array(occ[e])], schema=COUNTS)
+
+
+def term_bitmaps(df: DataFrame, slot_bits: int = 12, slots: int = 0) -> DataFrame:
+    """Gap-coded bitmaps and counters: per task and slot the terms, identifiers and occurrences (before the union)."""
+    slots = slots or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    need = df.select(F.col("row_id").cast("long").alias("row_id"), F.col("idx").cast("array<int>").alias("idx"), F.col("val").cast("array<double>").alias("val"))
+    return need.filter(F.col("row_id").isNotNull()).mapInArrow(_build(slot_bits, slots), BLOCKS_DDL)
+
+
+def term_frequencies(df: DataFrame, slot_bits: int = 12, slots: int = 0) -> DataFrame:
+    """kind, term, docs, occurrences: in how many distinct records and how often each term occurs.
+
+    kind 'idx': term = index; 'val': term = value times 1000, rounded half away from zero; 'all': one
+    row with the number of distinct records (term 0). A record's terms are those of all its copies
+    together; occurrences count every copy. Nulls: a NULL or empty list adds no term, NULL, NaN and
+    infinite elements are no terms, rows without row_id are left out. Extra columns are ignored, an
+    empty table gives no rows.
+    """
+    parts = term_bitmaps(df, slot_bits, slots).repartition("slot").mapInArrow(_merge, COUNTS_DDL)
+    return parts.groupBy("kind", "term").agg(F.sum("docs").alias("docs"), F.sum("occurrences").alias("occurrences"))
+
+
+def marked_terms(df: DataFrame, min_docs: int = 3, max_share: float = 0.7) -> DataFrame:
+    """Term frequencies with ``mark``: 'rare' (in under min_docs records), 'common' (in over max_share of all
+    distinct records, those with NULL lists included), else 'kept'."""
+    counts = cut(term_frequencies(df))
+    total = counts.filter("kind = 'all'").select(F.col("docs").alias("n_records"))  # at most one row
+    mark = F.when(F.col("docs") < min_docs, "rare").when(F.col("docs") > max_share * F.col("n_records"), "common").otherwise("kept")
+    return counts.filter("kind <> 'all'").join(F.broadcast(total), F.lit(True)).select("kind", "term", "docs", "occurrences", "n_records", mark.alias("mark"))

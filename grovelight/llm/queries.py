@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grovelight.llm import contamination, mixing, quota_sampling, split_overlap
+from grovelight.llm import abuse, contamination, mixing, quota_sampling, split_overlap
 from grovelight.sources.tables import table
 
 
@@ -58,7 +58,19 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.emit(mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_report, p6_found, p6_report, p7_found, p7_shares, p7_mix)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.abusive(abuse.scored(table(spark, d, "documents"))).select("doc_id")
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.scored(table(spark, d, "documents"))
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(abuse.scored(table(spark, d, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_report, p6_found, p6_report, p7_found, p7_shares, p7_mix, p8_found, p8_scores, p8_rates)}
 
 _USABLE = """
 with u as (select cast(greatest(label, 0) as int) as label_id from raw_data_labeled

@@ -6,9 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 from grovelight.operators import radix_percentiles as rp
 from grovelight.operators import term_stats as ts
+from grovelight.sources import record_lines as rl
 from grovelight.sources.tables import table
 
 
+def _parsed(spark: SparkSession, d: str) -> DataFrame:
+    return rl.parse_lines(table(spark, d, "raw_lines"), table(spark, d, "raw_files"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return rl.rejected_lines(_parsed(spark, d)).select("line_id")
+
+
+def p3_rejected(spark: SparkSession, d: str) -> DataFrame:
+    return rl.rejected_lines(_parsed(spark, d))
+
+
+def p3_records(spark: SparkSession, d: str) -> DataFrame:
+    return rl.valid_records(_parsed(spark, d))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return ts.marked_terms(table(spark, d, "raw_data_sparse")).filter("mark <> 'kept'").select("kind", "term")
 
@@ -29,7 +46,7 @@ def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return _percentiles(spark, d).select("source", "feature", "pct", "n_values", "value")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_term_frequencies, p5_found, p5_percentiles)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_rejected, p3_records, p4_found, p4_term_frequencies, p5_found, p5_percentiles)}
 
 _TERMS = """
 with x as (select row_id, 'idx' as kind, cast(unnest(idx) as bigint) as term from raw_data_sparse where row_id is not null

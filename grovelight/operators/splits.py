@@ -1,0 +1,61 @@
+"""Histograms of open nodes and the best split of each."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from grovelight.functions.expressions import entropy, majority
+
+NODE = ["forest", "tree", "node"]
+
+
+def node_histogram(assigned: DataFrame, frontier: DataFrame, classes: int, bin_of: Column | None = None) -> DataFrame:
+    """forest, tree, node, feature, pos, categorical, bin, c0..c(k-1): weight per class.
+
+    ``assigned``: forest, tree, node, w, label, bins; ``frontier``: forest, tree, node, candidates
+    array<struct<feature, pos, categorical>>. Candidates are exploded on the row side just before the
+    partial aggregate, so what is shuffled is nodes x features x bins, never rows. A row's classes
+    stand in columns of its own bin, so no bin has to be made up for a class that it lacks.
+    """
+    e = assigned.filter("w > 0").join(F.broadcast(frontier), NODE)  # one row per open node, as large as the model's last level
+    e = e.select(*NODE, "w", "label", "bins", F.explode("candidates").alias("c"))
+    b = F.get(F.col("bins"), F.col("c.feature")).cast("int") if bin_of is None else bin_of
+    e = e.select(*NODE, F.col("c.feature").alias("feature"), F.col("c.pos").alias("pos"), F.col("c.categorical").alias("categorical"), b.alias("bin"), "label", "w")
+    sums = [F.sum(F.when(F.col("label") == k, F.col("w")).otherwise(0)).cast("long").alias(f"c{k}") for k in range(classes)]
+    return e.groupBy(*NODE, "feature", "pos", "categorical", "bin").agg(*sums)
+
+
+def candidate_scores(hist: DataFrame, classes: int) -> DataFrame:
+    """Each possible cut with its score, counts of both sides and of the missing values, and labels.
+
+    Continuous: bins up to the cut go left. Categorical: the bin itself goes left. The score is the
+    entropy of all minus the weighted entropies of left, right and missing, rounded so that engines
+    with other logarithms order alike.
+    """
+    g = Window.partitionBy(*NODE, "feature")
+    run = g.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    c = [F.col(f"c{k}") for k in range(classes)]
+    d = hist
+    for k in range(classes):
+        valid = F.when(F.col("bin") > 0, c[k]).otherwise(0)
+        d = d.withColumn(f"v{k}", F.sum(valid).over(g)).withColumn(f"m{k}", F.sum(F.when(F.col("bin") == 0, c[k]).otherwise(0)).over(g))
+        d = d.withColumn(f"l{k}", F.when(F.col("categorical"), c[k]).otherwise(F.sum(valid).over(run)))
+    for k in range(classes):
+        d = d.withColumn(f"r{k}", F.col(f"v{k}") - F.col(f"l{k}")).withColumn(f"a{k}", F.col(f"v{k}") + F.col(f"m{k}"))
+    side = {s: [F.col(f"{s}{k}") for k in range(classes)] for s in "lrma"}
+    total = {s: sum(x[1:], x[0]) for s, x in side.items()}
+    d = d.filter((F.col("bin") > 0) | (sum((F.col(f"v{k}") for k in range(1, classes)), F.col("v0")) == 0))
+    for s, name in (("l", "left"), ("r", "right"), ("m", "missing"), ("a", "all")):
+        d = d.withColumn(f"{name}_n", total[s]).withColumn(f"{name}_label", majority(side[s])).withColumn(f"{name}_ok", F.greatest(*side[s]) if classes > 1 else side[s][0])
+    n = F.col("all_n")
+    score = entropy(side["a"]) - F.col("left_n") / n * entropy(side["l"]) - F.col("right_n") / n * entropy(side["r"]) - F.col("missing_n") / n * entropy(side["m"])
+    d = d.withColumn("score", F.when(F.col("bin") == 0, 0.0).otherwise(F.round(score, 9)))
+    keep = [f"{x}_{y}" for x in ("left", "right", "missing", "all") for y in ("n", "label", "ok")]
+    return d.select(*NODE, "feature", "pos", "categorical", "bin", "score", *keep)
+
+
+def best_splits(scores: DataFrame) -> DataFrame:
+    """The best candidate of each node: score, then the earlier feature drawn, then the lower bin."""
+    w = Window.partitionBy(*NODE).orderBy(F.desc("score"), "pos", "bin")
+    return scores.withColumn("k", F.row_number().over(w)).filter("k = 1").drop("k")

@@ -80,6 +80,15 @@ with u as (select cast(greatest(label, 0) as int) as label_id from raw_data_labe
                   target_share * (sample_share * (select count(*) from u)) as wanted
            from label_targets t left join c on c.label_id = t.label_id)
 """
+_PAIRS = """
+with r as (select row_id, split_name, source, list_transform(features, lambda x: case when isnan(x) then null else x end) as f from raw_data_labeled where row_id is not null and split_name is not null),
+     p as (select t.row_id as t_id, e.row_id as e_id, e.split_name, e.source,
+                  list_sum(list_transform(range(1, 23), lambda i: case when (t.f[i] is null and e.f[i] is null) or abs(t.f[i] - e.f[i]) <= greatest(0.005 * greatest(abs(t.f[i]), abs(e.f[i])), 0.01) then 1 else 0 end)) as agree
+           from r t, r e where t.split_name = 'train' and e.split_name <> 'train'),
+     g as (select * from p where agree >= 20)
+"""
 SQL = {
     "p1_found": _USABLE + "select plan_id, label_id from t where available < min_rows or available < wanted",
+    "p2_found": _PAIRS + "select least(t_id, e_id) as row_id_a, greatest(t_id, e_id) as row_id_b from g",
+    "p2_report": _PAIRS + "select split_name, source, count(*) as pairs, count(distinct e_id) as eval_rows from g group by split_name, source",
 }

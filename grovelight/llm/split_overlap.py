@@ -17,6 +17,7 @@ import itertools
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,22 +33,30 @@ SHIFT = 2.0  # puts 0, 1 and 2 inside a bin
 SLACK = 1.01  # tolerances by which agreeing values differ at most on the grid, with rounding
 
 
-def grid(v: float, rel: float, low: float) -> float:
+def grid(v: np.ndarray, rel: float, low: float) -> np.ndarray:
     """Monotone scale on which values that agree differ by about 1 at most."""
     turn = low / rel
-    a = abs(v)
-    g = a / low if a <= turn else turn / low + math.log(a / turn) / -math.log1p(-rel)
-    return math.copysign(g, v)
+    a = np.abs(v)
+    far = turn / low + np.log(np.maximum(a, turn) / turn) / -math.log1p(-rel)
+    return np.copysign(np.where(a <= turn, a / low, far), v)
 
 
-def tokens(v: float | None, rel: float, low: float) -> tuple[str, list[str]]:
-    """The value's own bin, and the bins of all values that agree with it."""
-    if v is None or v != v:
-        return "m", ["m"]
-    if math.isinf(v):
-        return str(v), [str(v)]
-    g = grid(v, rel, low) + SHIFT
-    return str(math.floor(g / BIN)), [str(b) for b in range(math.floor((g - SLACK) / BIN), math.floor((g + SLACK) / BIN) + 1)]
+def tokens(x: np.ndarray, rel: float, low: float) -> tuple[list[list[str]], list[list[list[str]]]]:
+    """Of each element of a matrix the token of its own bin, and those of the bins of all values that agree with it. Missing (NaN) is one token, as is each infinity."""
+    odd = ~np.isfinite(x)
+    g = grid(np.where(odd, 0.0, x), rel, low) + SHIFT
+    own, first, last = (np.floor(y / BIN).astype(np.int64) for y in (g, g - SLACK, g + SLACK))
+    name: dict[int, str] = {}
+
+    def text(k: int) -> str:
+        return name.get(k) or name.setdefault(k, str(k))
+
+    mine = [[text(k) for k in row] for row in own.tolist()]
+    near = [[[text(k) for k in range(a, b + 1)] for a, b in zip(p, q, strict=True)] for p, q in zip(first.tolist(), last.tolist(), strict=True)]
+    for i, j in zip(*np.nonzero(odd), strict=True):
+        mine[i][j] = "m" if np.isnan(x[i, j]) else str(x[i, j])
+        near[i][j] = [mine[i][j]]
+    return mine, near
 
 
 def parts_of(own: list[str], near: list[list[str]] | None, ways: int, hot: frozenset[str]) -> Iterator[str]:
@@ -56,8 +65,8 @@ def parts_of(own: list[str], near: list[list[str]] | None, ways: int, hot: froze
     def extend(prefix: str, rest: list[int]) -> Iterator[str]:
         for j in range(min(ways, len(rest))):
             chosen = rest[j::ways]
-            texts = [[own[p]] for p in chosen] if near is None else [near[p] for p in chosen]
-            for t in itertools.product(*texts):
+            texts = [[own[p] for p in chosen]] if near is None else itertools.product(*[near[p] for p in chosen])
+            for t in texts:
                 part = f"{prefix}{j}:{','.join(t)};"
                 if part in hot:
                     left = [p for p in rest if p not in set(chosen)]
@@ -75,11 +84,16 @@ def _emit(n: int, ways: int, rel: float, low: float, shards: int, hot: frozenset
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for train, rep, f in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                both = [tokens(v, rel, low) for v in f]
-                own = [x[0] for x in both]
-                for part in parts_of(own, None if train else [x[1] for x in both], ways, hot):
-                    rows.append((xxhash.xxh32_intdigest(part) % shards, train, rep, part))
+            train, rep = b.column(0).to_numpy(zero_copy_only=False).astype(bool), b.column(1).to_pylist()
+            x = b.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n)  # NULL becomes NaN
+            for side in (True, False):
+                at = np.flatnonzero(train == side)
+                if not len(at):
+                    continue
+                own, near = tokens(x[at], rel, low)
+                for k, i in enumerate(at.tolist()):
+                    for part in parts_of(own[k], None if side else near[k], ways, hot):
+                        rows.append((xxhash.xxh32_intdigest(part) % shards, side, rep[i], part))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), PARTS, strict=True)], schema=PARTS)
 

@@ -52,38 +52,37 @@ def vote_details(votes: Column) -> Column:
     return F.filter(F.transform(votes, lambda v, i: F.struct(i.alias("class"), v.alias("votes"))), lambda s: s["votes"] > 0)
 
 
-class Packed:
-    """Node tables as arrays, for walking many rows at once; as large as the model."""
-
-    def __init__(self, model: Model, forest: int, trees: Sequence[int]) -> None:
-        self.trees = []
-        for t in trees:
-            keys = sorted(n for f, u, n in model.nodes if (f, u) == (forest, t))
-            at = {n: i for i, n in enumerate(keys)}
-            v = [model.nodes[forest, t, n] for n in keys]
-            kind = np.array([{"le": 1, "category": 2, "missing": 3}.get(x.get("kind"), 0) for x in v], np.int8)
-            left = np.array([at.get(2 * n + 1, -1) for n in keys])
-            right = np.array([at.get(2 * n + 2, -1) for n in keys])
-            kind[(left < 0) | (right < 0)] = 0
-            self.trees.append((kind, np.array([x.get("feature") or 0 for x in v]), np.array([x.get("threshold") or 0.0 for x in v]), left, right, np.array([x["label"] for x in v]), np.array([level_py(n) for n in keys])))
-
-    def labels(self, x: np.ndarray, max_depth: int) -> np.ndarray:
-        """One label per row and tree of the matrix x, missing values as NaN."""
-        out = np.empty((len(x), len(self.trees)), np.int32)
-        rows = np.arange(len(x))
-        for j, (kind, feature, threshold, left, right, label, level) in enumerate(self.trees):
-            at, alive = np.zeros(len(x), np.int64), rows
-            while len(alive):
-                n = at[alive]
-                v = x[alive, feature[n]]
-                gone = np.isnan(v)
-                go = (kind[n] > 0) & (level[n] < max_depth) & ~(gone & (kind[n] != 3))
-                n, v, gone, alive = n[go], v[go], gone[go], alive[go]
-                with np.errstate(invalid="ignore"):
-                    is_left = np.where(kind[n] == 1, v <= threshold[n], np.where(kind[n] == 2, np.trunc(v) == threshold[n], gone))
-                at[alive] = np.where(is_left, left[n], right[n])
-            out[:, j] = label[at]
-        return out
+def packed_trees(model: Model, forest: int, trees: Sequence[int]) -> list[tuple[np.ndarray, ...]]:
+    """Node tables as arrays: kind, feature, threshold, left, right, label, level of each tree."""
+    out = []
+    for t in trees:
+        keys = sorted(n for f, u, n in model.nodes if (f, u) == (forest, t))
+        at = {n: i for i, n in enumerate(keys)}
+        v = [model.nodes[forest, t, n] for n in keys]
+        kind = np.array([{"le": 1, "category": 2, "missing": 3}.get(x.get("kind"), 0) for x in v], np.int8)
+        left = np.array([at.get(2 * n + 1, -1) for n in keys])
+        right = np.array([at.get(2 * n + 2, -1) for n in keys])
+        kind[(left < 0) | (right < 0)] = 0
+        out.append((kind, np.array([x.get("feature") or 0 for x in v]), np.array([x.get("threshold") or 0.0 for x in v]), left, right, np.array([x["label"] for x in v]), np.array([level_py(n) for n in keys])))
+    return out
+
+
+def walk_trees(packed: list[tuple[np.ndarray, ...]], x: np.ndarray, max_depth: int) -> np.ndarray:
+    """One label per row and tree of the matrix x, missing values as NaN: all rows one level at a time."""
+    out = np.empty((len(x), len(packed)), np.int32)
+    for j, (kind, feature, threshold, left, right, label, level) in enumerate(packed):
+        at, alive = np.zeros(len(x), np.int64), np.arange(len(x))
+        while len(alive):
+            n = at[alive]
+            v = x[alive, feature[n]]
+            gone = np.isnan(v)
+            go = (kind[n] > 0) & (level[n] < max_depth) & ~(gone & (kind[n] != 3))
+            n, v, gone, alive = n[go], v[go], gone[go], alive[go]
+            with np.errstate(invalid="ignore"):
+                is_left = np.where(kind[n] == 1, v <= threshold[n], np.where(kind[n] == 2, np.trunc(v) == threshold[n], gone))
+            at[alive] = np.where(is_left, left[n], right[n])
+        out[:, j] = label[at]
+    return out
 
 
 def predict(df: DataFrame, model: Model, classes: int, forest: int = 0, max_trees: int | None = None, max_depth: int = 1 << 30, features: str = "features", rotation: np.ndarray | None = None) -> DataFrame:
@@ -93,7 +92,7 @@ def predict(df: DataFrame, model: Model, classes: int, forest: int = 0, max_tree
     points first. Rows whose array is NULL or shorter than the model count as missing there.
     """
     trees = model.trees(forest)[:max_trees]
-    shared = df.sparkSession.sparkContext.broadcast((Packed(model, forest, trees), rotation))
+    shared = df.sparkSession.sparkContext.broadcast((packed_trees(model, forest, trees), rotation))  # arrays of the model's size
     n = 1 + max((v.get("feature") or 0 for v in model.nodes.values()), default=0)
     n = n if rotation is None else len(rotation)
 
@@ -108,7 +107,7 @@ def predict(df: DataFrame, model: Model, classes: int, forest: int = 0, max_tree
                     x[i, :k] = [np.nan if v is None else v for v in row[:k]]
             if turn is not None:
                 x = np.nan_to_num(x) @ turn.T
-            yield pa.array(list(packed.labels(x, max_depth)), pa.list_(pa.int32()))
+            yield pa.array(list(walk_trees(packed, x, max_depth)), pa.list_(pa.int32()))
 
     return voted(df.withColumn("tree_labels", walk(F.col(features).cast("array<double>"))), classes)
 

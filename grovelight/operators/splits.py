@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grovelight.functions.expressions import entropy, majority
 
 NODE = ["forest", "tree", "node"]
 
@@ -36,23 +35,32 @@ def candidate_scores(hist: DataFrame, classes: int) -> DataFrame:
     g = Window.partitionBy(*NODE, "feature")
     run = g.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     c = [F.col(f"c{k}") for k in range(classes)]
-    d = hist
-    for k in range(classes):
-        valid = F.when(F.col("bin") > 0, c[k]).otherwise(0)
-        d = d.withColumn(f"v{k}", F.sum(valid).over(g)).withColumn(f"m{k}", F.sum(F.when(F.col("bin") == 0, c[k]).otherwise(0)).over(g))
-        d = d.withColumn(f"l{k}", F.when(F.col("categorical"), c[k]).otherwise(F.sum(valid).over(run)))
-    for k in range(classes):
-        d = d.withColumn(f"r{k}", F.col(f"v{k}") - F.col(f"l{k}")).withColumn(f"a{k}", F.col(f"v{k}") + F.col(f"m{k}"))
-    side = {s: [F.col(f"{s}{k}") for k in range(classes)] for s in "lrma"}
-    total = {s: sum(x[1:], x[0]) for s, x in side.items()}
-    d = d.filter((F.col("bin") > 0) | (sum((F.col(f"v{k}") for k in range(1, classes)), F.col("v0")) == 0))
-    for s, name in (("l", "left"), ("r", "right"), ("m", "missing"), ("a", "all")):
-        d = d.withColumn(f"{name}_n", total[s]).withColumn(f"{name}_label", majority(side[s])).withColumn(f"{name}_ok", F.greatest(*side[s]) if classes > 1 else side[s][0])
+    valid = [F.when(F.col("bin") > 0, x).otherwise(0) for x in c]
+    head = [*NODE, "feature", "pos", "categorical", "bin"]
+    own = F.array(*c)
+    d = hist.select(
+        *head,
+        F.array(*[F.sum(v).over(g) for v in valid]).alias("v"),
+        F.array(*[F.sum(x - v).over(g) for x, v in zip(c, valid, strict=True)]).alias("missing"),
+        F.when(F.col("categorical"), own).otherwise(F.array(*[F.sum(v).over(run) for v in valid])).alias("left"),
+    )
+    d = d.select(*head, "left", "missing", F.zip_with("v", "left", lambda x, y: x - y).alias("right"), F.zip_with("v", "missing", lambda x, y: x + y).alias("all"))
+    sides = ("left", "right", "missing", "all")
+    # counts are kept as arrays, so the size of the plan does not grow with the number of classes
+    d = d.select(*head, *sides, *[F.aggregate(x, F.lit(0).cast("long"), lambda s, n: s + n).alias(f"{x}_n") for x in sides])
+    d = d.filter((F.col("bin") > 0) | (F.col("left_n") + F.col("right_n") == 0))
+
+    def share(x: str) -> Column:
+        n = F.col(f"{x}_n")
+        return F.aggregate(x, F.lit(0.0), lambda s, k: s - F.when(k > 0, k / n * F.log(k / n)).otherwise(0.0))
+
+    for x in sides:
+        d = d.withColumn(f"{x}_ok", F.array_max(x)).withColumn(f"{x}_label", (F.array_position(F.col(x), F.array_max(x)) - 1).cast("int")).withColumn(f"{x}_h", share(x))
     n = F.col("all_n")
-    score = entropy(side["a"]) - F.col("left_n") / n * entropy(side["l"]) - F.col("right_n") / n * entropy(side["r"]) - F.col("missing_n") / n * entropy(side["m"])
+    score = F.col("all_h") - sum((F.col(f"{x}_n") / n * F.col(f"{x}_h") for x in ("right", "missing")), F.col("left_n") / n * F.col("left_h"))
     d = d.withColumn("score", F.when(F.col("bin") == 0, 0.0).otherwise(F.round(score, 9)))
-    keep = [f"{x}_{y}" for x in ("left", "right", "missing", "all") for y in ("n", "label", "ok")]
-    return d.select(*NODE, "feature", "pos", "categorical", "bin", "score", *keep)
+    keep = [f"{x}_{y}" for x in sides for y in ("n", "label", "ok")]
+    return d.select(*head, "score", *keep)
 
 
 def best_splits(scores: DataFrame) -> DataFrame:

@@ -93,6 +93,7 @@ def train(df: DataFrame, params: ForestParams) -> Trained:
     """A forest on ``df`` (row_id, label 0.., features). Rows with a NULL label are left out; an empty table raises."""
     p = params.collapsed()
     df = df.filter("label is not null").select("row_id", F.greatest(F.col("label"), F.lit(0)).cast("int").alias("label"), F.col("features").cast("array<double>").alias("features"))
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     if df.isEmpty():
         raise ValueError("no labelled rows to train on")
     if p.rotation:
@@ -127,7 +128,7 @@ def select_model(df: DataFrame, check: DataFrame, params: ForestParams) -> tuple
     """
     p = params
     shape = shape_of(df, p)
-    d = df.select("row_id", F.col("label").cast("int").alias("label"), "features")
+    d = df.select("row_id", F.col("label").cast("int").alias("label"), "features").persist(StorageLevel.MEMORY_AND_DISK)
     scores: list[dict] = []
     best: dict | None = None
     model, skipped, had = Model(), set(), 0
@@ -135,7 +136,7 @@ def select_model(df: DataFrame, check: DataFrame, params: ForestParams) -> tuple
     for n in p.num_trees:
         trees = list(range(had, n))
         had = n
-        binned = dz.binned(sa.bagging(d, trees, p.poisson_mean, p.seed), shape.thresholds, shape.categorical)
+        binned = dz.binned(sa.bagging(d, trees, p.poisson_mean, p.seed), shape.thresholds, shape.categorical).select("row_id", "label", "bins", "weights").persist(StorageLevel.MEMORY_AND_DISK)
         live = [i for i, _, _ in p.grid() if i not in skipped]
         rows, frontier, done = assign_roots(binned, live, trees), [(f, t, 0) for f in live for t in trees], 0
         stage_best = best["accuracy"] if best else 0.0
@@ -147,12 +148,13 @@ def select_model(df: DataFrame, check: DataFrame, params: ForestParams) -> tuple
             deeper = [k for k, v in model.nodes.items() if v.pop("deep", False) and k[0] not in skipped]
             if deeper and depth != p.depths[-1]:
                 rows, frontier = _reopened(binned, model, shape, deeper, live, trees), deeper
-            round_scores = []
-            for f, b, m in p.grid():
-                if f in skipped:
-                    continue
-                acc = pr.accuracy(pr.predict(checked, model, p.num_classes, f, n, depth)).first()
-                round_scores.append({"forest": f, "bins": b, "multiplier": m, "trees": n, "depth": depth, "accuracy": acc.accuracy or 0.0})
+            open_grid = [g for g in p.grid() if g[0] not in skipped]
+            scored = checked
+            for f, _, _ in open_grid:
+                scored = pr.predict(scored, model, p.num_classes, f, n, depth).withColumnRenamed("predicted", f"__p{f}").drop("tree_labels", "votes")
+            # one pass over the check rows for the whole grid
+            sums = scored.agg(*[F.round(F.avg((F.col("label") == F.col(f"__p{f}")).cast("int")), 6).alias(f"a{f}") for f, _, _ in open_grid]).first()
+            round_scores = [{"forest": f, "bins": b, "multiplier": m, "trees": n, "depth": depth, "accuracy": sums[f"a{f}"] or 0.0} for f, b, m in open_grid]
             scores += round_scores
             top = max(round_scores, key=lambda s: (s["accuracy"], -s["forest"]))
             skipped |= {s["forest"] for s in round_scores if top["accuracy"] - s["accuracy"] > p.epsilon_remove}

@@ -67,7 +67,27 @@ with c as (select row_id, source, part_day, idx, val,
            from e where feature between 0 and 7 and v is not null and not isnan(v) group by source, feature),
      p as (select source, feature, n_values, unnest([50, 90, 99]) as pct, unnest(q) as value from g)
 """
+_N = "[+-]?[0-9]+([.][0-9]+)?([eE][+-]?[0-9]+)?"
+_REJECTED = rf"""
+with l as (select line_id, fmt, num_features as nf, num_classes as nc, trim(raw_line) as s from raw_lines join raw_files using (file_id)),
+     r as (select * from l where s <> '' and s[1] <> '#' and not (fmt = 'ARFF' and s[1] in ('%', '@'))),
+     svm as (select line_id, nf, nc, list_filter(string_split(s, ' '), lambda x: x <> '') as p from r where fmt = 'LIBSVM'),
+     svm2 as (select *, p[1] as label, list_filter(p[2:], lambda x: not regexp_full_match(x, '[0-9]+:({_N}|NaN)')) as odd,
+                     list_transform(p[2:], lambda x: try_cast(split_part(x, ':', 1) as double)) as k,
+                     list_transform(p[2:], lambda x: coalesce(try_cast(split_part(x, ':', 2) as double), 0)) as v from svm),
+     arff as (select line_id, nf, nc, list_transform(string_split(s, ','), lambda x: trim(x)) as p from r where fmt = 'ARFF'),
+     arff2 as (select line_id, nf, nc, list_transform(p, lambda x: case when regexp_full_match(x, '\x27[^\x27"]*\x27|"[^\x27"]*"') then trim(x[2:-2]) else x end) as q from arff),
+     flat as (select line_id, nc, label, len(odd) = 0 and len(list_filter(v, lambda x: isinf(x))) = 0
+                     and len(list_filter(k, lambda x: x is null or x < 1 or x > nf)) = 0 and k = list_sort(list_distinct(k)) as ok from svm2
+              union all
+              select line_id, nc, q[-1], len(q) = nf + 1 and len(list_filter(q[:-2], lambda x: not (x in ('NaN', '?', '') or regexp_full_match(x, '{_N}')))) = 0
+                     and len(list_filter(q[:-2], lambda x: isinf(coalesce(try_cast(x as double), 0)))) = 0 from arff2)
+select line_id from flat
+where not (coalesce(ok, true) and regexp_full_match(label, '{_N}') and not isinf(coalesce(try_cast(label as double), 0))
+           and coalesce(try_cast(label as double) = floor(try_cast(label as double)) and try_cast(label as double) < nc, false))
+"""
 SQL = {
+    "p3_found": _REJECTED,
     "p4_found": _TERMS + "select kind, term from m where mark <> 'kept'",
     "p4_term_frequencies": _TERMS + "select kind, term, docs, occurrences, n_records, mark from m",
     "p5_found": _PCT + "select p.source, p.feature, p.pct from p join feature_limits l on l.feature = p.feature and l.pct = p.pct where n_values >= 30 and (value < lo or value > hi)",

@@ -213,7 +213,7 @@ class Decoder:
     def word(self, w: str) -> str:
         """One folded token with its disguised part decoded."""
         core = w.strip(EDGES)
-        if not core or ".example" in core or "//" in core:
+        if not core or ".example" in core or "//" in core or re.fullmatch(r"\d+[a-z]{1,3}", core):
             return w
         head, tail = w[: w.index(core)], w[w.index(core) + len(core) :]
         if len(re.findall(r"[.\-_*'|]", core)) >= 2 and re.fullmatch(r"[\w@$](?:[.\-_*'|]+[\w@$])+", core):

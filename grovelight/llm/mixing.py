@@ -43,7 +43,7 @@ def mix_plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     max_repeats < wanted. A source without documents has size 0, rate 0; a target with a NULL weight
     or cap counts as 0; NULL sources count in the total only, as no target names them.
     """
-    total = sizes.agg(F.sum("size").alias("total"))
+    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"))
     named = maybe_broadcast(sizes.filter("source is not null").select(F.col("source").alias("s"), "size"), 100_000)
     t = targets.select("mix_id", "source", F.coalesce("target_weight", F.lit(0.0)).alias("target_weight"), F.coalesce("max_repeats", F.lit(0)).alias("max_repeats"), F.coalesce("budget_share", F.lit(0.0)).alias("budget_share"))
     p = t.join(named, F.col("source") == F.col("s"), "left").drop("s").join(F.broadcast(total), F.lit(True))  # one row

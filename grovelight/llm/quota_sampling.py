@@ -78,11 +78,12 @@ def allocation(counts: DataFrame, targets: DataFrame, path: Callable[[int], tupl
     ``counts``: label_id, available. ``short`` where fewer rows are available than min_rows or than
     target_share * (sample_share * all usable rows). A plan is worked out in one task (a few rows per
     label). NULL shares or minimums count as 0; a label without rows has 0 available; rows of targets
-    without plan or label are left out; an empty target table gives an empty result.
+    without plan or label are left out, a repeated label of a plan counts once; an empty target table gives an empty result.
     """
     total = counts.agg(F.coalesce(F.sum("available"), F.lit(0)).alias("usable"))
     side = maybe_broadcast(counts.select(F.col("label_id").alias("l"), "available"))
-    t = targets.filter("plan_id is not null and label_id is not null").join(side, F.col("label_id") == F.col("l"), "left").join(F.broadcast(total), F.lit(True))
+    t = targets.filter("plan_id is not null and label_id is not null").select("plan_id", F.col("label_id").cast("int").alias("label_id"), "target_share", "min_rows", "sample_share")
+    t = t.join(side, F.col("label_id") == F.col("l"), "left").join(F.broadcast(total), F.lit(True))
     t = t.select("plan_id", "label_id", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("min_rows", F.lit(0)).alias("min_rows"), F.coalesce("sample_share", F.lit(0.0)).alias("sample_share"), F.coalesce("available", F.lit(0)).alias("available"), "usable")
 
     def plan(p: pd.DataFrame) -> pd.DataFrame:

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 from grovelight.llm import contamination as c
 
@@ -35,7 +36,7 @@ def brute(docs, items):
                 out.add((i, d))
                 continue
             n = int(1.5 * len(w) + 1e-9)
-            if len(set(w) & set(y)) > 5 and any(3 * lcs(w, y[s : s + n]) >= 2 * len(w) for s in range(max(1, len(y)))):
+            if 3 * sum((Counter(w) & Counter(y)).values()) >= 2 * len(w) and any(3 * lcs(w, y[s : s + n]) >= 2 * len(w) for s in range(max(1, len(y)))):
                 out.add((i, d))
     return out
 

@@ -70,7 +70,7 @@ def parts_of(own: list[str], near: list[list[str]] | None, ways: int, hot: froze
                 part = f"{prefix}{j}:{','.join(t)};"
                 if part in hot:
                     left = [p for p in rest if p not in set(chosen)]
-                    if left:
+                    if len(left) >= ways:  # with fewer positions left, all of them may disagree
                         yield from extend(part, left)
                         continue
                 yield part

@@ -323,13 +323,6 @@ ACT = re.compile(
 WEAK = re.compile(r"waste of air|waste of space|dropped on (?:the|your) head|emptier than a|mirrors crack when you|nobody likes you|go cry|whole family is|how \w+ can one person be|brain is|only an? \w+ would write|wish you were never born|everyone hates you|in one piece|nothing moves|you sound like an?")
 CLAUSE = re.compile(r"(?<=[.!?;:])\s+|\n+")
 WORDS_PLAIN = re.compile(r"[a-z][a-z'\-]*")
-#: No clause without one of these words (or a word of the lists) can score.
-SIGNAL = (
-    INSULT | CRUEL | DEBASE | PORN | (LEWD - {"hot", "live", "adult", "wet", "cam", "rated"})
-) | frozenset(
-    """kill die rot belong humans vote breed brains moaned thighs came orgasm brain air cry legs face neck teeth skull bones throat trash nobody nothing lock burn driven better bat knife gun deserve deserves
-    beat hang shoot stab drown one live back wohnst dich raus fresse maul habites crever gueule tuer casser deteste degagent vives mueras romper matar asco callate fuera mieszkasz polamie zamknij ryj won zdechnij""".split()
-)
 WEIGHTS = {"insult": 1.2, "cruel": 0.7, "address": 1.1, "harm": 3.2, "group": 1.2, "debase": 0.9, "driven": 1.8, "porn": 2.0, "lewd": 0.9, "lure": 0.5, "act": 3.4, "weak": 2.4, "exempt": -3.2}
 BIAS = -3.0
 
@@ -367,12 +360,8 @@ def clause_score(clause: str) -> float:
 
 
 def text_score(restored: str) -> float:
-    """Highest score of a clause of the restored text; 0 without any telling word."""
-    best = 0.0
-    for clause in CLAUSE.split(restored):
-        if not SIGNAL.isdisjoint(WORDS_PLAIN.findall(clause)):
-            best = max(best, clause_score(clause))
-    return best
+    """Highest score of a clause of the restored text; every clause is scored."""
+    return max(clause_score(clause) for clause in set(CLAUSE.split(restored)))
 
 
 # ---- the operator

@@ -48,6 +48,15 @@ def test_scores(decoder):
         assert a.text_score(decoder.restore(t)) < 0.3, t
 
 
+def test_every_clause_is_scored():
+    """Constructions and words that no list of telling words names."""
+    harm = ["i will hurt you", "we are coming for you", "go and drink bleach", "hope you choke", "i will smash your head", "everyone hates you", "refugees, wipe them out", "du sollst sterben", "nique ta", "vete a la mierda", "zabije cie", "spierdalaj", "hot live wet cam girls, enter free"]
+    for t in harm:
+        assert a.text_score("the boat is late. " + t) == a.clause_score(t) >= 0.3, t
+    for t in GOOD:
+        assert a.text_score(t) == max(map(a.clause_score, a.CLAUSE.split(t))), t
+
+
 def test_operator(spark):
     rows = [(i, t, "s1" if i % 2 else None, "clash", 0.5) for i, t in enumerate(BAD + GOOD)] + [(100, None, "s2", "x", 0.5), (101, "fine words " * 30000 + BAD[0], "s2", "x", 0.5), (101, BAD[0], "s2", "x", 0.5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, t string, score double")

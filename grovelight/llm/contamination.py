@@ -1,13 +1,14 @@
-"""Evaluation passages inside a large corpus: size-partitioned MinHash containment search.
+"""Evaluation passages inside a large corpus: MinHash search for passages, size-partitioned containment search for items.
 
 Two size partitions of queries are looked for in documents of any length.
 
 * Passages of ``run`` words (12): a document holds the passage iff it holds all its word shingles, so
   it holds the shingle with the least hash, the passage's MinHash. The index maps these least
   shingles to items; one lookup per shingle of a document finds every document that can hold a passage.
-* Whole items, in partitions of similar length: the MinHash sketch of an item is the ``sketch`` least
-  hashes of its telling words. The share of a sketch found in a stretch of a document, at most 1.5
-  times as long as the longest item of the partition, estimates the containment of the item in it.
+* Whole items, in partitions of similar length: a stretch that holds two thirds of an item's words in
+  order has at least as many words in common with it, each as often as it occurs. A document is cut
+  into overlapping parts, one of which holds the stretch whole; the common words of a part and all
+  items are counted from an inverted index. No item is missed by this, whatever words were replaced.
 
 Candidates are verified exactly: a shared run of 12 words, or a longest common subsequence of at
 least two thirds of the item within a stretch of 1.5 times its length.
@@ -15,7 +16,6 @@ least two thirds of the item within a stretch of 1.5 times its length.
 
 from __future__ import annotations
 
-import bisect
 import html
 import math
 import re
@@ -24,6 +24,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -53,6 +54,16 @@ def hashed(s: str) -> int:
     return xxhash.xxh64_intdigest(s)
 
 
+@dataclass
+class Part:
+    """Items of similar length; ``posting[word][r]``: those in which the word occurs more than r times, by number."""
+
+    items: list[int] = field(default_factory=list)
+    least: list[int] = field(default_factory=list)
+    reach: int = 0
+    posting: dict[str, list[np.ndarray]] = field(default_factory=dict)
+
+
 @dataclass
 class Index:
     """Of one block of items; everything in it is bounded by the block's text."""
@@ -61,22 +72,17 @@ class Index:
     width: int = 5
     share: float = 2 / 3
     stretch: float = 1.5
-    sketch: int = 32
-    floor: float = 0.3
     words: dict[int, list[str]] = field(default_factory=dict)
     vocabulary: set[str] = field(default_factory=set)
     least: dict[int, set[int]] = field(default_factory=dict)
     runs: dict[int, set[tuple[str, ...]]] = field(default_factory=dict)
-    telling: dict[str, list[int]] = field(default_factory=dict)
-    need: dict[int, int] = field(default_factory=dict)
-    reach: dict[int, int] = field(default_factory=dict)
+    parts: list[Part] = field(default_factory=list)
 
     def build(self, items: list[tuple[int, str | None]]) -> Index:
         self.words = {i: w for i, t in items if (w := words_of(t))}
         self.vocabulary = {x for w in self.words.values() for x in w}
-        least, telling = defaultdict(set), defaultdict(list)
-        spread = Counter(x for w in self.words.values() for x in set(w))
-        longest: dict[int, int] = {}
+        least = defaultdict(set)
+        parts: dict[int, Part] = defaultdict(Part)
         for i, w in self.words.items():
             if len(w) >= self.run:
                 shingle = [hashed(" ".join(w[k : k + self.width])) for k in range(len(w) - self.width + 1)]
@@ -84,19 +90,26 @@ class Index:
                 for k in range(len(w) - self.run + 1):
                     least[min(shingle[k : k + per])].add(i)
                 self.runs[i] = {tuple(w[k : k + self.run]) for k in range(len(w) - self.run + 1)}
-            distinct = sorted(set(w))
-            rare = [x for x in distinct if spread[x] <= max(2, 0.1 * len(self.words))]
-            chosen = sorted(rare if len(rare) >= 8 else distinct, key=hashed)[: self.sketch]
-            for x in chosen:
-                telling[x].append(i)
-            self.need[i] = max(1, math.floor(self.floor * len(chosen)))
-            part = round(math.log(len(w), 1.25))
-            longest[part] = max(longest.get(part, 0), len(w))
-        for i, w in self.words.items():
-            self.reach[i] = math.floor(self.stretch * longest[round(math.log(len(w), 1.25))])
-        self.least, self.telling = dict(least), dict(telling)
+            part = parts[len(w).bit_length()]
+            for x, n in Counter(w).items():
+                ranks = part.posting.setdefault(x, [])
+                ranks += [[] for _ in range(n - len(ranks))]
+                for r in range(n):
+                    ranks[r].append(len(part.items))
+            part.items.append(i)
+            part.least.append(self._least(w))
+            part.reach = max(part.reach, self._width(w))
+        for part in parts.values():
+            part.posting = {x: [np.array(r, np.int32) for r in ranks] for x, ranks in part.posting.items()}
+        self.least, self.parts = dict(least), list(parts.values())
         return self
 
+    def _least(self, item: list[str]) -> int:
+        return math.ceil(self.share * len(item) - 1e-9)
+
+    def _width(self, item: list[str]) -> int:
+        return math.floor(self.stretch * len(item) + 1e-9)
+
     def passages(self, words: list[str]) -> set[int]:
         """Items that share a run of 12 words with the document."""
         candidates: set[int] = set()
@@ -123,46 +136,42 @@ class Index:
 
     def edited(self, words: list[str], found: set[int]) -> set[int]:
         """Items two thirds of whose words stand in order within a stretch of the document."""
-        places: dict[int, list[tuple[int, str]]] = defaultdict(list)
-        for p, x in enumerate(words):
-            for i in self.telling.get(x, ()):
-                places[i].append((p, x))
-        out = set()
-        for i, at in places.items():
-            if i in found or len({x for _, x in at}) < self.need[i]:
-                continue
-            if self._dense(at, self.reach[i], self.need[i]) and self._in_order(words, i):
-                out.add(i)
+        return {i for i in self._common(words) - found if self._in_order(words, i)}
+
+    def _common(self, words: list[str]) -> set[int]:
+        """Items two thirds of whose words stand, in any order, in a part of the document as long as two stretches."""
+        out: set[int] = set()
+        for part in self.parts:
+            least = np.array(part.least)
+            lowest = min(part.least)
+            for s in range(0, max(1, len(words) - part.reach), part.reach):
+                hits = []
+                for x, n in Counter(words[s : s + 2 * part.reach]).items():
+                    hits += part.posting.get(x, ())[:n]
+                if len(hits) >= lowest:
+                    count = np.bincount(np.concatenate(hits), minlength=len(least))
+                    out.update(part.items[k] for k in np.flatnonzero(count >= least))
         return out
 
-    @staticmethod
-    def _dense(at: list[tuple[int, str]], reach: int, need: int) -> bool:
-        here: Counter = Counter()
-        left = 0
-        for p, x in at:
-            here[x] += 1
-            while at[left][0] <= p - reach:
-                y = at[left][1]
-                here[y] -= 1
-                if not here[y]:
-                    del here[y]
-                left += 1
-            if len(here) >= need:
-                return True
-        return False
-
     def _in_order(self, words: list[str], i: int) -> bool:
         item = self.words[i]
-        n, least = len(item), math.ceil(self.share * len(item) - 1e-9)
-        width = math.floor(self.stretch * n + 1e-9)
+        n, least, width = len(item), self._least(item), self._width(item)
         bits: dict[str, int] = defaultdict(int)
         for k, x in enumerate(item):
             bits[x] |= 1 << k
         at = [p for p, x in enumerate(words) if x in bits]
         full = (1 << n) - 1
+        left = Counter(item)  # less the words of the stretch; a negative count is of words too many
+        common = e = 0
         for j, s in enumerate(at):
-            e = bisect.bisect_left(at, s + width)
-            if e - j < least:
+            while e < len(at) and at[e] < s + width:
+                common += left[words[at[e]]] > 0
+                left[words[at[e]]] -= 1
+                e += 1
+            enough = common >= least
+            left[words[s]] += 1
+            common -= left[words[s]] > 0
+            if not enough:
                 continue
             row = full
             for p in at[j:e]:  # bit-parallel longest common subsequence; words outside the item change nothing

@@ -78,6 +78,22 @@ def test_against_brute_force(spark):
     assert c.leaks(df.limit(0), items).count() == 0 and c.leaks(df, items.limit(0)).count() == 0
 
 
+def test_copies_without_the_rare_words():
+    """Two thirds of an item in order, but none of the words that tell it from the others."""
+    r = random.Random(9)
+    common = [f"c{k}" for k in range(40)]
+    items = [(i, " ".join(r.choice(common) if k % 3 else f"rare{i}x{k}" for k in range(r.randrange(24, 140)))) for i in range(8)]
+    docs = []
+    for d, (_, t) in enumerate(items):
+        cut = ["zz" if x.startswith("rare") else x for x in t.split()]
+        if not 3 * sum(x != "zz" for x in cut) >= 2 * len(cut):
+            cut[0] = t.split()[0]
+        docs += [(2 * d, filler(60 * (d % 4)) + " " + " ".join(cut) + " " + filler(120)), (2 * d + 1, " ".join(r.sample(cut, len(cut))))]
+    index = c.Index().build(items)
+    got = {(i, d) for d, t in docs for i in index.edited(c.words_of(t), index.passages(c.words_of(t)))}
+    assert got == brute(docs, items) >= {(i, 2 * i) for i, _ in items}
+
+
 def test_words():
     assert c.words_of("A&amp;B <p class='x'>c<b>d</b>e</p> caf&eacute;­​s\nF_g-h") == ["a", "b", "cde", "cafés", "f", "g", "h"]
     assert c.words_of(None) == [] and c.words_of("  ") == []

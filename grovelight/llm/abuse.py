@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 A = 27  # word border and 26 letters
 ORDER = 4
+CONTEXTS = A ** (ORDER - 1)
 TABLE = A**ORDER  # proven size of the model: 531,441 counts
 
 # ---- fixed values: the channel. What a sign may stand for.
@@ -142,14 +143,25 @@ def language_model(counts: np.ndarray) -> np.ndarray:
     return np.log(p).astype(np.float32)
 
 
+def _spread(to: np.ndarray, values: np.ndarray, rest: float) -> np.ndarray:
+    """The values at their contexts, ``rest`` at the others."""
+    out = np.full(CONTEXTS, rest, values.dtype)
+    out[to] = values
+    return out
+
+
 class Decoder:
-    """Viterbi search over character lattices, with a beam of word beginnings per letter context."""
+    """Viterbi search over character lattices, with the best word beginning of every letter context.
 
-    BEAM = 48
+    While few contexts are open they are kept in a dict; the steps from there on, if it gets more
+    (masks), are maxima over arrays of all contexts. Both are exact.
+    """
+
+    FEW = 300  # contexts times strings of a step, beyond which arrays are faster
     BREAK = -4.0  # log chance of a word border between spaced letters, beyond the model's own
 
     def __init__(self, model: np.ndarray) -> None:
-        self.model = model
+        self.flat = model.reshape(CONTEXTS, A)
         self.known: dict[str, str] = {}
         self.plain: set[str] = set()
 
@@ -184,23 +196,70 @@ class Decoder:
         key = f"{spaced:d}{seen}"
         if key in self.known:
             return self.known[key]
-        beam: dict[tuple[int, int, int], tuple[float, str]] = {(0, 0, 0): (0.0, "")}
-        for step in self.lattice(seen, spaced):
-            new: dict[tuple[int, int, int], tuple[float, str]] = {}
-            for ctx, (score, word) in beam.items():
+        best = self.search(self.lattice(seen, spaced))
+        if len(self.known) < 100_000:
+            self.known[key] = best
+        return best
+
+    def search(self, steps: list[list[tuple[str, float]]]) -> str:
+        """The most probable word of a lattice."""
+        open_: dict[int, tuple[float, str]] = {0: (0.0, "")}
+        for k, step in enumerate(steps):
+            if len(open_) * len(step) > self.FEW:
+                return self._search_all(open_, steps[k:])
+            new: dict[int, tuple[float, str]] = {}
+            for ctx, (score, word) in open_.items():
                 for text, chance in step:
                     s, x = score + chance, ctx
                     for ch in text:
                         code = 0 if ch == " " else ord(ch) - 96
-                        s += float(self.model[x[0], x[1], x[2], code])
-                        x = (0, 0, 0) if code == 0 else (x[1], x[2], code)
+                        s += float(self.flat[x, code])
+                        x = (x * A + code) % CONTEXTS if code else 0
                     if x not in new or s > new[x][0]:
                         new[x] = (s, word + text)
-            beam = dict(sorted(new.items(), key=lambda kv: -kv[1][0])[: self.BEAM]) if len(new) > self.BEAM else new
-        best = max(beam.items(), key=lambda kv: kv[1][0] + float(self.model[kv[0][0], kv[0][1], kv[0][2], 0]))[1][1] if beam else ""
-        if len(self.known) < 100_000:
-            self.known[key] = best
-        return best
+            open_ = new
+        return max(open_.items(), key=lambda kv: kv[1][0] + float(self.flat[kv[0], 0]))[1][1]
+
+    def _search_all(self, start: dict[int, tuple[float, str]], steps: list[list[tuple[str, float]]]) -> str:
+        """The search from the open contexts on, over arrays of all contexts."""
+        score = np.full(CONTEXTS, -np.inf)
+        for ctx, (s, _) in start.items():
+            score[ctx] = s
+        every = np.arange(CONTEXTS)
+        back: list[tuple[np.ndarray, np.ndarray]] = []
+        for step in steps:
+            new = np.full(CONTEXTS, -np.inf)
+            before, chosen = np.zeros(CONTEXTS, np.int32), np.zeros(CONTEXTS, np.int8)
+
+            def put(to: np.ndarray, s: np.ndarray, come: np.ndarray, option: int, new=new, before=before, chosen=chosen) -> None:
+                better = s > new[to]
+                at = to[better]
+                new[at], before[at], chosen[at] = s[better], come[better], option
+
+            for option, (text, chance) in enumerate(step):
+                if text == "":
+                    put(every, score + chance, every, option)
+                elif text == " ":
+                    s = score + self.flat[:, 0]
+                    put(every[:1], s[[s.argmax()]] + chance, s.argmax()[None], option)
+                else:
+                    s, come = score, every
+                    for code in codes(text):  # contexts that differ in their first letter only come together
+                        s = (s + self.flat[:, code]).reshape(A, -1)
+                        first = s.argmax(axis=0)
+                        low = every[: A * A]
+                        to, s, come = low * A + code, s[first, low], come[first * A * A + low]
+                        s, come = _spread(to, s, -np.inf), _spread(to, come, 0)
+                    to = np.flatnonzero(s > -np.inf)
+                    put(to, s[to] + chance, come[to], option)
+            score = new
+            back.append((before, chosen))
+        at = int((score + self.flat[:, 0]).argmax())
+        out = []
+        for step, (before, chosen) in zip(reversed(steps), reversed(back), strict=True):
+            out.append(step[chosen[at]][0])
+            at = int(before[at])
+        return start[at][1] + "".join(reversed(out))
 
     def suspicious(self, tokens: list[str]) -> set[str]:
         """Tokens that may be disguised; what was found plain before is not looked at again."""

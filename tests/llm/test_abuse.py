@@ -1,4 +1,5 @@
 import os
+import random
 from collections import Counter
 
 import pytest
@@ -48,6 +49,37 @@ def test_scores(decoder):
         assert a.text_score(decoder.restore(t)) < 0.3, t
 
 
+def plain_search(model, steps):
+    """All contexts in a dict, whatever their number."""
+    best = {(0, 0, 0): (0.0, "")}
+    for step in steps:
+        new = {}
+        for x, (s, w) in best.items():
+            for text, chance in step:
+                t, y = s + chance, x
+                for ch in text:
+                    k = 0 if ch == " " else ord(ch) - 96
+                    t += float(model[(*y, k)])
+                    y = (0, 0, 0) if k == 0 else (y[1], y[2], k)
+                if y not in new or t > new[y][0]:
+                    new[y] = (t, w + text)
+        best = new
+    return max(best.items(), key=lambda kv: kv[1][0] + float(model[(*kv[0], 0)]))[1][1]
+
+
+def test_search_is_exact():
+    """Masks open more contexts than a beam keeps; the end decides about the beginning."""
+    r = random.Random(3)
+    noise = Counter({"".join(r.choice("abcdefghijklmnoprstuwz") for _ in range(r.randrange(3, 9))): r.randrange(1, 30) for _ in range(800)})
+    model = a.language_model(a.count_table(Counter({w: 50 for w in TEXT}) + noise))
+    d = a.Decoder(model)
+    for seen in ("c***p", "z****ij", "wo**hl*ss", "i***t", "b**akkkk", "p3**le", "str**gers", "a*1**", "***t"):
+        steps = d.lattice(seen, False)
+        assert d.decode(seen) == plain_search(model, steps), seen
+    steps = d.lattice("w*r*he11o", True)
+    assert d.search(steps) == plain_search(model, steps)
+
+
 def test_every_clause_is_scored():
     """Constructions and words that no list of telling words names."""
     harm = ["i will hurt you", "we are coming for you", "go and drink bleach", "hope you choke", "i will smash your head", "everyone hates you", "refugees, wipe them out", "du sollst sterben", "nique ta", "vete a la mierda", "zabije cie", "spierdalaj", "hot live wet cam girls, enter free"]

@@ -37,6 +37,11 @@ PLAIN = str.maketrans({"ß": "ss", "ł": "l", "œ": "oe", "æ": "ae", "ø": "o",
 SUSPECT = re.compile(
     r"[\u00ad\u200b-\u200d\u2060\ufeff\ufffd\u0370-\u04ff]|[^\W\d_][0-9@$!|+€£*#?]+[^\W\d_]|^[@$0-9*]+[^\W\d_]+|[^\W\d_]\*|([^\W\d_])\1\1|(?:^|\W)[^\W\d_](?:[.\-_*'|][^\W\d_](?![^\W_])){2}|[ÃÂÄÅĹĂ][^\x00-\x7f]"
 )
+#: Plain but for signs at its end or beginning, or with doubled letters: looked at if a word of TELLING can be meant.
+END = re.compile(r"[^\W\d_][0-9@$|+€£!]+$")
+START = re.compile(r"^\d+[a-z]{1,3}$")
+TWICE = re.compile(r"([a-z])\1")
+JOINT = re.compile(r"([\-/'_.,]+)")
 SPACED = re.compile(r"(?<![\w@])[\w@$](?:[ .\-_*'|]+[\w@$](?![\w@])){2,}")
 TOKEN = re.compile(r"\S+")
 APART = re.compile(r"(?<!\S)[\w@$](?:\W+[\w@$](?![\w@])){2}")
@@ -157,6 +162,7 @@ class Decoder:
     (masks), are maxima over arrays of all contexts. Both are exact.
     """
 
+    TWICE = -6.0  # log chance of a letter set twice for once
     FEW = 300  # contexts times strings of a step, beyond which arrays are faster
     BREAK = -4.0  # log chance of a word border between spaced letters, beyond the model's own
 
@@ -183,7 +189,9 @@ class Decoder:
                 if not letters:
                     k += n
                     continue
-                if n >= 3:
+                if n == 2:
+                    out.append([(x + y, 0.0 if c in ANY else -0.4) for x in letters for y in letters] + [(x, self.TWICE) for x in letters])
+                elif n >= 3:
                     out.append([(x * m, -1.0 * m) for x in letters for m in (1, 2)])
                 else:
                     out += [[(x, 0.0 if c in ANY else -0.2) for x in letters]] * n
@@ -264,27 +272,50 @@ class Decoder:
     def suspicious(self, tokens: list[str]) -> set[str]:
         """Tokens that may be disguised; what was found plain before is not looked at again."""
         new = set(tokens) - self.plain
-        bad = {t for t in new if SUSPECT.search(t)}
+        bad = {t for t in new if SUSPECT.search(t) or any(map(self.meant, {f := folded(t).strip(EDGES_BUT), *JOINT.split(f.strip(EDGES))}))}
         if len(self.plain) < 300_000:
             self.plain |= new - bad
         return bad
 
+    def meant(self, core: str) -> str | None:
+        """The telling word that a folded word with signs at an end, or doubled letters, stands for; None if it can be meant as it is.
+
+        A digit is kept or read as a letter: it is read if that gives a telling word and the letters
+        alone give none. A doubled letter stays if the language model finds that likelier.
+        """
+        if END.search(core):
+            body = core.rstrip(SIGNS)
+            if len(body) < 2 or body in TELLING or not body.isalpha():
+                return None
+        elif not START.search(core) and not (TWICE.search(core) and core not in TELLING and TWICE.sub(r"\1", core) in SINGLED):
+            return None
+        best = self.decode(core)
+        return best if best in TELLING else None
+
+    def joined(self, signs: str) -> str:
+        """Signs that were set apart; digits at the end stay unless only with them it is a telling word."""
+        end = re.search(r"\d*$", signs).group()
+        alone = self.decode(signs[: len(signs) - len(end)], True)
+        if end and alone not in TELLING and (best := self.decode(signs, True)) in TELLING:
+            return best
+        return alone + end
+
     def word(self, w: str) -> str:
         """One folded token with its disguised part decoded."""
-        core = w.strip(EDGES)
+        if (best := self.meant(core := w.strip(EDGES_BUT))) or (best := self.meant(core := w.strip(EDGES))):
+            return w.replace(core, best, 1)
         if not core or ".example" in core or "//" in core or re.fullmatch(r"\d+[a-z]{1,3}", core):
             return w
         head, tail = w[: w.index(core)], w[w.index(core) + len(core) :]
         if len(re.findall(r"[.\-_*'|]", core)) >= 2 and re.fullmatch(r"[\w@$](?:[.\-_*'|]+[\w@$])+", core):
             signs = re.sub(r"[.\-_*'|]+", "", core)
-            end = re.search(r"\d*$", signs).group()
-            return f"{head}{self.decode(signs[: len(signs) - len(end)], True)}{end}{tail}"
+            return f"{head}{self.joined(signs)}{tail}"
         end = m.group(1) if (m := re.match(r"[a-z]*?[a-z]{2}([0-9_]+)$", core)) else ""
         body = core[: len(core) - len(end)]
         out = []
-        for p in re.split(r"([\-/'_.,]+)", body):
+        for p in JOINT.split(body):
             disguised = any(c in ANY for c in p) and (not p.isalpha() or re.search(r"(\w)\1\1", p))
-            out.append(self.decode(p) if disguised else p)
+            out.append(self.meant(p) or (self.decode(p) if disguised else p))
         return head + "".join(out) + end + tail
 
     def restore(self, text: str) -> str:
@@ -307,8 +338,7 @@ class Decoder:
             signs = re.sub(r"[ .\-_*'|]+", "", m.group())
             if not any(c in ANY for c in signs):
                 return m.group()
-            end = re.search(r"\d*$", signs).group()
-            return f" {self.decode(signs[: len(signs) - len(end)], True)}{end} "
+            return f" {self.joined(signs)} "
 
         return SPACED.sub(spaced, text)
 
@@ -382,6 +412,13 @@ ACT = re.compile(
 WEAK = re.compile(r"waste of air|waste of space|dropped on (?:the|your) head|emptier than a|mirrors crack when you|nobody likes you|go cry|whole family is|how \w+ can one person be|brain is|only an? \w+ would write|wish you were never born|everyone hates you|in one piece|nothing moves|you sound like an?")
 CLAUSE = re.compile(r"(?<=[.!?;:])\s+|\n+")
 WORDS_PLAIN = re.compile(r"[a-z][a-z'\-]*")
+#: Words that can raise a score: those of the lists, and those that the constructions ask for.
+TELLING = (INSULT | CRUEL | DEBASE | PORN | LEWD | LURE).union(
+    w for r in (HARM, WEAK, DRIVEN, ACT, GROUP, ADDRESS) for w in re.findall(r"(?<![a-z\\\])])[a-z]{3,}(?![a-z]*[\\\[(])", re.sub(r"\(\?:[^()]*\)\?", "", r.pattern))
+)
+SINGLED = frozenset(TWICE.sub(r"\1", w) for w in TELLING)
+SIGNS = "0123456789@$|+€£!"
+EDGES_BUT = EDGES.replace("!", "")
 WEIGHTS = {"insult": 1.2, "cruel": 0.7, "address": 1.1, "harm": 3.2, "group": 1.2, "debase": 0.9, "driven": 1.8, "porn": 2.0, "lewd": 0.9, "lure": 0.5, "act": 3.4, "weak": 2.4, "exempt": -3.2}
 BIAS = -3.0
 

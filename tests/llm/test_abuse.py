@@ -1,5 +1,6 @@
 import os
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -16,6 +17,12 @@ def decoder():
     return a.Decoder(a.language_model(a.count_table(Counter({w: 50 for w in TEXT}))))
 
 
+@pytest.fixture(scope="module")
+def meaning():
+    words = [*TEXT, "whore", "asshole", "salope", "stupid", "kill", "slut", *"letter ville salle little happy street loss".split()]
+    return a.Decoder(a.language_model(a.count_table(Counter({w: 50 for w in words}))))
+
+
 @pytest.mark.parametrize(
     "seen,meant",
     [("you are an 1d10t", "idiot"), ("such i.d.i.o.t. talk", "idiot"), ("p o r n clips", "porn"), ("peoooople", "people"), ("h@nd5", "hands"), ("ve​rmin", "vermin"), ("clоthеs", "clothes"), ("frее", "free"), ("W.A.T.C.H. it", "watch"), ("v?ermin", "vermin")],
@@ -49,6 +56,16 @@ def test_scores(decoder):
         assert a.text_score(decoder.restore(t)) < 0.3, t
 
 
+@pytest.mark.parametrize("seen,meant", [("a whor3, she", "whore"), ("you asshol3!", "asshole"), ("quelle salop3", "salope"), ("stuupid", "stupid"), ("an idioot.", "idiot"), ("poor-whor3", "whore"), ("w h o r 3", "whore"), ("whoooor3", "whore"), ("i will ki11 you", "kill"), ("5lut", "slut")])
+def test_last_signs_and_doubled_letters(meaning, seen, meant):
+    assert meant in re.findall("[a-z]+", meaning.restore(seen))
+
+
+def test_numbers_and_double_letters_stay(meaning):
+    for t in ("file3 mp3 utf8 room101 idiot! rat3 3rd 5pm", "letter ville salle little happy street", "x-3 loss4"):
+        assert meaning.restore(t) == t
+
+
 def plain_search(model, steps):
     """All contexts in a dict, whatever their number."""
     best = {(0, 0, 0): (0.0, "")}

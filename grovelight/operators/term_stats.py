@@ -41,8 +41,11 @@ def postings(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarra
     rows, index, valid = exploded(batch.column(1))
     yield 0, index[valid].astype(np.int64), ids[rows[valid]]
     rows, value, valid = exploded(batch.column(2))
-    valid &= np.isfinite(value) & (np.abs(value) < 9e15)
-    value = value[valid] * 1000.0
+    valid &= np.isfinite(value)
+    with np.errstate(over="ignore"):
+        value = value[valid] * 1000.0
+    if np.any(np.abs(value) >= 2.0**63):
+        raise OverflowError(f"the term of the value {value[np.abs(value) >= 2.0**63][0] / 1000.0} does not fit a BIGINT")
     yield 1, (np.sign(value) * np.floor(np.abs(value) + 0.5)).astype(np.int64), ids[rows[valid]]
     yield 2, np.zeros(len(ids), np.int64), ids
 
@@ -152,8 +155,9 @@ def term_frequencies(df: DataFrame, slot_bits: int = 12, slots: int = 0) -> Data
     kind 'idx': term = index; 'val': term = value times 1000, rounded half away from zero; 'all': one
     row with the number of distinct records (term 0). A record's terms are those of all its copies
     together; occurrences count every copy. Nulls: a NULL or empty list adds no term, NULL, NaN and
-    infinite elements are no terms, rows without row_id are left out. Extra columns are ignored, an
-    empty table gives no rows.
+    infinite elements are no terms, rows without row_id are left out. A finite value whose term does
+    not fit a BIGINT (9.2e15 or more) is an error, as in the SQL. Extra columns are ignored, an empty
+    table gives no rows.
     """
     parts = term_bitmaps(df, slot_bits, slots).repartition("slot").mapInArrow(_merge, COUNTS_DDL)
     return parts.groupBy("kind", "term").agg(F.sum("docs").alias("docs"), F.sum("occurrences").alias("occurrences"))

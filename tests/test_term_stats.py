@@ -2,6 +2,8 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from grovelight.operators import term_stats as ts
 
@@ -56,3 +58,14 @@ def test_union_and_gap_coding():
 
 def test_empty(spark):
     assert ts.marked_terms(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_huge_values_are_terms_or_an_error():
+    def terms(*values):
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([[0]], pa.list_(pa.int32())), pa.array([list(values)], pa.list_(pa.float64()))], ["row_id", "idx", "val"])
+        return list(ts.postings(batch))[1][1].tolist()
+
+    assert terms(9.1e15, -9.2e15, float("inf"), None, float("nan")) == [9_100_000_000_000_000_000, -9_200_000_000_000_000_000]
+    for v in (9.3e15, -1e300, 1.7e308):
+        with pytest.raises(OverflowError):
+            terms(v)

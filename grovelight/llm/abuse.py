@@ -1,15 +1,16 @@
-"""Abusive, hateful or sexual content: noisy-channel restoration of disguised words, then scoring.
+"""Abusive, hateful or sexual content: noisy-channel restoration of disguised words, then a fitted score.
 
 A disguised word (leetspeak, spaced or dotted letters, repeated letters, masks, look-alike letters,
 broken charsets) becomes a lattice: each observed sign has the letters it may stand for. Viterbi
 search finds the most probable word in the lattice under a character language model, which is
-counted over the words of all documents. The restored text is then scored clause by clause.
+counted over the words of all documents. The restored text is scored clause by clause with weights
+fitted to reviewed documents (see llm.clause_model); no word is listed here. Words that the fit found
+telling decide where a sign can be read either way.
 """
 
 from __future__ import annotations
 
 import html
-import math
 import re
 import unicodedata
 from collections import Counter
@@ -20,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grovelight.llm.clause_model import ClauseModel, Scorer, fit
+
 A = 27  # word border and 26 letters
 ORDER = 4
 CONTEXTS = A ** (ORDER - 1)
@@ -37,15 +40,18 @@ PLAIN = str.maketrans({"ß": "ss", "ł": "l", "œ": "oe", "æ": "ae", "ø": "o",
 SUSPECT = re.compile(
     r"[\u00ad\u200b-\u200d\u2060\ufeff\ufffd\u0370-\u04ff]|[^\W\d_][0-9@$!|+€£*#?]+[^\W\d_]|^[@$0-9*]+[^\W\d_]+|[^\W\d_]\*|([^\W\d_])\1\1|(?:^|\W)[^\W\d_](?:[.\-_*'|][^\W\d_](?![^\W_])){2}|[ÃÂÄÅĹĂ][^\x00-\x7f]"
 )
-#: Plain but for signs at its end or beginning, or with doubled letters: looked at if a word of TELLING can be meant.
+#: Plain but for signs at its end or beginning, or with doubled letters: looked at if a telling word can be meant.
 END = re.compile(r"[^\W\d_][0-9@$|+€£!]+$")
 START = re.compile(r"^\d+[a-z]{1,3}$")
 TWICE = re.compile(r"([a-z])\1")
 JOINT = re.compile(r"([\-/'_.,]+)")
 SPACED = re.compile(r"(?<![\w@])[\w@$](?:[ .\-_*'|]+[\w@$](?![\w@])){2,}")
 TOKEN = re.compile(r"\S+")
+MIXED = re.compile(r"[a-z][\u0370-\u04ff]|[\u0370-\u04ff][a-z]")
+SIGNS = "0123456789@$|+€£!"
 APART = re.compile(r"(?<!\S)[\w@$](?:\W+[\w@$](?![\w@])){2}")
 EDGES = ".,;:!?\"'()[]{}«»“”„…"
+EDGES_BUT = EDGES.replace("!", "")
 
 
 def _fold(m: re.Match) -> str:
@@ -56,7 +62,7 @@ class _Folded(dict):
     """Plain letters of a sign, worked out when it is first met."""
 
     def __missing__(self, code: int) -> str:
-        c = chr(code).translate(HIDDEN).translate(LOOKALIKE).translate(PLAIN)
+        c = chr(code).translate(HIDDEN).translate(PLAIN)
         self[code] = out = ACCENTS.sub("", unicodedata.normalize("NFKD", c))
         return out
 
@@ -67,9 +73,13 @@ FOREIGN = re.compile(r"[^\x00-\x7f]+")
 
 
 def folded(text: str) -> str:
-    """Lower case, no accents, look-alike letters as Latin ones."""
+    """Lower case, no accents. In a word that mixes scripts, look-alike letters as Latin ones; other scripts stay."""
     text = text.lower()
-    return text if text.isascii() else FOREIGN.sub(_fold, text)
+    if text.isascii():
+        return text
+    if MIXED.search(text):
+        text = TOKEN.sub(lambda m: m.group().translate(LOOKALIKE) if MIXED.search(m.group()) else m.group(), text)
+    return FOREIGN.sub(_fold, text)
 
 
 def mended(text: str) -> str:
@@ -166,8 +176,10 @@ class Decoder:
     FEW = 300  # contexts times strings of a step, beyond which arrays are faster
     BREAK = -4.0  # log chance of a word border between spaced letters, beyond the model's own
 
-    def __init__(self, model: np.ndarray) -> None:
+    def __init__(self, model: np.ndarray, telling: frozenset[str] = frozenset()) -> None:
         self.flat = model.reshape(CONTEXTS, A)
+        self.telling = telling
+        self.singled = frozenset(TWICE.sub(r"\1", w) for w in telling)
         self.known: dict[str, str] = {}
         self.plain: set[str] = set()
 
@@ -285,18 +297,18 @@ class Decoder:
         """
         if END.search(core):
             body = core.rstrip(SIGNS)
-            if len(body) < 2 or body in TELLING or not body.isalpha():
+            if len(body) < 2 or body in self.telling or not body.isalpha():
                 return None
-        elif not START.search(core) and not (TWICE.search(core) and core not in TELLING and TWICE.sub(r"\1", core) in SINGLED):
+        elif not START.search(core) and not (TWICE.search(core) and core not in self.telling and TWICE.sub(r"\1", core) in self.singled):
             return None
         best = self.decode(core)
-        return best if best in TELLING else None
+        return best if best in self.telling else None
 
     def joined(self, signs: str) -> str:
         """Signs that were set apart; digits at the end stay unless only with them it is a telling word."""
         end = re.search(r"\d*$", signs).group()
         alone = self.decode(signs[: len(signs) - len(end)], True)
-        if end and alone not in TELLING and (best := self.decode(signs, True)) in TELLING:
+        if end and alone not in self.telling and (best := self.decode(signs, True)) in self.telling:
             return best
         return alone + end
 
@@ -343,123 +355,6 @@ class Decoder:
         return SPACED.sub(spaced, text)
 
 
-# ---- fixed values: word lists, folded, in English, German, French, Spanish and Polish
-
-INSULT = frozenset(
-    """asshole arsehole bastard bitch cretin creep cunt dickhead dipshit douchebag dumbass fuckface fucker halfwit idiot imbecile jackass
-    loser lowlife moron motherfucker parasite pig prick retard scum scumbag shithead slut twat wanker whore worm clown swine dimwit nitwit bonehead degenerate
-    arschloch missgeburt idiot idiotin depp trottel wichser hurensohn schlampe drecksau vollidiot hure spast schwein
-    connard connasse abruti ordure salope salaud encule batard cretin imbecile pute debile
-    imbecil gilipollas basura cabron idiota pendejo puta maricon capullo zorra estupido
-    idiota idiotka debil debila kretyn szmata kurwa skurwysyn dupek gnoj frajer smiec idiotą"""
-    .replace("ą", "a").split()
-)
-CRUEL = frozenset(
-    """absolute bloody brainless damned dirty disgusting fucking filthy goddamn lying miserable pathetic repulsive spineless stupid ugly useless worthless rotten vile dumb shitty
-    verdammter verdammte dreckiger dreckige dummer dumme widerlicher widerliche blode bloder scheiss hasslicher
-    sale foutu foutue pauvre miserable putain
-    puto puta maldito maldita asqueroso asquerosa pobre miserable estupido
-    glupi glupia cholerny cholerna zasrany zasrana pieprzony brudny""".split()
-)
-DEBASE = frozenset(
-    """vermin rats rat animals cockroaches scum trash garbage filth thieves parasites subhuman subhumans lice criminals
-    ratten tiere abschaum ungeziefer parasiten dreck rats vermine cafards racaille animaux
-    ratas basura alimanas animales escoria cucarachas szczury robactwo bydlo zwierzeta smieci karaluchy""".split()
-)
-GROUP = re.compile(
-    r"\b(?:(?:im)?migrants?|foreigners?|refugees?|gays?|lesbians|women|men|jews|muslims|christians|blacks|whites|gypsies|newcomers|southerners|northerners|easterners|westerners"
-    r"|(?:gay|old|young|disabled|poor|black|trans|jewish|hill|marsh|river|fat|religious|homeless|immigrant) (?:people|families|clans|folk|women|men|kids)|those (?:believers|people|folk)|believers|the [a-z]+(?:ari|ali|kin|ani|iri|uri|esh)|the [a-z]+ (?:people|clans)"
-    r"|(?:alle )?(?:auslander|fremden|fluchtlinge|juden|schwulen|zigeuner)|(?:les |tous les )?(?:etrangers|immigres|refugies|juifs|migrants|arabes)|(?:los )?(?:extranjeros|inmigrantes|refugiados|judios|gitanos|moros)|(?:wszyscy )?(?:obcy|imigranci|uchodzcy|zydzi|cyganie))\b"
-)
-PORN = frozenset(
-    """porn porno pornos pornography xxx blowjob blowjobs orgy orgies escorts escort strippers stripper swingers camgirls sexcam cumshot gangbang milf milfs handjob threesome dildo
-    sexcams ficken muschi titten nutten salopes nichons chatte baise tetas follar coño polla cipki cycki ruchanie""".split()
-)
-LEWD = frozenset(
-    """adult busty dripping erotic explicit fetish hardcore horny hot kinky live naked nude nudes sex sexy steamy topless uncensored webcam wet cam x-rated rated lingerie lesbian nackte nackt heisse heisen geile geil nue nues nus chaude chaudes coquine coquines desnudas desnuda calientes caliente
-    naga nagie nagich gorace""".split()
-)
-LURE = frozenset(
-    """free tonight girlfriend girls chat room clips videos video movies tapes shows show click enter watch meet limits included massages singles adults scenes now
-    gratis gratuites gratuit filles zeigen alles frauen chicas censura gratis darmowe filmy dziewczyny limites""".split()
-)
-EXEMPT = re.compile(
-    r"\b(?:condemn\w*|dictionary|dialect|glossary|thesaurus|definition|means|word for|lists|listed|moderators?|moderation|posts that|comments that|removed by|are removed|is removed|forbidden|prohibit\w*|banned|not allowed|house rules|guidelines|policy"
-    r"|research\w*|stud(?:y|ies|ied)|survey(?:ed)? (?:of|on)|scholars?|historians?|professor|thesis|archive of|documents how|court|judge|jury|tribunal|sentenced|convicted|fined|police|prosecut\w*|lawsuit|witness(?:es)?|testif\w*|reported that|report(?:s)? (?:on|that|about)|according to|quoted?|headline"
-    r"|screening|clinic|health|medical|doctors?|nurses?|patients?|hospital|cancer|consent|leaflet|pupils|teenagers|parents|lesson|school|biology|anatomy|museum|gallery|sculpt\w*|bronzes?|marble|painter\w*|exhibit\w*"
-    r"|recipe|torte|cake|oven|chicken|breast,|thigh|roast\w*|kennels?|pups|pedigree|pointer|poultry|rooster|hens?|crowed|farmers? |wasps|pest|terminal|process|parent|child processes|server|script|command|daemon|kernel|zombie"
-    r"|silly me|i was|i am such|i'm such|i feel|my own|myself|worterbuch|gericht|polizei|forscher\w*|studie|museum|klinik|arzt|dictionnaire|tribunal|police|chercheu\w*|etude|musee|clinique|medecin|diccionario|juez|policia|investigador\w*|estudio|museo|clinica|medico|slownik|sad|policja|badacz\w*|badanie|muzeum|lekarz)\b"
-)
-# Constructions that threaten, wish harm or debase, whatever words fill them
-HARM = re.compile(
-    r"know where you live|you will not walk (?:home|away)|watch your back|(?:break|smash|cut|kick|punch|crush) (?:your|their|his|her)(?: \w+)? (?:legs?|face|neck|teeth|head|skull|arms?|bones|throat)|(?:i|we) will (?:kill|hurt|find|beat|burn|hunt|destroy|end|rape|stab|shoot) you|we are coming for you"
-    r"|hope you (?:die|rot|suffer|choke|drown|burn|bleed|get cancer)|(?:go )?kill yourself|drink bleach|world would be better (?:off )?(?:without you)?|(?:should|must|ought to) (?:beat|hang|shoot|stab|kill|burn|drown|whip|gas) \w+|i am bringing a (?:bat|knife|gun)|deserves? to (?:die|be (?:beaten|shot|killed|hanged|raped))"
-    r"|wo du wohnst|schlag(?:e)? dich (?:zusammen|tot)|bring(?:e)? dich um|verpiss dich|halt (?:endlich )?(?:die fresse|dein maul)|fick dich|verreck|du sollst sterben"
-    r"|(?:sais|sait) ou tu habites|te casser la|va crever|ferme ta gueule|va te faire|je vais te (?:tuer|frapper|casser)|nique ta|tout le monde te deteste"
-    r"|se donde vives|te voy a (?:romper|matar|partir|pegar)|ojala te (?:mueras|mates|maten)|callate (?:ya|la boca)|das asco|vete a la mierda|hijo de puta"
-    r"|gdzie mieszkasz|polamie ci|zabije cie|zamknij (?:ryj|sie|morde)|zdechnij|spierdalaj|wypierdalaj|zdychaj"
-)
-ADDRESS = re.compile(
-    r"\b(?:you|your|you're|youre|u|ur|du|dich|dir|dein\w*|bist|tu|te|toi|t'es|ta|tes|espece de|eres|tienes que|vosotros|ty|cie|ci|jestes)\b|\b(?:get lost|shut up|go away|go cry|everyone (?:here |in this thread )?knows|nothing but an?|is an? absolute|hey)\b"
-)
-DRIVEN = re.compile(
-    r"driven out|do not belong|don't belong|not belong here|not (?:real|fully) humans?|lock them up|burn the key|near my children|allowed to vote|breed like|smaller brains|ruin every|serve (?:them|\w+ \w+)|keep (?:the |those )?(?!dogs?|cats?|pets?|goats?|horses?)[\w ]+? out,? they|send them back|wipe them out|go back (?:to|where)|by nature|all (?:of them )?(?:the same|worthless)"
-    r"|gehoren raus|raus aus|ausschaffen|abschieben|degagent|hors d'ici|dehors|renvoyer|fuera de|que se vayan|won z|precz|wynocha"
-)
-ACT = re.compile(
-    r"\b(?:had (?:\w+ )?(?:\w+ )?sex\b|moaned|orgasm\w*|thrust(?:ing|s)? (?:into|inside)|pushed inside|between (?:her|his) (?:thighs|legs)|pulled off (?:his|her) clothes|until both of them came|(?:her|his) (?:nipples|cock|dick|pussy|tits|clit)|licked (?:her|his)|spread her legs|undressed|naked body|mirrors crack|ejaculat\w*)\b"
-)
-WEAK = re.compile(r"waste of air|waste of space|dropped on (?:the|your) head|emptier than a|mirrors crack when you|nobody likes you|go cry|whole family is|how \w+ can one person be|brain is|only an? \w+ would write|wish you were never born|everyone hates you|in one piece|nothing moves|you sound like an?")
-CLAUSE = re.compile(r"(?<=[.!?;:])\s+|\n+")
-WORDS_PLAIN = re.compile(r"[a-z][a-z'\-]*")
-#: Words that can raise a score: those of the lists, and those that the constructions ask for.
-TELLING = (INSULT | CRUEL | DEBASE | PORN | LEWD | LURE).union(
-    w for r in (HARM, WEAK, DRIVEN, ACT, GROUP, ADDRESS) for w in re.findall(r"(?<![a-z\\\])])[a-z]{3,}(?![a-z]*[\\\[(])", re.sub(r"\(\?:[^()]*\)\?", "", r.pattern))
-)
-SINGLED = frozenset(TWICE.sub(r"\1", w) for w in TELLING)
-SIGNS = "0123456789@$|+€£!"
-EDGES_BUT = EDGES.replace("!", "")
-WEIGHTS = {"insult": 1.2, "cruel": 0.7, "address": 1.1, "harm": 3.2, "group": 1.2, "debase": 0.9, "driven": 1.8, "porn": 2.0, "lewd": 0.9, "lure": 0.5, "act": 3.4, "weak": 2.4, "exempt": -3.2}
-BIAS = -3.0
-
-
-def clause_features(clause: str) -> dict[str, float]:
-    words = WORDS_PLAIN.findall(clause)
-    have = set(words)
-    f = {
-        "insult": min(2, len(have & INSULT)),
-        "cruel": min(2, len(have & CRUEL)),
-        "porn": min(2, len(have & PORN)),
-        "lewd": min(3, len(have & LEWD)),
-        "debase": min(1, len(have & DEBASE)),
-        "address": float(bool(ADDRESS.search(clause))),
-        "harm": float(bool(HARM.search(clause))),
-        "group": float(bool(GROUP.search(clause))),
-        "driven": float(bool(DRIVEN.search(clause))),
-        "act": float(bool(ACT.search(clause))),
-        "weak": float(bool(WEAK.search(clause))),
-        "exempt": 0.0,
-    }
-    f["lure"] = min(3, len(have & LURE)) if f["lewd"] or f["porn"] else 0
-    if not f["insult"] and not f["debase"] and not f["harm"] and not f["driven"] and not f["weak"]:
-        f["address"] = min(f["address"], 0.3)
-    return f
-
-
-def clause_score(clause: str) -> float:
-    """Chance that the clause is abusive; a setting that reports, teaches or means something else weighs against it."""
-    f = clause_features(clause)
-    z = BIAS + sum(WEIGHTS[k] * v for k, v in f.items())
-    if z > -1.5 and EXEMPT.search(clause):
-        z += WEIGHTS["exempt"]
-    return 1 / (1 + math.exp(-z))
-
-
-def text_score(restored: str) -> float:
-    """Highest score of a clause of the restored text; every clause is scored."""
-    return max(clause_score(clause) for clause in set(CLAUSE.split(restored)))
-
-
 # ---- the operator
 
 
@@ -471,28 +366,76 @@ def trained_model(docs: DataFrame, text: str = "text") -> np.ndarray:
     return language_model(counts)
 
 
-def scored(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id", "source"), model: np.ndarray | None = None) -> DataFrame:
-    """``keep`` and ``score`` (0..1) of every document: the highest chance of any of its clauses.
+def restored(docs: DataFrame, model: np.ndarray, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` and ``restored``: the text with its disguised words decoded, folded; NULL becomes empty."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB whatever the corpus
+
+    @F.arrow_udf("string")
+    def restore(col: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        d = Decoder(shared.value)
+        for c in col:
+            yield pa.array([d.restore(t) if t else "" for t in c.to_pylist()], pa.string())
+
+    return docs.select(*keep, restore(F.col(text).cast("string")).alias("restored"))
+
 
-    A NULL or empty text scores 0. Whole texts are read. No shuffle but for the model's counts; the
-    model is broadcast, 2 MB whatever the corpus. Equal texts score alike. Extra columns are ignored.
+def reviewed(docs: DataFrame, labels: DataFrame, max_reviews: int = 8000, text: str = "text") -> DataFrame:
+    """doc_id, text, toxic of at most about ``max_reviews`` reviewed documents, the bound of the fit.
+
+    Up to half of the bound are positive reviews, the rest negative ones, each chosen by a hash of
+    doc_id. Of a document reviewed several times the mean counts; NULL reviews and reviews without a
+    document are left out.
+    """
+    one = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("d")).agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
+    n = {r.toxic: r.n for r in one.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
+    pos = min(n.get(1, 0), max_reviews // 2)
+    share = {1: pos / max(1, n.get(1, 0)), 0: (max_reviews - pos) / max(1, n.get(0, 0))}
+    u = F.pmod(F.xxhash64(F.lit("review"), "d"), F.lit(1_000_000)) / 1e6
+    some = one.filter(u < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
+    return docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(some), F.col("doc_id") == F.col("d")).drop("d")  # at most max_reviews rows
+
+
+def fitted(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_reviews: int = 8000, text: str = "text") -> ClauseModel:
+    """Weights of clauses, from the bounded sample of reviews (see :func:`reviewed`)."""
+    need = restored(reviewed(docs, labels, max_reviews, text), model, keep=("doc_id", "toxic"))
+    t = need.toArrow().sort_by("doc_id")  # at most about max_reviews documents
+    return fit(t["restored"].to_pylist(), t["toxic"].to_numpy())
+
+
+def scored(docs: DataFrame, labels: DataFrame | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id", "source"), model: np.ndarray | None = None, scorer: ClauseModel | None = None, max_reviews: int = 8000) -> DataFrame:
+    """``keep`` and ``score`` (0..1) of every document: the highest score of any of its clauses; 0.5 and more counts as abusive.
+
+    ``labels``: doc_id, toxic (0, 1 or NULL), reviews to which the scorer is fitted unless one is
+    given; ``max_reviews`` bounds how many are used. ``model`` and ``scorer`` can be kept and passed in
+    again. A NULL or empty text scores 0, as does everything where no positive or no negative review
+    exists. Whole texts are read. No shuffle but for the model's counts; the model (2 MB) and the
+    weights (1 MB) are broadcast, whatever the corpus. Equal texts score alike. Extra columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(trained_model(docs, text) if model is None else model)
+    model = trained_model(docs, text) if model is None else model
+    if scorer is None:
+        if labels is None:
+            raise ValueError("labels or a scorer are needed")
+        scorer = fitted(docs, labels, model, max_reviews, text)
+    shared = docs.sparkSession.sparkContext.broadcast((model, scorer))
 
     @F.arrow_udf("double")
     def score(col: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        d = Decoder(shared.value)
+        lm, weights = shared.value
+        d, s = Decoder(lm, weights.telling), Scorer(weights)
         for c in col:
-            yield pa.array([text_score(d.restore(t)) if t else 0.0 for t in c.to_pylist()], pa.float64())
+            texts = c.to_pylist()
+            for k in range(0, len(texts), 500):
+                texts[k : k + 500] = s.scores([d.restore(t) if t else "" for t in texts[k : k + 500]]).tolist()
+            yield pa.array(texts, pa.float64())
 
     return docs.select(*keep, score(F.col(text).cast("string")).alias("score"))
 
 
-def abusive(scores: DataFrame, threshold: float = 0.3) -> DataFrame:
+def abusive(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
     return scores.filter(F.col("score") >= threshold)
 
 
-def rates(scores: DataFrame, threshold: float = 0.3) -> DataFrame:
+def rates(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
     """source, docs, abusive, rate, mean_score; a NULL source is a group of its own."""
     hit = (F.col("score") >= threshold).cast("int")
     return scores.groupBy("source").agg(F.count("*").alias("docs"), F.sum(hit).alias("abusive"), F.avg(hit).alias("rate"), F.avg("score").alias("mean_score"))

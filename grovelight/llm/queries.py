@@ -59,15 +59,15 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return abuse.abusive(abuse.scored(table(spark, d, "documents"))).select("doc_id")
+    return abuse.abusive(abuse.scored(table(spark, d, "documents"), table(spark, d, "doc_labels"))).select("doc_id")
 
 
 def p8_scores(spark: SparkSession, d: str) -> DataFrame:
-    return abuse.scored(table(spark, d, "documents"))
+    return abuse.scored(table(spark, d, "documents"), table(spark, d, "doc_labels"))
 
 
 def p8_rates(spark: SparkSession, d: str) -> DataFrame:
-    return abuse.rates(abuse.scored(table(spark, d, "documents")))
+    return abuse.rates(abuse.scored(table(spark, d, "documents"), table(spark, d, "doc_labels")))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_report, p6_found, p6_report, p7_found, p7_shares, p7_mix, p8_found, p8_scores, p8_rates)}

@@ -396,10 +396,24 @@ def reviewed(docs: DataFrame, labels: DataFrame, max_reviews: int = 8000, text:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_reviews: int = 8000, text: str = "text") -> ClauseModel:
-    """Weights of clauses, from the bounded sample of reviews (see :func:`reviewed`)."""
-    need = restored(reviewed(docs, labels, max_reviews, text), model, keep=("doc_id", "toxic"))
-    t = need.toArrow().sort_by("doc_id")  # at most about max_reviews documents
-    return fit(t["restored"].to_pylist(), t["toxic"].to_numpy())
+    """Weights of clauses, from the bounded sample of reviews (see :func:`reviewed`), fitted in one task; weights that are not 0 come to the driver."""
+    need = restored(reviewed(docs, labels, max_reviews, text), model, keep=("doc_id", "toxic")).repartition(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)  # at most about max_reviews documents
+        if not held:
+            return
+        t = pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("restored", "ascending")])
+        m = fit(t["restored"].to_pylist(), t["toxic"].to_numpy())
+        at = np.flatnonzero(m.weights)
+        yield pa.RecordBatch.from_arrays([pa.array([m.bias]), pa.array([sorted(m.telling)]), pa.array([at.astype(np.int32)], pa.list_(pa.int32())), pa.array([m.weights[at]], pa.list_(pa.float32()))], ["bias", "telling", "at", "weight"])
+
+    got = need.mapInArrow(run, "bias double, telling array<string>, at array<int>, weight array<float>").toArrow()
+    m = ClauseModel()
+    if got.num_rows:
+        m.bias, m.telling = got["bias"][0].as_py(), frozenset(got["telling"][0].as_py())
+        m.weights[got["at"][0].values.to_numpy()] = got["weight"][0].values.to_numpy()
+    return m
 
 
 def scored(docs: DataFrame, labels: DataFrame | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id", "source"), model: np.ndarray | None = None, scorer: ClauseModel | None = None, max_reviews: int = 8000) -> DataFrame:

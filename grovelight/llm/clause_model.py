@@ -5,7 +5,7 @@ of a negative document is a negative case; of a positive document only the claus
 far scores highest is a positive one. Features are hashed: each word, its beginning, pairs of
 neighbouring words and pairs one word apart. Reviews that the models of the other folds contradict
 strongly are taken for wrong and left out. The bias is set so that 0.5 is the score at which the
-cross-validated F1 is best.
+cross-validated F0.5 is best.
 """
 
 from __future__ import annotations
@@ -159,7 +159,7 @@ def out_of_fold(s: _Sample, folds: int, use: np.ndarray | None = None) -> np.nda
     return out
 
 
-def best_cut(z: np.ndarray, y: np.ndarray, beta: float = 1.0) -> float:
+def best_cut(z: np.ndarray, y: np.ndarray, beta: float = 0.5) -> float:
     """Value from which on documents count as positive, for the best F score."""
     order = np.argsort(-z, kind="stable")
     hit = np.cumsum(y[order])

@@ -18,8 +18,9 @@ import xxhash
 
 TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)*|[.!?;:…]+(?=\s)|\n+")
 BITS = 18
+PENALTY = 0.2  # of squared weights, beside a loss that adds up over clauses
 MOST_DOUBTED = 0.15  # share of the positive reviews that may be taken for wrong
-LONGEST, STEP = 30, 15  # words of a clause; longer ones are cut into overlapping windows
+LONGEST, STEP = 16, 8  # words of a clause; longer ones are cut into overlapping windows
 SHIFT = np.uint64(64 - BITS)
 #: Odd multipliers of the feature hashes.
 MULTIPLY, FIRST, APART = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -117,7 +118,7 @@ class _Sample:
         seen, seen_b = np.full(len(w), 1e-6), 1e-6
         for _ in range(rounds):
             r = (sigmoid(np.bincount(c, w[f] * v, self.n) + bias) - y) * weight
-            g = np.bincount(f, r[c] * v, len(w)) + 0.01 * w
+            g = np.bincount(f, r[c] * v, len(w)) + PENALTY * w
             seen += g * g
             w = w - 0.5 * g / np.sqrt(seen)
             seen_b += r.sum() ** 2

@@ -90,10 +90,42 @@ def test_copies_without_the_rare_words():
             cut[0] = t.split()[0]
         docs += [(2 * d, filler(60 * (d % 4)) + " " + " ".join(cut) + " " + filler(120)), (2 * d + 1, " ".join(r.sample(cut, len(cut))))]
     index = c.Index().build(items)
-    got = {(i, d) for d, t in docs for i in index.edited(c.words_of(t), index.passages(c.words_of(t)))}
+    got = {(i, docs[d][0]) for i, d, kind in index.search([t for _, t in docs]) if kind == "edited"}
     assert got == brute(docs, items) >= {(i, 2 * i) for i, _ in items}
 
 
+def test_template_items():
+    """Items on one template: a document that holds only the template's words holds two thirds of each."""
+    r = random.Random(2)
+    template = [f"t{k}" for k in range(27)]
+    items = []
+    for i in range(60):
+        w = list(template)
+        for k in sorted(r.sample(range(28), 9), reverse=True):
+            w.insert(k, f"own{i}x{k}")
+        items.append((i, " ".join(w)))
+    index = c.Index().build(items)
+    docs = [filler(40) + " " + " ".join(template) + " " + filler(90), filler(50) + " " + " ".join(reversed(template))]
+    got = index.search(docs)
+    assert {(i, d) for i, d, _ in got} == brute(list(enumerate(docs)), items) == {(i, 0) for i in range(60)}
+
+
+def test_recall_on_common_words():
+    """Items of frequent words only, random edits: the same pairs as by brute force, each document alone or in a batch."""
+    r = random.Random(11)
+    common = [f"c{k}" for k in range(60)]
+    items = [(i, " ".join(r.choice(common) for _ in range(r.choice([1, 2, 5, 11, 12, 13, 30, 60, 64, 90])))) for i in range(30)]
+    docs = []
+    for d in range(60):
+        w = r.choice(items)[1].split()
+        part = [x for x in w if r.random() < 0.8]
+        docs.append((d, " ".join(r.choice(common) for _ in range(r.randrange(80))) + " " + " ".join(part) + " " + " ".join(r.choice(common) + "q" for _ in range(r.randrange(80)))))
+    index = c.Index().build(items)
+    want = brute(docs, items)
+    assert {(i, d) for i, d, _ in index.search([t for _, t in docs])} == want and len(want) > 100
+    assert {(i, d) for d, t in docs for i, _, _ in index.search([t])} == want
+
+
 def test_words():
     assert c.words_of("A&amp;B <p class='x'>c<b>d</b>e</p> caf&eacute;­​s\nF_g-h") == ["a", "b", "cde", "cafés", "f", "g", "h"]
     assert c.words_of(None) == [] and c.words_of("  ") == []

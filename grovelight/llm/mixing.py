@@ -52,21 +52,16 @@ def mix_plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     return p.withColumn("rate", F.when(F.col("size") > 0, F.least(F.col("wanted") / F.col("size"), F.col("max_repeats").cast("double"))).otherwise(0.0))
 
 
-def plan_of(docs: DataFrame, targets: DataFrame, path: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
-    """Documents with their tokens, and the plan."""
-    sized = with_tokens(docs, path=path)
-    return sized, mix_plan(sized.groupBy("source").agg(F.sum("tokens").alias("size")), targets)
-
-
 def copies_of(sized: DataFrame, plan: DataFrame, seed: int = 17) -> DataFrame:
     """mix_id, source, doc_id, tokens, copies: floor(rate) copies and one more with the chance of the rest.
 
-    The chance is decided by a hash of (seed, mix, doc_id), so the draw is the same on any cluster
+    The chance is decided by the digest of (seed, mix, doc_id), so the draw is the same on any cluster
     and in any order. Only rows with at least one copy come out. The plan is joined by broadcast
     where it has few rows, so a source that holds most documents is not shuffled to one task.
     """
     rates = maybe_broadcast(plan.filter("rate > 0").select("mix_id", "source", "rate", "max_repeats"))
-    u = F.pmod(F.xxhash64(F.lit(seed), "mix_id", "doc_id"), F.lit(1 << 53)) / float(1 << 53)
+    # 52 bits of a digest that every SQL engine has
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "mix_id", F.col("doc_id").cast("string"))), 1, 13), 16, 10).cast("long") / float(1 << 52)
     whole = F.floor("rate")
     out = sized.join(rates, "source").withColumn("copies", F.least(whole + (u < F.col("rate") - whole).cast("long"), F.col("max_repeats").cast("long")))
     return out.filter("copies > 0").select("mix_id", "source", "doc_id", "tokens", "copies")
@@ -85,8 +80,8 @@ def shares(copies: DataFrame, plan: DataFrame) -> DataFrame:
     return out.select("mix_id", "source", "target_weight", F.coalesce(F.col("tokens") / F.col("mix_tokens"), F.lit(0.0)).alias("reached_share"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("docs", F.lit(0)).alias("docs"), "rate", "short")
 
 
-def mixed(docs: DataFrame, targets: DataFrame, path: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
-    """The copies and the plan, with the token counts computed once."""
-    sized = cut(with_tokens(docs, path=path))
-    plan = mix_plan(sized.groupBy("source").agg(F.sum("tokens").alias("size")), targets)
+def mixed(docs: DataFrame, targets: DataFrame, path: str = VOCABULARY, size: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The copies and the plan. Every document is tokenised once; ``size`` names a column to take instead of token counts."""
+    sized = cut(with_tokens(docs, path=path)) if size is None else docs.select("doc_id", "source", F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("tokens"))
+    plan = cut(mix_plan(cut(sized.groupBy("source").agg(F.sum("tokens").alias("size"))), targets))  # rows per source, rows per target
     return copies_of(sized, plan), plan

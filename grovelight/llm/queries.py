@@ -3,22 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from grovelight.llm import abuse, contamination, mixing, quota_sampling, split_overlap
-from grovelight.sources.tables import table
+from grovelight.sources.tables import cut, table
 
 
 def _allocation(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = quota_sampling.usable_rows(table(spark, d, "raw_data_labeled"))
-    return rows, quota_sampling.allocation(quota_sampling.counted(rows), table(spark, d, "label_targets"))
+    return rows, cut(quota_sampling.allocation(quota_sampling.counted(rows), table(spark, d, "label_targets")))  # one row per target
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return _allocation(spark, d)[1].filter("short").select("plan_id", "label_id")
+    return p1_report(spark, d).filter("short").select("plan_id", "label_id")
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
-    return _allocation(spark, d)[1]
+    return quota_sampling.report(*_allocation(spark, d))
 
 
 def p1_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -47,7 +48,7 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.plan_of(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1].filter("short").select("mix_id", "source")
+    return p7_shares(spark, d).filter("short").select("mix_id", "source")
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
@@ -58,6 +59,16 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.emit(mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0])
 
 
+def p7_shares_by_chars(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of mixes whose sizes are characters, which SQL can count."""
+    s = mixing.shares(*mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"), size="n_chars"))
+    return s.select("mix_id", "source", "tokens", "docs", F.round("rate", 6).alias("rate"), F.round("reached_share", 6).alias("reached_share"), "short")
+
+
+def p7_mix_by_chars(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.emit(mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"), size="n_chars")[0])
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return abuse.abusive(abuse.scored(table(spark, d, "documents"), table(spark, d, "doc_labels"))).select("doc_id")
 
@@ -70,15 +81,58 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates(abuse.scored(table(spark, d, "documents"), table(spark, d, "doc_labels")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_report, p6_found, p6_report, p7_found, p7_shares, p7_mix, p8_found, p8_scores, p8_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_report, p6_found, p6_report, p7_found, p7_shares, p7_mix, p7_shares_by_chars, p7_mix_by_chars, p8_found, p8_scores, p8_rates)}
 
 _USABLE = """
-with u as (select cast(greatest(label, 0) as int) as label_id from raw_data_labeled
+with u as (select row_id, cast(greatest(label, 0) as int) as label_id from raw_data_labeled
            where split_name = 'train' and label is not null and not isnan(label) and greatest(label, 0) <= 11),
      c as (select label_id, count(*) as available from u group by label_id),
-     t as (select t.plan_id, t.label_id, t.min_rows, coalesce(available, 0) as available,
-                  target_share * (sample_share * (select count(*) from u)) as wanted
-           from label_targets t left join c on c.label_id = t.label_id)
+     n as (select count(*) as usable from u),
+     t as (select t.plan_id, t.label_id, t.target_share, t.min_rows, coalesce(available, 0) as available,
+                  target_share * (sample_share * usable) as wanted,
+                  (cast(round(sample_share * 1000000) as bigint) * usable + 500000) // 1000000 as size, cast(round(target_share * 1000000) as bigint) as micro
+           from n, label_targets t left join c on c.label_id = t.label_id)
+"""
+
+
+def _dealt(tag: str, room: str) -> str:
+    """Quotas of the binary label tree, level by level: every node shares its quota between two children, in whole numbers."""
+    out = [
+        f"l{tag} as (select plan_id, label_id, size, cast({room} as hugeint) as room, cast(least(min_rows, {room}) as hugeint) as kept, cast(greatest(0, micro * size - cast(min_rows as bigint) * 1000000) + 1 as hugeint) as weight from t)",
+        f"q{tag}4 as (select plan_id, 0 as node, least(greatest(max(size), sum(kept)), sum(room)) as q from l{tag} group by plan_id)",
+    ]
+    for k in (3, 2, 1, 0):
+        side = ", ".join(f"coalesce(sum({c}) filter ((label_id >> {k}) & 1 = {b}), 0) as {c}{b}" for c in ("room", "kept", "weight") for b in (0, 1))
+        out += [
+            f"a{tag}{k} as (select l.plan_id, label_id >> {k + 1} as node, max(q) as q, {side} from l{tag} l join q{tag}{k + 1} q on q.plan_id = l.plan_id and q.node = label_id >> {k + 1} group by l.plan_id, label_id >> {k + 1})",
+            f"b{tag}{k} as (select *, q - kept0 - kept1 as f, weight0 + weight1 as w from a{tag}{k})",
+            f"d{tag}{k} as (select *, kept0 + (f * weight0) // w + case when (f * weight0) % w >= (f * weight1) % w then f - (f * weight0) // w - (f * weight1) // w else 0 end as want0 from b{tag}{k})",
+            f"e{tag}{k} as (select *, least(room0, greatest(want0, q - room1)) as q0 from d{tag}{k})",
+            f"q{tag}{k} as (select plan_id, 2 * node as node, q0 as q from e{tag}{k} union all select plan_id, 2 * node + 1, q - q0 from e{tag}{k})",
+        ]
+    return ", ".join(out)
+
+
+_ALLOCATED = _USABLE + f", {_dealt('x', 'available')}, {_dealt('y', '1000000000000000')}" + """,
+     alloc as (select t.*, cast(x.q as bigint) as quota, cast(greatest(0, y.q - available) as bigint) as passed, cast(greatest(0, x.q - least(y.q, available)) as bigint) as received,
+                      available < min_rows or available < wanted as short
+               from t join qx0 x on x.plan_id = t.plan_id and x.node = label_id join qy0 y on y.plan_id = t.plan_id and y.node = label_id),
+     a0 as (select row_id, label_id, (((row_id % 2147483647) + 2147483647) % 2147483647 * 48271 + 11) % 2147483647 as a from u),
+     o as (select row_id, label_id, ((a % 46337) * 46309 + a // 46337 * 7919 + 13) % 2147483647 as place from a0),
+     k as (select *, row_number() over (partition by label_id order by place, row_id) as k from o),
+     s as (select plan_id, alloc.label_id, row_id from alloc join k on k.label_id = alloc.label_id and k.k <= quota),
+     g as (select plan_id, label_id, count(*) as drawn from s group by plan_id, label_id),
+     r as (select plan_id, label_id, target_share, min_rows, available, wanted, quota, passed, received, short, coalesce(drawn, 0) as drawn, cast(sum(coalesce(drawn, 0)) over (partition by plan_id) as bigint) as sample_rows
+           from alloc left join g using (plan_id, label_id))
+"""
+_MIX = """
+with s as (select source, cast(sum(coalesce(n_chars, 0)) as bigint) as size from documents group by source),
+     t as (select mix_id, t.source, max_repeats, coalesce(size, 0) as size, target_weight * budget_share * (select sum(size) from s) as wanted from mix_targets t left join s on s.source = t.source),
+     p as (select *, size * max_repeats < wanted as short, case when size > 0 then least(wanted / size, cast(max_repeats as double)) else 0.0 end as rate from t),
+     u as (select mix_id, p.source, doc_id, coalesce(n_chars, 0) as tokens, rate, max_repeats, cast('0x' || substr(md5('17:' || mix_id || ':' || doc_id), 1, 13) as bigint) / 4503599627370496.0 as u from p join documents d on d.source = p.source where rate > 0),
+     c as (select *, least(cast(floor(rate) as bigint) + case when u < rate - floor(rate) then 1 else 0 end, max_repeats) as copies from u),
+     g as (select mix_id, source, cast(sum(tokens * copies) as bigint) as tokens, count(*) as docs from c where copies > 0 group by mix_id, source),
+     m as (select mix_id, sum(tokens) as mix_tokens from g group by mix_id)
 """
 _PAIRS = """
 with r as (select row_id, split_name, source, list_transform(features, lambda x: case when isnan(x) then null else x end) as f from raw_data_labeled where row_id is not null and split_name is not null),
@@ -89,6 +143,10 @@ with r as (select row_id, split_name, source, list_transform(features, lambda x:
 """
 SQL = {
     "p1_found": _USABLE + "select plan_id, label_id from t where available < min_rows or available < wanted",
+    "p1_report": _ALLOCATED + "select *, round(case when sample_rows > 0 then drawn * 1.0 / sample_rows else 0.0 end, 6) as reached_share from r",
+    "p1_sample": _ALLOCATED + "select plan_id, label_id, row_id from s",
+    "p7_shares_by_chars": _MIX + "select p.mix_id, p.source, coalesce(g.tokens, 0) as tokens, coalesce(docs, 0) as docs, round(rate, 6) as rate, round(coalesce(g.tokens * 1.0 / mix_tokens, 0.0), 6) as reached_share, short from p left join g on g.mix_id = p.mix_id and g.source = p.source left join m on m.mix_id = p.mix_id",
+    "p7_mix_by_chars": _MIX + "select mix_id, source, doc_id, tokens, cast(unnest(range(1, copies + 1)) as bigint) as copy_no from c where copies > 0",
     "p2_found": _PAIRS + "select least(t_id, e_id) as row_id_a, greatest(t_id, e_id) as row_id_b from g",
     "p2_report": _PAIRS + "select split_name, source, count(*) as pairs, count(distinct e_id) as eval_rows from g group by split_name, source",
 }

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grovelight.llm import abuse, contamination, mixing, quota_sampling, split_overlap
+from grovelight.llm import radix_percentiles as rp
+from grovelight.llm import term_stats as ts
 from grovelight.sources.tables import cut, table
 
 
@@ -35,6 +37,32 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return split_overlap.overlap_report(split_overlap.overlaps(rows), rows)
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return ts.marked_terms(table(spark, d, "raw_data_sparse")).filter("mark <> 'kept'").select("kind", "term")
+
+
+def p4_term_frequencies(spark: SparkSession, d: str) -> DataFrame:
+    return ts.marked_terms(table(spark, d, "raw_data_sparse"))
+
+
+def _percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return rp.percentiles(rp.ordered_values(table(spark, d, "raw_data_sparse")))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return rp.outside_limits(_percentiles(spark, d), table(spark, d, "feature_limits")).select("source", "feature", "pct")
+
+
+def p5_kept_days(spark: SparkSession, d: str) -> DataFrame:
+    """Estimates from the histograms of days (two digits); their values have bounded error, so SQL has no equal."""
+    h = cut(rp.day_histograms(rp.ordered_values(table(spark, d, "raw_data_sparse")), 2))
+    return rp.estimates(rp.combined(h)).select("source", "feature", "pct", "n_values", "value")
+
+
+def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return _percentiles(spark, d).select("source", "feature", "pct", "n_values", "value")
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return contamination.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -81,7 +109,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates(abuse.scored(table(spark, d, "documents"), table(spark, d, "doc_labels")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_report, p6_found, p6_report, p7_found, p7_shares, p7_mix, p7_shares_by_chars, p7_mix_by_chars, p8_found, p8_scores, p8_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_report, p4_found, p4_term_frequencies, p5_found, p5_percentiles, p5_kept_days, p6_found, p6_report, p7_found, p7_shares, p7_mix, p7_shares_by_chars, p7_mix_by_chars, p8_found, p8_scores, p8_rates)}
 
 _USABLE = """
 with u as (select row_id, cast(greatest(label, 0) as int) as label_id from raw_data_labeled
@@ -125,6 +153,25 @@ _ALLOCATED = _USABLE + f", {_dealt('x', 'available')}, {_dealt('y', '10000000000
      r as (select plan_id, label_id, target_share, min_rows, available, wanted, quota, passed, received, short, coalesce(drawn, 0) as drawn, cast(sum(coalesce(drawn, 0)) over (partition by plan_id) as bigint) as sample_rows
            from alloc left join g using (plan_id, label_id))
 """
+_TERMS = """
+with x as (select row_id, 'idx' as kind, cast(unnest(idx) as bigint) as term from raw_data_sparse where row_id is not null
+           union all
+           select row_id, 'val' as kind, cast(round(v * 1000) as bigint) as term
+           from (select row_id, unnest(val) as v from raw_data_sparse where row_id is not null) where v is not null and not isnan(v)),
+     n as (select count(distinct row_id) as n_records from raw_data_sparse),
+     t as (select kind, term, count(distinct row_id) as docs, count(*) as occurrences from x where term is not null group by kind, term),
+     m as (select kind, term, docs, occurrences, n_records,
+                  case when docs < 3 then 'rare' when docs > 0.7 * n_records then 'common' else 'kept' end as mark from t, n)
+"""
+_PCT = """
+with c as (select row_id, source, part_day, idx, val,
+                  row_number() over (partition by row_id order by part_day, source) as k
+           from raw_data_sparse where source is not null and row_id is not null),
+     e as (select source, unnest(idx) as feature, unnest(val) as v from c where k = 1),
+     g as (select source, feature, count(*) as n_values, quantile_disc(v, [0.5, 0.9, 0.99]) as q
+           from e where feature between 0 and 7 and v is not null and not isnan(v) group by source, feature),
+     p as (select source, feature, n_values, unnest([50, 90, 99]) as pct, unnest(q) as value from g)
+"""
 _MIX = """
 with s as (select source, cast(sum(coalesce(n_chars, 0)) as bigint) as size from documents group by source),
      t as (select mix_id, t.source, max_repeats, coalesce(size, 0) as size, target_weight * budget_share * (select sum(size) from s) as wanted from mix_targets t left join s on s.source = t.source),
@@ -145,6 +192,10 @@ SQL = {
     "p1_found": _USABLE + "select plan_id, label_id from t where available < min_rows or available < wanted",
     "p1_report": _ALLOCATED + "select *, round(case when sample_rows > 0 then drawn * 1.0 / sample_rows else 0.0 end, 6) as reached_share from r",
     "p1_sample": _ALLOCATED + "select plan_id, label_id, row_id from s",
+    "p4_found": _TERMS + "select kind, term from m where mark <> 'kept'",
+    "p4_term_frequencies": _TERMS + "select kind, term, docs, occurrences, n_records, mark from m",
+    "p5_found": _PCT + "select p.source, p.feature, p.pct from p join feature_limits l on l.feature = p.feature and l.pct = p.pct where n_values >= 30 and (value < lo or value > hi)",
+    "p5_percentiles": _PCT + "select source, feature, pct, n_values, value from p",
     "p7_shares_by_chars": _MIX + "select p.mix_id, p.source, coalesce(g.tokens, 0) as tokens, coalesce(docs, 0) as docs, round(rate, 6) as rate, round(coalesce(g.tokens * 1.0 / mix_tokens, 0.0), 6) as reached_share, short from p left join g on g.mix_id = p.mix_id and g.source = p.source left join m on m.mix_id = p.mix_id",
     "p7_mix_by_chars": _MIX + "select mix_id, source, doc_id, tokens, cast(unnest(range(1, copies + 1)) as bigint) as copy_no from c where copies > 0",
     "p2_found": _PAIRS + "select least(t_id, e_id) as row_id_a, greatest(t_id, e_id) as row_id_b from g",

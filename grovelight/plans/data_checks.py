@@ -1,11 +1,9 @@
-"""Queries of the general data operators (rejected lines, term frequencies, percentiles)."""
+"""Queries of the general data operators (rejected lines)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grovelight.operators import radix_percentiles as rp
-from grovelight.operators import term_stats as ts
 from grovelight.sources import record_lines as rl
 from grovelight.sources.tables import table
 
@@ -26,47 +24,8 @@ def p3_records(spark: SparkSession, d: str) -> DataFrame:
     return rl.valid_records(_parsed(spark, d))
 
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return ts.marked_terms(table(spark, d, "raw_data_sparse")).filter("mark <> 'kept'").select("kind", "term")
+QUERIES = {f.__name__: f for f in (p3_found, p3_rejected, p3_records)}
 
-
-def p4_term_frequencies(spark: SparkSession, d: str) -> DataFrame:
-    return ts.marked_terms(table(spark, d, "raw_data_sparse"))
-
-
-def _percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return rp.percentiles(rp.ordered_values(table(spark, d, "raw_data_sparse")))
-
-
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return rp.outside_limits(_percentiles(spark, d), table(spark, d, "feature_limits")).select("source", "feature", "pct")
-
-
-def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return _percentiles(spark, d).select("source", "feature", "pct", "n_values", "value")
-
-
-QUERIES = {f.__name__: f for f in (p3_found, p3_rejected, p3_records, p4_found, p4_term_frequencies, p5_found, p5_percentiles)}
-
-_TERMS = """
-with x as (select row_id, 'idx' as kind, cast(unnest(idx) as bigint) as term from raw_data_sparse where row_id is not null
-           union all
-           select row_id, 'val' as kind, cast(round(v * 1000) as bigint) as term
-           from (select row_id, unnest(val) as v from raw_data_sparse where row_id is not null) where v is not null and not isnan(v)),
-     n as (select count(distinct row_id) as n_records from raw_data_sparse),
-     t as (select kind, term, count(distinct row_id) as docs, count(*) as occurrences from x where term is not null group by kind, term),
-     m as (select kind, term, docs, occurrences, n_records,
-                  case when docs < 3 then 'rare' when docs > 0.7 * n_records then 'common' else 'kept' end as mark from t, n)
-"""
-_PCT = """
-with c as (select row_id, source, part_day, idx, val,
-                  row_number() over (partition by row_id order by part_day, source) as k
-           from raw_data_sparse where source is not null and row_id is not null),
-     e as (select source, unnest(idx) as feature, unnest(val) as v from c where k = 1),
-     g as (select source, feature, count(*) as n_values, quantile_disc(v, [0.5, 0.9, 0.99]) as q
-           from e where feature between 0 and 7 and v is not null and not isnan(v) group by source, feature),
-     p as (select source, feature, n_values, unnest([50, 90, 99]) as pct, unnest(q) as value from g)
-"""
 _N = "[+-]?[0-9]+([.][0-9]+)?([eE][+-]?[0-9]+)?"
 _REJECTED = rf"""
 with l as (select line_id, fmt, num_features as nf, num_classes as nc, trim(raw_line) as s from raw_lines join raw_files using (file_id)),
@@ -88,8 +47,4 @@ where not (coalesce(ok, true) and regexp_full_match(label, '{_N}') and not isinf
 """
 SQL = {
     "p3_found": _REJECTED,
-    "p4_found": _TERMS + "select kind, term from m where mark <> 'kept'",
-    "p4_term_frequencies": _TERMS + "select kind, term, docs, occurrences, n_records, mark from m",
-    "p5_found": _PCT + "select p.source, p.feature, p.pct from p join feature_limits l on l.feature = p.feature and l.pct = p.pct where n_values >= 30 and (value < lo or value > hi)",
-    "p5_percentiles": _PCT + "select source, feature, pct, n_values, value from p",
 }

@@ -33,8 +33,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    return split_overlap.overlap_report(p2_coverage(spark, d))
+
+
+def p2_coverage(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "raw_data_labeled")
-    return split_overlap.overlap_report(split_overlap.overlaps(rows), rows)
+    return split_overlap.coverage(split_overlap.linked(split_overlap.records(rows)), rows)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -109,7 +113,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates(abuse.scored(table(spark, d, "documents"), table(spark, d, "doc_labels")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_report, p4_found, p4_term_frequencies, p5_found, p5_percentiles, p5_kept_days, p6_found, p6_report, p7_found, p7_shares, p7_mix, p7_shares_by_chars, p7_mix_by_chars, p8_found, p8_scores, p8_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_report, p2_coverage, p4_found, p4_term_frequencies, p5_found, p5_percentiles, p5_kept_days, p6_found, p6_report, p7_found, p7_shares, p7_mix, p7_shares_by_chars, p7_mix_by_chars, p8_found, p8_scores, p8_rates)}
 
 _USABLE = """
 with u as (select row_id, cast(greatest(label, 0) as int) as label_id from raw_data_labeled
@@ -184,9 +188,9 @@ with s as (select source, cast(sum(coalesce(n_chars, 0)) as bigint) as size from
 _PAIRS = """
 with r as (select row_id, split_name, source, list_transform(features, lambda x: case when isnan(x) then null else x end) as f from raw_data_labeled where row_id is not null and split_name is not null),
      p as (select t.row_id as t_id, e.row_id as e_id, e.split_name, e.source,
-                  list_sum(list_transform(range(1, 23), lambda i: case when (t.f[i] is null and e.f[i] is null) or abs(t.f[i] - e.f[i]) <= greatest(0.005 * greatest(abs(t.f[i]), abs(e.f[i])), 0.01) then 1 else 0 end)) as agree
+                  list_transform(range(1, 23), lambda i: case when (t.f[i] is null and e.f[i] is null) or abs(t.f[i] - e.f[i]) <= greatest(0.005 * greatest(abs(t.f[i]), abs(e.f[i])), 0.01) then 1 else 0 end) as same
            from r t, r e where t.split_name = 'train' and e.split_name <> 'train'),
-     g as (select * from p where agree >= 20)
+     g as (select * from p where list_sum(same) >= 20)
 """
 SQL = {
     "p1_found": _USABLE + "select plan_id, label_id from t where available < min_rows or available < wanted",
@@ -199,5 +203,6 @@ SQL = {
     "p7_shares_by_chars": _MIX + "select p.mix_id, p.source, coalesce(g.tokens, 0) as tokens, coalesce(docs, 0) as docs, round(rate, 6) as rate, round(coalesce(g.tokens * 1.0 / mix_tokens, 0.0), 6) as reached_share, short from p left join g on g.mix_id = p.mix_id and g.source = p.source left join m on m.mix_id = p.mix_id",
     "p7_mix_by_chars": _MIX + "select mix_id, source, doc_id, tokens, cast(unnest(range(1, copies + 1)) as bigint) as copy_no from c where copies > 0",
     "p2_found": _PAIRS + "select least(t_id, e_id) as row_id_a, greatest(t_id, e_id) as row_id_b from g",
+    "p2_coverage": _PAIRS + ", u as (select e_id, split_name, source, t_id, unnest(same) as hit, unnest(range(22)) as i from g), m as (select e_id, split_name, source, i, max(hit) as hit, count(*) as n from u group by e_id, split_name, source, i) select e_id as row_id, split_name, source, max(n) as train_rows, cast(sum(hit) as int) as covered from m group by e_id, split_name, source",
     "p2_report": _PAIRS + "select split_name, source, count(*) as pairs, count(distinct e_id) as eval_rows from g group by split_name, source",
 }

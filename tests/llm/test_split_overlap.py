@@ -44,22 +44,28 @@ def brute(rows):
     return {(min(i, j), max(i, j)) for i, s, f in full if s == "train" for j, t, g in full if t != "train" and agree(f, g) >= 20}
 
 
-@pytest.mark.parametrize("seed,hot", [(1, 10**9), (2, 10**9), (3, 2)])
-def test_against_brute_force(spark, seed, hot):
-    """hot=2 makes nearly every part a hot one, which is extended."""
+@pytest.mark.parametrize("seed,hot,shared", [(1, 10**9, 32), (2, 10**9, 2), (3, 2, 32), (4, 5, 1)])
+def test_against_brute_force(spark, seed, hot, shared):
+    """hot=2 makes nearly every part a hot one, which is extended before it is dealt; shared=1 sends nearly every passage on to a next round."""
     rows = data(seed)
     df = spark.createDataFrame(rows, SCHEMA)
     want = brute(rows)
-    got = so.overlaps(df, hot_least=hot, hot_share=0.0).collect()
+    got = so.overlaps(df, hot_least=hot, hot_share=0.0, shared=shared).collect()
     assert len(want) > 20
     assert {(r.row_id_a, r.row_id_b) for r in got} == want and len(got) == len(want)
 
 
 def test_report(spark):
     df = spark.createDataFrame(data(1), SCHEMA)
-    found = so.overlaps(df).cache()
-    rep = so.overlap_report(found, df).collect()
-    assert sum(r.pairs for r in rep) == found.count() and {r.split_name for r in rep} <= {"check", "test"}
+    pairs = so.linked(so.records(df)).cache()
+    found = so.expanded(pairs, so.records(df)).collect()
+    cover = so.coverage(pairs, df).cache()
+    rep = so.overlap_report(cover).collect()
+    assert sum(r.pairs for r in rep) == len(found) and {r.split_name for r in rep} <= {"check", "test"}
+    assert {r.row_id for r in cover.collect()} == {r.eval_row for r in found}
+    assert all(20 <= r.covered <= 22 for r in cover.collect())
+    # what the scan covered is part of what agrees or lies in a neighbouring bin; every pair has a whole segment
+    assert all(bin(r.covered).count("1") >= 7 for r in pairs.collect())
 
 
 def test_empty_and_one_sided(spark):

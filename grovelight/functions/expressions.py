@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,19 +15,28 @@ B1, B2, B3, P2 = 31, 17, 101, 9973
 
 
 def uniform(r: Column, t: Column, seed: int = 0) -> Column:
-    """Repeatable number in [0, 1) for two small non-negative integers, the same in any SQL engine."""
+    """Repeatable number in [0, 1) for two whole numbers of 64 bits, the same in any SQL engine; about 10**9 distinct values."""
     r, t = r.cast("long"), t.cast("long")
-    a = (r * A1 + t * A2 + (13 + seed * A3)) % P1
-    b = (r * B1 + t * B2 + (7 + seed * B3)) % P2 + 1
-    return (a * b) % P1 / F.lit(float(P1))
+    p1, p2 = F.lit(P1).cast("long"), F.lit(P2).cast("long")
+    a = F.pmod(F.pmod(r, p1) * A1 + F.pmod(t, p1) * A2 + (13 + seed * A3) % P1, p1)
+    b = F.pmod(F.pmod(r, p2) * B1 + F.pmod(t, p2) * B2 + (7 + seed * B3) % P2, p2) + 1
+    return ((a * b) % p1 + (b - 1) / F.lit(float(P2))) / F.lit(float(P1))
+
+
+def uniform_array(r: np.ndarray, t: np.ndarray, seed: int = 0) -> np.ndarray:
+    a = (r % P1 * A1 + t % P1 * A2 + (13 + seed * A3) % P1) % P1
+    b = (r % P2 * B1 + t % P2 * B2 + (7 + seed * B3) % P2) % P2 + 1
+    return ((a * b) % P1 + (b - 1) / P2) / P1
 
 
 def uniform_py(r: int, t: int, seed: int = 0) -> float:
-    return ((r * A1 + t * A2 + 13 + seed * A3) % P1) * ((r * B1 + t * B2 + 7 + seed * B3) % P2 + 1) % P1 / P1
+    return float(uniform_array(np.int64(r), np.int64(t), seed))
 
 
 def uniform_sql(r: str, t: str, seed: int = 0) -> str:
-    return f"(((({r})*{A1}+({t})*{A2}+{13 + seed * A3}) % {P1}) * ((({r})*{B1}+({t})*{B2}+{7 + seed * B3}) % {P2} + 1)) % {P1} / {P1}.0"
+    a = f"((({r}) % {P1} * {A1} + ({t}) % {P1} * {A2} + {(13 + seed * A3) % P1}) % {P1})"
+    b = f"((({r}) % {P2} * {B1} + ({t}) % {P2} * {B2} + {(7 + seed * B3) % P2}) % {P2} + 1)"
+    return f"((({a} * {b}) % {P1} + ({b} - 1) / cast({P2} as double)) / cast({P1} as double))"
 
 
 def ladder(mean: float, most: int = 12) -> list[float]:

@@ -1,24 +1,25 @@
 """Growing all trees of all forests level by level.
 
-One query per level: rows at open nodes, their candidates, one histogram, the best split of each
-node. Only these best splits, as many as there are open nodes, reach the driver; they become rows of
-the node table and a broadcast lookup that sends each row to its next node.
+One query per level for all trees of all forests: every row, held once with its bins and its weight in
+each tree, is walked to its nodes; each task adds up the histograms of the open nodes; their cells are
+shuffled, added up and scored. The best splits, one row per open node, reach the driver and become part
+of the model.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from grovelight.functions.expressions import level_py
-from grovelight.operators.discretize import MAX, shrink
-from grovelight.operators.sampling import draw_features, node_key
-from grovelight.operators.splits import best_splits, candidate_scores, node_histogram
-from grovelight.sources.tables import cut
+from grovelight.operators.discretize import MAX, binned
+from grovelight.operators.level import BEST_DDL, PARTIAL_DDL, candidates, coarse, facts, matrix, partial, pick, scored, slots_of, space, summed, trees_of, walked
+from grovelight.operators.sampling import bagging
 
 NODES_DDL = "forest int, tree int, node int, kind string, feature int, bin int, threshold double, label int, n bigint, is_leaf boolean"
 Key = tuple[int, int, int]
@@ -93,29 +94,6 @@ class Shape:
         return MAX if b > len(t) else t[b - 1]
 
 
-def assign_roots(binned: DataFrame, forests: Sequence[int], trees: Sequence[int]) -> DataFrame:
-    """forest, tree, node, w, row_id, label, bins for each row and tree of weight above 0."""
-    d = binned.select("row_id", "label", "bins", F.posexplode("weights").alias("at", "w")).filter("w > 0")
-    tree = F.element_at(F.array(*map(F.lit, trees)), F.col("at") + 1)
-    return d.select(F.explode(F.array(*map(F.lit, forests))).alias("forest"), tree.alias("tree"), F.lit(0).alias("node"), "w", "row_id", "label", "bins")
-
-
-def _candidates(shape: Shape, key: Key) -> list[tuple[int, int, bool]]:
-    drawn = draw_features(node_key(*key), shape.features, shape.per_node[key[0]], shape.seed)
-    return [(f, pos, f in shape.categorical) for pos, f in enumerate(drawn)]
-
-
-def _coarse_bin(shape: Shape, feature: str, forest: str):
-    """The forest's bin of a row's fine bin; the fine one itself where no forest is coarser."""
-    b = F.get(F.col("bins"), F.col(feature)).cast("int")
-    if all(shape.fine(f) <= c for f in shape.thresholds for c in shape.coarse.values()):
-        return b
-    fine = F.element_at(F.array(*[F.lit(shape.fine(f)) for f in range(shape.features)]), F.col(feature) + 1)
-    coarse = F.element_at(F.create_map(*[F.lit(x) for kv in shape.coarse.items() for x in kv]), F.col(forest))
-    categorical = F.col(feature).isin(*shape.categorical) if shape.categorical else F.lit(False)
-    return F.when(categorical, b).otherwise(shrink(b, fine, coarse))
-
-
 def apply_split(model: Model, shape: Shape, s: dict, max_depth: int) -> list[Key]:
     """Adds a best split to the model; returns the children that stay open."""
     f, t, n = s["forest"], s["tree"], s["node"]
@@ -155,50 +133,111 @@ def apply_split(model: Model, shape: Shape, s: dict, max_depth: int) -> list[Key
     return opened
 
 
-def _route(assigned: DataFrame, model: Model, shape: Shape, done: list[Key], opened: list[Key]) -> DataFrame:
-    """Rows of the nodes just split at their next node; rows of leaves are dropped."""
-    spark = assigned.sparkSession
-    alive = set(opened)
-    rows = []
-    for f, t, n in done:
-        v = model.nodes[f, t, n]
-        if not v.get("kind"):
-            continue
-        m = 2 * n + 2 if v["kind"] == "missing" else n
-        real = model.nodes[f, t, m]
-        kids = [2 * m + 1, 2 * m + 2] if real.get("kind") else [None, None]
-        miss = 2 * n + 1 if v["kind"] == "missing" else None
-        live = [k if k is not None and (f, t, k) in alive else None for k in (*kids, miss)]
-        rows.append((f, t, n, v["feature"], real.get("bin"), real.get("kind") == "category", *live))
-    moves = spark.createDataFrame(rows, "forest int, tree int, node int, feature int, cut int, categorical boolean, l int, r int, m int")
-    b = _coarse_bin(shape, "feature", "forest")
-    left = F.when(F.col("categorical"), b == F.col("cut")).otherwise(b <= F.col("cut"))
-    out = assigned.join(F.broadcast(moves), ["forest", "tree", "node"])  # one row per node just split
-    nxt = F.when(b == 0, F.col("m")).when(left, F.col("l")).otherwise(F.col("r"))
-    return out.withColumn("node", nxt).filter("node is not null").select("forest", "tree", "node", "w", "row_id", "label", "bins")
-
-
-def grow(assigned: DataFrame, shape: Shape, roots: Sequence[Key], max_depth: int, model: Model | None = None, min_depth: int = 0, stop: Callable[[int, int], bool] | None = None, cut_every: int = 4) -> tuple[Model, DataFrame, list[Key]]:
-    """The grown model, the rows still at open nodes, and these nodes. ``stop(depth, open nodes)`` ends early."""
-    spark = assigned.sparkSession
+def prepared(df: DataFrame, shape: Shape, trees: Sequence[int], mean: float | None = 1.0, seed: int = 0) -> DataFrame:
+    """label, bins, weights of every row with a label among the classes: one row per record, whatever the number of trees."""
+    return binned(bagging(df, trees, mean, seed), shape.thresholds, shape.categorical).filter(F.col("label").between(0, shape.classes - 1)).select(F.col("label").cast("int").alias("label"), "bins", "weights")
+
+
+def by_tree(keys: Sequence[Key]) -> dict[tuple[int, int], np.ndarray]:
+    out: dict[tuple[int, int], list[int]] = {}
+    for f, t, n in keys:
+        out.setdefault((f, t), []).append(n)
+    return {k: np.array(sorted(v), np.int64) for k, v in out.items()}
+
+
+def passes(shape: Shape, keys: Sequence[Key], memory: int) -> list[list[Key]]:
+    """Open nodes in groups whose histograms fit ``memory`` bytes in a task."""
+    out: list[list[Key]] = [[]]
+    used = 0
+    for k in sorted(keys):
+        size = 8 * space(shape, k[0]).cells
+        if out[-1] and used + size > memory:
+            out.append([])
+            used = 0
+        out[-1].append(k)
+        used += size
+    return out
+
+
+def level_histograms(rows: DataFrame, model: Model, shape: Shape, trees: Sequence[int], keys: Sequence[Key]) -> DataFrame:
+    """Partial histograms of open nodes (see level.PARTIAL), brought together and ordered by node.
+
+    ``rows`` as :func:`prepared` gives them. Each row is walked from the root by the splits so far, so
+    nothing is kept from level to level and a lost task is simply run again. What is shuffled is
+    the cells of histograms that are not 0, added up per task; never rows.
+    """
+    frontier = by_tree(keys)
+    run = partial(shape, trees, trees_of(model, set(frontier)), frontier)
+    return rows.mapInArrow(run, PARTIAL_DDL).repartition("forest", "tree", "node").sortWithinPartitions("forest", "tree", "node")
+
+
+def histogram_rows(rows: DataFrame, model: Model, shape: Shape, trees: Sequence[int], keys: Sequence[Key]) -> DataFrame:
+    """forest, tree, node, feature, pos, categorical, bin, counts (weight per class) of the bins that have any."""
+    schema = pa.schema([("forest", pa.int32()), ("tree", pa.int32()), ("node", pa.int32()), ("feature", pa.int32()), ("pos", pa.int32()), ("categorical", pa.bool_()), ("bin", pa.int32()), ("counts", pa.list_(pa.int64()))])
+
+    def finish(forest: int, tree: np.ndarray, node: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
+        drawn, flags = candidates(shape, forest, tree, node)
+        i, j, b = np.nonzero(h.sum(-1))
+        cols = [np.full(len(i), forest), tree[i], node[i], drawn[i, j], j, flags[i, j], b]
+        yield pa.RecordBatch.from_arrays([*(pa.array(c).cast(f.type) for c, f in zip(cols, schema, strict=False)), pa.array(list(h[i, j, b]), pa.list_(pa.int64()))], schema=schema)
+
+    return level_histograms(rows, model, shape, trees, keys).mapInArrow(summed(shape, finish, schema), "forest int, tree int, node int, feature int, pos int, categorical boolean, bin int, counts array<bigint>")
+
+
+def score_rows(rows: DataFrame, model: Model, shape: Shape, trees: Sequence[int], keys: Sequence[Key]) -> DataFrame:
+    """Every possible cut of the open nodes with its score, counts and labels, as level.BEST has them for the best one."""
+    from grovelight.operators.level import BEST
+
+    def finish(forest: int, tree: np.ndarray, node: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
+        drawn, flags = candidates(shape, forest, tree, node)
+        score, counts = scored(h, flags)
+        i, j, b = np.nonzero(np.isfinite(score))
+        found = {"forest": np.full(len(i), forest), "tree": tree[i], "node": node[i], "feature": drawn[i, j], "pos": j, "categorical": flags[i, j], "bin": b, "score": score[i, j, b], **facts(counts, i, j, b)}
+        yield pa.RecordBatch.from_arrays([pa.array(found[f.name]).cast(f.type) for f in BEST], schema=BEST)
+
+    return level_histograms(rows, model, shape, trees, keys).mapInArrow(summed(shape, finish, BEST), BEST_DDL)
+
+
+def rows_at_nodes(rows: DataFrame, model: Model, shape: Shape, trees: Sequence[int], forests: Sequence[int] = (0,)) -> DataFrame:
+    """forest, tree, node, n_rows, weight: how many rows end at each node of the model so far."""
+    packed = trees_of(model, {(f, t) for f in forests for t in trees})
+    schema = pa.schema([("forest", pa.int32()), ("tree", pa.int32()), ("node", pa.int32()), ("n_rows", pa.int64()), ("weight", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fine, weights = matrix(b.column(1), shape.features, np.int64), matrix(b.column(2), len(trees), np.int64)
+            for forest in forests:
+                bins = coarse(fine, shape, forest)
+                for k, tree in enumerate(trees):
+                    at = np.flatnonzero(weights[:, k])
+                    node, of = np.unique(walked(packed[forest, tree], bins[at]), return_inverse=True)
+                    cols = [np.full(len(node), forest), np.full(len(node), tree), node, np.bincount(of), np.bincount(of, weights[at, k])] if len(node) else [[]] * 5
+                    yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+    found = rows.mapInArrow(run, "forest int, tree int, node int, n_rows bigint, weight bigint")
+    return found.groupBy("forest", "tree", "node").agg(F.sum("n_rows").alias("n_rows"), F.sum("weight").alias("weight"))
+
+
+def level_splits(rows: DataFrame, model: Model, shape: Shape, trees: Sequence[int], keys: Sequence[Key], memory: int = 64 << 20) -> list[dict]:
+    """The best split of every open node that has rows: one row per node comes to the driver, as part of the model."""
+    out: list[dict] = []
+    for group in passes(shape, keys, memory):
+        out += level_histograms(rows, model, shape, trees, group).mapInArrow(pick(shape), BEST_DDL).toArrow().to_pylist()
+    return sorted(out, key=lambda s: (s["forest"], s["tree"], s["node"]))
+
+
+def grow(rows: DataFrame, shape: Shape, trees: Sequence[int], frontier: Sequence[Key], max_depth: int, model: Model | None = None, min_depth: int = 0, keep: Callable[[dict, int], bool] | None = None, memory: int = 64 << 20) -> tuple[Model, list[Key]]:
+    """The grown model and the open nodes that were set aside: those for which ``keep(node, depth)`` is false."""
     model = model or Model()
-    frontier = list(roots)
-    depth = min_depth
-    held: list[DataFrame] = []
-    while frontier and depth < max_depth and not (stop and stop(depth, len(frontier))):
-        cand = spark.createDataFrame([(*k, _candidates(shape, k)) for k in frontier], "forest int, tree int, node int, candidates array<struct<feature int, pos int, categorical boolean>>")
-        hist = node_histogram(assigned, cand, shape.classes, _coarse_bin(shape, "c.feature", "forest"))
-        best = [r.asDict() for r in best_splits(candidate_scores(hist, shape.classes)).collect()]
-        opened = [k for s in sorted(best, key=lambda s: (s["forest"], s["tree"], s["node"])) for k in apply_split(model, shape, s, max_depth)]
-        done = [(s["forest"], s["tree"], s["node"]) for s in best]
-        depth += 1
+    todo, aside, depth = list(frontier), [], min_depth
+    while todo and depth < max_depth:
+        if keep:
+            small = [k for k in todo if not keep(model.nodes.get(k, {}), depth)]
+            aside += small
+            todo = sorted(set(todo) - set(small))
+            if not todo:
+                break
         # a child of a missing-value test may lie two levels down: it is worked on with the next level all the same
-        frontier = opened
-        if not frontier:
-            break
-        assigned = _route(assigned, model, shape, done, opened)
-        assigned = cut(assigned) if depth % cut_every == 0 else assigned.persist(StorageLevel.MEMORY_AND_DISK)
-        held.append(assigned)
-        if len(held) > 2:
-            held.pop(0).unpersist()
-    return model, assigned, frontier
+        todo = [k for s in level_splits(rows, model, shape, trees, todo, memory) for k in apply_split(model, shape, s, max_depth)]
+        depth += 1
+    return model, aside

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field, fields, replace
 from pathlib import Path
 
+from grovelight.sources.tables import cut
+
 #: File keys whose names differ from the field names.
 FILE_KEYS = {
     "numFeatures": "num_features", "numClasses": "num_classes", "numTrees": "num_trees", "maxDepth": "depths", "binNumber": "bin_numbers",
     "featureMultiplierPerNode": "multipliers", "strategyFeature": "feature_strategy", "strategySplit": "split_strategy", "poissonMean": "poisson_mean",
     "rotation": "rotation", "numRotation": "num_rotations", "rotationRandomSeed": "rotation_seed", "modelSelection": "model_selection",
     "modelSelectionEpsilon": "epsilon", "modelSelectionEpsilonRemove": "epsilon_remove", "testAll": "test_all", "fcsActive": "local_active",
-    "fcsDepth": "local_depth", "outputTree": "output_tree", "logStats": "log_stats", "dataset": "dataset", "fileType": "file_type", "category": "category",
+    "fcsDepth": "local_depth", "fcsActiveForce": "local_force", "outputTree": "output_tree", "logStats": "log_stats", "dataset": "dataset", "fileType": "file_type", "category": "category", "output": "output",
 }
 
 
@@ -26,7 +29,7 @@ class ForestParams:
     multipliers: tuple[float, ...] = (1.0,)
     feature_strategy: str | int = "sqrt"
     split_strategy: str = "distribution"
-    poisson_mean: float = 1.0
+    poisson_mean: float | None = 1.0
     seed: int = 0
     rotation: bool = False
     num_rotations: int = 10
@@ -37,12 +40,16 @@ class ForestParams:
     test_all: bool = False
     local_active: bool = True
     local_depth: int = -1
-    local_rows: int = 20_000
+    local_force: bool = False
+    local_rows: int = 20_000  # rows of a node that one task may finish
+    local_memory: int = 512 << 20  # bytes a task may use for it
+    sample_rows: int = 10_000  # rows from which cut points are taken, or bins**2 where that is more
     output_tree: bool = False
     log_stats: bool = True
     dataset: str = ""
     file_type: str = "LIBSVM"
-    category: str = ""
+    category: str = ""  # two specs parted by a semicolon or "|": arity of categorical features, remap of their raw values
+    output: str = ""  # shared folder for statistics, tree dump and model
     categorical: dict[int, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -52,6 +59,13 @@ class ForestParams:
             if not v or min(v) <= 0:
                 raise ValueError(f"{name} needs values above 0")
             object.__setattr__(self, name, v)
+        if max(self.depths) > 29:
+            raise ValueError("depths beyond 29 have node numbers beyond 32 bits")
+
+    def category_specs(self) -> tuple[dict[int, int], dict[int, int]]:
+        """{feature: categories} and {raw value: category} of ``category``."""
+        arity, _, remap = self.category.replace("|", ";").partition(";")
+        return parse_arity(arity, self.num_features), parse_remap(remap)
 
     def collapsed(self) -> ForestParams:
         """Without model selection every list keeps its largest value."""
@@ -59,6 +73,10 @@ class ForestParams:
             return self
         return replace(self, **{n: (max(getattr(self, n)),) for n in ("num_trees", "depths", "bin_numbers", "multipliers")})
 
+    def plain(self) -> ForestParams:
+        """For turned points: no categories, and no bags, as each rotation sees all rows."""
+        return replace(self, categorical={}, poisson_mean=None)
+
     def with_trees(self, n: int) -> ForestParams:
         return replace(self, num_trees=(n,))
 
@@ -80,10 +98,36 @@ def stepping(low: int, high: int, step: int) -> list[int]:
     return list(range(low, high + 1, step))
 
 
+FEATURE_STRATEGIES: dict[str, Callable[[int], float]] = {
+    "all": lambda n: n,
+    "sqrt": lambda n: math.ceil(math.sqrt(n)),
+    "sqrtsqrt": lambda n: math.ceil(n**0.25),
+    "log2": lambda n: math.ceil(math.log2(n)) if n > 1 else 1,
+    "onethird": lambda n: math.ceil(n / 3),
+}
+SPLIT_STRATEGIES: dict[str, Callable] = {}
+
+
+def register_feature_strategy(name: str, candidates: Callable[[int], float]) -> None:
+    """Adds a way to choose the number of candidates from the number of features."""
+    FEATURE_STRATEGIES[name.lower()] = candidates
+
+
+def register_split_strategy(name: str, thresholds: Callable) -> None:
+    """Adds a way to choose thresholds: a function of (feature, value rows; bins; seed) that gives feature, thresholds."""
+    SPLIT_STRATEGIES[name.lower()] = thresholds
+
+
+def strategy_thresholds(name: str) -> Callable:
+    from grovelight.operators import discretize as dz
+
+    own = {"distribution": lambda long, bins, seed: dz.thresholds_by_distribution(cut(dz.value_counts(long)), bins), "random": dz.thresholds_at_random}
+    return (own | SPLIT_STRATEGIES)[name.lower()]
+
+
 def features_per_node(strategy: str | int, n: int, multiplier: float = 1.0) -> int:
     """Candidate features of a node: all, a given number, or a root or logarithm of n; never more than n."""
-    base = {"all": n, "sqrt": math.ceil(math.sqrt(n)), "sqrtsqrt": math.ceil(n**0.25), "log2": math.ceil(math.log2(n)) if n > 1 else 1, "onethird": math.ceil(n / 3)}
-    k = strategy if isinstance(strategy, int) else base[strategy.lower()]
+    k = strategy if isinstance(strategy, int) else FEATURE_STRATEGIES[strategy.lower()](n)
     return max(1, min(n, math.ceil(k * multiplier)))
 
 
@@ -102,13 +146,14 @@ def from_file(path: str | Path) -> ForestParams:
             got[name] = tuple(number(x) for x in value.split(","))
         elif kind == "bool":
             got[name] = value.lower() == "true"
-        elif kind in ("int", "float"):
-            got[name] = {"int": int, "float": float}[kind](value)
+        elif kind.startswith(("int", "float")):
+            got[name] = int(value) if kind == "int" else float(value)
         else:
-            got[name] = value
+            got[name] = int(value) if name == "feature_strategy" and value.isdigit() else value
     if not got.get("dataset"):
         raise ValueError("dataset is required")
-    return ForestParams(**got)
+    p = ForestParams(**got)
+    return replace(p, categorical=p.category_specs()[0])
 
 
 def parse_arity(spec: str, n: int) -> dict[int, int]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,9 +14,8 @@ from grovelight.operators import prediction as pr
 from grovelight.operators import rotation as ro
 from grovelight.operators import sampling as sa
 from grovelight.operators import stock, training
-from grovelight.operators.growth import Model, Shape, _route, assign_roots, grow
+from grovelight.operators.growth import Model, Shape, grow, histogram_rows, level_splits, prepared, rows_at_nodes, score_rows
 from grovelight.operators.local_growth import finish_locally
-from grovelight.operators.splits import best_splits, candidate_scores, node_histogram
 from grovelight.params import ForestParams, features_per_node
 from grovelight.plans import forest_sql as q
 from grovelight.sources import formats
@@ -43,10 +44,17 @@ def shape4(df: DataFrame, k: int) -> Shape:
     return Shape(q.CLASSES, {0: t[0], 1: t[1], 2: [], 3: []}, {2: 5, 3: 5}, {0: k}, {0: 1 << 20})
 
 
+def _rows(df: DataFrame, shape: Shape, trees: int = q.TREES) -> tuple[DataFrame, list]:
+    """Rows ready for growth, computed once, and the roots."""
+    return prepared(df, shape, range(trees)).persist(), [(0, t, 0) for t in range(trees)]
+
+
 def grown4(df: DataFrame, depth: int, k: int, trees: int = q.TREES) -> tuple[Model, Shape]:
+    df = df.persist()
     shape = shape4(df, k)
-    b = dz.binned(sa.bagging(df, range(trees)), shape.thresholds, shape.categorical)
-    model, _, _ = grow(assign_roots(b, [0], range(trees)), shape, [(0, t, 0) for t in range(trees)], depth)
+    rows, roots = _rows(df, shape, trees)
+    model, _ = grow(rows, shape, range(trees), roots, depth)
+    rows.unpersist()
     return model, shape
 
 
@@ -67,7 +75,8 @@ def split_counts(spark, d):
 
 def kfold_counts(spark, d):
     f = frame(spark, d)
-    return f.withColumn("fold", F.floor(ex.uniform(F.col("row_id"), F.lit(1)) * 4).cast("int")).groupBy("fold").agg(F.count("*").alias("n"))
+    parts = [v.select(F.lit(i).alias("fold")) for i, (_, v) in enumerate(sa.folds(f, 4))]
+    return reduce(DataFrame.unionByName, parts).groupBy("fold").agg(F.count("*").alias("n"))
 
 
 def minmax_per_feature(spark, d):
@@ -157,30 +166,39 @@ def vectors(spark, d):
     )
 
 
-def _root(spark, d, features, k=None):
-    """Histogram of the roots over some features of the whole frame."""
-    b = sa.bagging(_bins(spark, d), range(q.TREES))
-    cand = [(0, t, 0, [(f, pos, f >= 5) for pos, f in enumerate(features)]) for t in range(q.TREES)]
-    fr = spark.createDataFrame(cand, "forest int, tree int, node int, candidates array<struct<feature int, pos int, categorical boolean>>")
-    return node_histogram(assign_roots(b, [0], range(q.TREES)), fr, q.CLASSES)
+def _root(spark, d, features):
+    """Rows, shape and roots over some features of the whole frame, all of them candidates in the order given."""
+    f = frame(spark, d).withColumn("features", F.array(*[F.get("features", F.lit(i)) for i in features])).persist()
+    t = training.fit_thresholds(f, q.BINS, len(features), sample=False)
+    cat = {k: 5 for k, i in enumerate(features) if i >= 5}
+    shape = Shape(q.CLASSES, {k: [] if k in cat else v for k, v in t.items()}, cat, {0: len(features)}, {0: 1 << 20})
+    return *_rows(f, shape), shape, F.element_at(F.array(*map(F.lit, features)), F.col("feature") + 1).alias("feature")
+
+
+def _histogram(spark, d, features):
+    rows, roots, shape, feature = _root(spark, d, features)
+    h = histogram_rows(rows, Model(), shape, range(q.TREES), roots)
+    return h.select("tree", "node", feature, "bin", *[F.get("counts", F.lit(k)).alias(f"c{k}") for k in range(q.CLASSES)])
 
 
 def node_histogram_query(spark, d):
-    return _root(spark, d, range(N)).select("tree", "node", "feature", "bin", *[f"c{k}" for k in range(q.CLASSES)])
+    return _histogram(spark, d, range(N))
 
 
 def node_entropy(spark, d):
-    h = _root(spark, d, [0]).groupBy("tree").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(q.CLASSES)])
+    h = _histogram(spark, d, [0]).groupBy("tree").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(q.CLASSES)])
     c = [F.col(f"c{k}") for k in range(q.CLASSES)]
     return h.select("tree", F.round(ex.entropy(c), 6).alias("entropy"), ex.majority(c).alias("label"))
 
 
 _SPLIT = ["tree", "feature", "bin", "left_n", "left_label", "left_ok", "right_n", "right_label", "right_ok", "missing_n", "all_label"]
+_SPLIT_DDL = "tree int, feature int, bin int, left_n bigint, left_label int, left_ok bigint, right_n bigint, right_label int, right_ok bigint, missing_n bigint, all_label int, score double"
 
 
 def _best(spark, d, features):
-    s = best_splits(candidate_scores(_root(spark, d, features), q.CLASSES))
-    return s.select(*_SPLIT, F.round("score", 6).alias("score"))
+    rows, roots, shape, _ = _root(spark, d, features)
+    s = level_splits(rows, Model(), shape, range(q.TREES), roots)
+    return spark.createDataFrame([(*[features[x[c]] if c == "feature" else x[c] for c in _SPLIT], round(x["score"], 6)) for x in s], _SPLIT_DDL)
 
 
 def best_split_continuous(spark, d):
@@ -196,21 +214,20 @@ def best_split_categorical(spark, d):
 
 
 def split_candidates(spark, d):
-    return candidate_scores(_root(spark, d, range(N)), q.CLASSES).select("tree", "feature", "bin", "left_n", "right_n", "missing_n", F.round("score", 6).alias("score"))
+    rows, roots, shape, feature = _root(spark, d, range(N))
+    s = score_rows(rows, Model(), shape, range(q.TREES), roots).filter("bin > 0")
+    return s.select("tree", feature, "bin", "left_n", "right_n", "missing_n", F.round("score", 6).alias("score"))
 
 
 def majority_label(spark, d):
     c = [F.col(f"c{k}") for k in range(q.CLASSES)]
-    return _root(spark, d, range(N)).select("tree", "feature", "bin", ex.majority(c).alias("label"), F.greatest(*c).alias("ok"))
+    return _histogram(spark, d, range(N)).select("tree", "feature", "bin", ex.majority(c).alias("label"), F.greatest(*c).alias("ok"))
 
 
 def route_rows(spark, d):
     df = core4(spark, d)
     model, shape = grown4(df, 1, 4)
-    b = dz.binned(sa.bagging(df, range(q.TREES)), shape.thresholds, shape.categorical)
-    roots = [(0, t, 0) for t in range(q.TREES)]
-    moved = _route(assign_roots(b, [0], range(q.TREES)), model, shape, roots, list(model.nodes))
-    return moved.groupBy("tree", "node").agg(F.count("*").alias("n_rows"), F.sum("w").cast("long").alias("weight"))
+    return rows_at_nodes(prepared(df, shape, range(q.TREES)), model, shape, range(q.TREES)).select("tree", "node", "n_rows", "weight")
 
 
 def _nodes(spark, model):
@@ -227,10 +244,10 @@ def grow_depth3(spark, d):
 
 def subtree_local(spark, d):
     """The trees of grow_depth3, grown inside one task per tree."""
-    df = core4(spark, d)
+    df = core4(spark, d).persist()
     shape = shape4(df, 2)
-    b = dz.binned(sa.bagging(df, range(q.TREES)), shape.thresholds, shape.categorical)
-    return _nodes(spark, finish_locally(assign_roots(b, [0], range(q.TREES)), shape, 3))
+    rows, roots = _rows(df, shape)
+    return _nodes(spark, finish_locally(rows, shape, range(q.TREES), roots, 3))
 
 
 def _predicted(spark, d, depth=3, trees=None):
@@ -291,20 +308,20 @@ def standard_forest(spark, d):
     """Train on 70 %, predict the rest."""
     s = sa.split(frame(spark, d))
     p = ForestParams(num_features=N, num_classes=3, num_trees=10, depths=5, categorical={5: 5, 6: 5})
-    return _trained_votes(training.train(s.filter("split = 'train'"), p), s.filter("split = 'test'"))
+    return _trained_votes(training.train(s.filter("split = 'train'").drop("split"), p), s.filter("split = 'test'"))
 
 
 def rotation_forest_votes(spark, d):
     s = sa.split(frame(spark, d))
     p = ForestParams(num_features=N, num_classes=3, num_trees=4, depths=3, rotation=True, num_rotations=2)
-    return _trained_votes(training.train(s.filter("split = 'train'"), p), s.filter("split = 'test'"))
+    return _trained_votes(training.train(s.filter("split = 'train'").drop("split"), p), s.filter("split = 'test'"))
 
 
 def grid_scores(spark, d):
     """Scores of model selection over bins x multiplier x trees x depth on the check part."""
     s = sa.split(frame(spark, d), (0.6, 0.2, 0.2), ("train", "check", "test"))
     p = ForestParams(num_features=N, num_classes=3, num_trees=(2, 4), depths=(2, 4), bin_numbers=(8, 16), multipliers=(1.0, 2.0), model_selection=True, epsilon=0.0, epsilon_remove=0.5, categorical={5: 5, 6: 5})
-    _, scores = training.select_model(s.filter("split = 'train'"), s.filter("split = 'check'"), p)
+    scores = training.select_model(s.filter("split = 'train'"), s.filter("split = 'check'"), p).scores
     return spark.createDataFrame([tuple(x.values()) for x in scores], "forest int, bins int, multiplier double, trees int, depth int, accuracy double")
 
 
@@ -423,7 +440,7 @@ SQL = {
     "bin_shrink": "with " + _GRID + " select b, fine, coarse, cast(case when b = 0 then 0 when fine <= coarse then b else least(coarse, greatest(1, cast(floor(b / (fine * 1.0 / coarse)) as int))) end as int) as shrunk from g",
     "bin_deshrink": "with " + _GRID + " select b, fine, coarse, cast(case when fine <= coarse then b else least(fine, b * (fine // coarse)) end as int) as restored from g where b <= coarse",
     "bagging_weights": _W + q.bags() + " select tree, w, count(*) as n from bags group by tree, w",
-    "feature_subset": f"with n as (select cast(t as int) as tree, cast(k as int) as node, cast(f as int) as feature from (select unnest(range(8)) as t), (select unnest(range(15)) as k), (select unnest(range({N})) as f)) select tree, node, feature, cast(pos as int) as pos from (select *, row_number() over (partition by tree, node order by {ex.uniform_sql('tree * 4099 + node', 'feature')}, feature) - 1 as pos from n) where pos < 3",
+    "feature_subset": f"with n as (select cast(t as int) as tree, cast(k as int) as node, cast(f as int) as feature from (select unnest(range(8)) as t), (select unnest(range(15)) as k), (select unnest(range({N})) as f)) select tree, node, feature, cast(pos as int) as pos from (select *, row_number() over (partition by tree, node order by {ex.uniform_sql('cast(tree as bigint) * 2147483648 + node', 'feature')}, feature) - 1 as pos from n) where pos < 3",
     "feature_strategies": "with g as (select s as strategy, cast(n as int) as n, cast(m as double) as multiplier from (select unnest(['all', 'sqrt', 'sqrtsqrt', 'log2', 'onethird']) as s), (select unnest([2, 7, 25, 54, 1000]) as n), (select unnest([1.0, 2.0]) as m)) select strategy, n, multiplier, cast(greatest(1, least(n, ceil(multiplier * case strategy when 'all' then n when 'sqrt' then ceil(sqrt(n)) when 'sqrtsqrt' then ceil(pow(n, 0.25)) when 'log2' then ceil(log2(n)) else ceil(n / 3.0) end))) as int) as k from g",
     "heap_nodes": "with n as (select cast(unnest(range(1000)) as int) as node) select node, cast(2 * node + 1 as int) as left_child, cast(2 * node + 2 as int) as right_child, cast(floor((node - 1) / 2.0) as int) as parent, cast(floor(log2(node + 1)) as int) as level from n",
     "node_histogram": _root_sql(ALL) + " select tree, cast(node as int) as node, feature, bin, c0, c1, c2 from h",

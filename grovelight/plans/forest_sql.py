@@ -91,7 +91,7 @@ def grown(depth: int, n_features: int, k: int, trees: int = TREES) -> str:
     out = [f"as0 as (select tree, 0 as node, row_id, w from bags where w > 0)", f"open0 as (select cast(t as int) as tree, 0 as node from (select unnest(range({trees})) as t))"]
     sums = ", ".join(f"cast(sum(case when b.label = {c} then a.w else 0 end) as bigint) as c{c}" for c in range(CLASSES))
     for d in range(depth):
-        draw = "feature" if k >= n_features else f"{uniform_sql('tree * 4099 + node', 'feature')}, feature"
+        draw = "feature" if k >= n_features else f"{uniform_sql('cast(tree as bigint) * 2147483648 + node', 'feature')}, feature"
         out += [
             f"fr{d} as (select * from (select tree, node, feature, row_number() over (partition by tree, node order by {draw}) - 1 as pos from open{d}, (select unnest(range({n_features})) as feature)) where pos < {k})",
             f"h{d} as (select a.tree, a.node, b.feature, f.pos, b.categorical, b.bin, {sums} from as{d} a join b on b.row_id = a.row_id join fr{d} f on f.tree = a.tree and f.node = a.node and f.feature = b.feature group by a.tree, a.node, b.feature, f.pos, b.categorical, b.bin)",

@@ -6,11 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from grovelight.operators.training import Trained
-from grovelight.sources.tables import shared_folder
 
 
-def score_stream(rows: DataFrame, model: Trained, path: str, checkpoint: str | None = None) -> StreamingQuery:
-    """Appends row_id, predicted to parquet as rows arrive; restarts from the checkpoint folder."""
+def score_stream(rows: DataFrame, model: Trained, path: str, checkpoint: str) -> StreamingQuery:
+    """Appends row_id, predicted to parquet as rows arrive; restarts from ``checkpoint``, a shared folder of this stream's own."""
     out = model.predict(rows).select("row_id", "predicted")
-    where = checkpoint or f"{shared_folder(rows.sparkSession)}/score-stream"
-    return out.writeStream.format("parquet").option("checkpointLocation", where).outputMode("append").trigger(availableNow=True).start(path)
+    return out.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(path)

@@ -11,10 +11,12 @@ from grovelight.operators import discretize as dz
 from grovelight.operators import prediction as pr
 from grovelight.operators import rotation as ro
 from grovelight.operators import sampling as sa
+from grovelight.operators import level as lv
 from grovelight.operators import training
-from grovelight.operators.growth import Model, Shape, assign_roots, grow
+from grovelight.operators.growth import Model, Shape, grow, passes, prepared, rows_at_nodes
 from grovelight.operators.local_growth import finish_locally
-from grovelight.operators.splits import best_splits, candidate_scores
+from grovelight.operators.trainer import Trainer
+from grovelight.sources import formats
 
 
 def column(spark, expr, **cols):
@@ -70,19 +72,19 @@ def test_thresholds_follow_the_walk(spark, seed):
         assert got == {**{f: walk(x, bins) for f, x in data.items()}, 9: []}
 
 
-def hist(spark, counts, categorical=False):
-    rows = [(0, 0, 0, 0, 0, categorical, b, *c) for b, c in enumerate(counts) if sum(c)]
-    return spark.createDataFrame(rows, "forest int, tree int, node int, feature int, pos int, categorical boolean, bin int, c0 long, c1 long")
+def best(counts, categorical=False):
+    h = np.array(counts)[None, None]
+    return {k: v[0] for k, v in lv.best(h, np.zeros((1, 1), int), np.full((1, 1), categorical)).items()}
 
 
-def test_best_split_examples(spark):
+def test_best_split_examples():
     h = [(0, 0), (10, 0), (5, 0), (0, 20), (0, 0)]
-    s = best_splits(candidate_scores(hist(spark, h), 2)).first()
-    assert (s.bin, s.left_n, s.left_ok, s.left_label, s.right_n, s.right_ok, s.right_label, s.all_label, s.missing_n) == (2, 15, 15, 0, 20, 20, 1, 1, 0)
-    s = best_splits(candidate_scores(hist(spark, h, True), 2)).first()
-    assert (s.bin, s.left_n, s.left_label, s.right_n, s.right_label) == (3, 20, 1, 15, 0)
-    s = best_splits(candidate_scores(hist(spark, [(3, 5)]), 2)).first()
-    assert (s.bin, s.left_n, s.right_n, s.missing_n, s.all_label, s.score) == (0, 0, 0, 8, 1, 0.0)
+    s = best(h)
+    assert [s[x] for x in ("bin", "left_n", "left_ok", "left_label", "right_n", "right_ok", "right_label", "all_label", "missing_n")] == [2, 15, 15, 0, 20, 20, 1, 1, 0]
+    s = best(h, True)
+    assert [s[x] for x in ("bin", "left_n", "left_label", "right_n", "right_label")] == [3, 20, 1, 15, 0]
+    s = best([(3, 5), (0, 0)])
+    assert [s[x] for x in ("bin", "left_n", "right_n", "missing_n", "all_label", "score")] == [0, 0, 0, 8, 1, 0.0]
 
 
 def test_heap_params_and_draws(tmp_path):
@@ -148,10 +150,19 @@ def sample(spark, n=600, seed=2, missing=0.1):
 def test_levels_equal_local_growth_with_missing_values(spark):
     df = sample(spark)
     shape = Shape(3, training.fit_thresholds(df, 8, 3, sample=False) | {2: []}, {2: 4}, {0: 2, 1: 3}, {0: 8, 1: 4})
-    b = dz.binned(sa.bagging(df, range(3)), shape.thresholds, shape.categorical)
-    rows = assign_roots(b, [0, 1], range(3))
-    one, _, _ = grow(rows, shape, [(f, t, 0) for f in (0, 1) for t in range(3)], 4)
-    two = finish_locally(rows, shape, 4)
+    rows = prepared(df, shape, range(3)).cache()
+    roots = [(f, t, 0) for f in (0, 1) for t in range(3)]
+    one, _ = grow(rows, shape, range(3), roots, 4)
+    two = finish_locally(rows, shape, range(3), roots, 4)
+    # several passes a level, as when histograms do not fit a task, and a switch to local growth on the way
+    assert len(passes(shape, roots, 1)) == 6
+    assert grow(rows, shape, range(3), roots, 4, memory=1)[0].nodes.keys() == one.nodes.keys()
+    mixed, aside = grow(rows, shape, range(3), roots, 4, keep=lambda v, depth: depth < 2)
+    assert aside and all(ex.level_py(n) >= 2 for _, _, n in aside)
+    mixed = finish_locally(rows, shape, range(3), aside, 4, mixed)
+    assert {k: v["n"] for k, v in mixed.nodes.items()} == {k: v["n"] for k, v in one.nodes.items()}
+    at = rows_at_nodes(rows, one, shape, range(3), (0, 1)).collect()
+    assert all(one.nodes[r.forest, r.tree, r.node]["n"] == r.weight for r in at)
     keep = ("kind", "feature", "bin", "threshold", "label", "n")
     assert {k: [v.get(x) for x in keep] for k, v in one.nodes.items()} == {k: [v.get(x) for x in keep] for k, v in two.nodes.items()}
     assert any(v.get("kind") == "missing" for v in one.nodes.values()) and any(v.get("kind") == "category" for v in one.nodes.values())
@@ -186,10 +197,86 @@ def test_rotation_forest_and_selection(spark):
     r = training.train(df, pa.ForestParams(num_features=3, num_classes=3, num_trees=3, depths=4, rotation=True, num_rotations=2))
     out = r.predict(df)
     assert out.filter("size(tree_labels) = 3").count() == 300
-    p = pa.ForestParams(num_features=3, num_classes=3, num_trees=(1, 2), depths=(1, 3), bin_numbers=(4, 8), model_selection=True, categorical={2: 4}, feature_strategy="all")
-    best, scores = training.select_model(df, df, p)
-    assert {(s["trees"], s["depth"]) for s in scores} >= {(1, 1), (1, 3)}
-    assert max(s["accuracy"] for s in scores) == pytest.approx(pr.accuracy(best.predict(df)).first().accuracy)
+    p = pa.ForestParams(num_features=3, num_classes=3, num_trees=(1, 2), depths=(1, 3), bin_numbers=(4, 8), model_selection=True, categorical={2: 4}, feature_strategy="all", test_all=True)
+    s = training.select_model(df, df, p, df)
+    assert {(x["trees"], x["depth"]) for x in s.scores} >= {(1, 1), (1, 3)}
+    assert max(x["accuracy"] for x in s.scores) == pytest.approx(pr.accuracy(s.best.predict(df)).first().accuracy)
+    # the check rows are the test rows here: every model has the score it had
+    assert {tuple(x.values()) for x in s.tests} == {tuple(x.values()) for x in s.scores}
+    # growing on gives what growing at once gives
+    whole = training.train(df, pa.ForestParams(num_features=3, num_classes=3, num_trees=1, depths=3, bin_numbers=8, categorical={2: 4}, feature_strategy="all"))
+    kept = {k[2]: v["n"] for k, v in s.best.model.nodes.items() if k[:2] == (1, 0)}
+    assert kept == {k[2]: v["n"] for k, v in whole.model.nodes.items()}
+    t = training.select_model(df, df, pa.ForestParams(num_features=3, num_classes=3, num_trees=(2, 4), depths=(2,), bin_numbers=(4, 8), model_selection=True, rotation=True, num_rotations=2, feature_strategy="all"))
+    assert t.best.rotations.keys() == {0, 1} and max(x["accuracy"] for x in t.scores) == pytest.approx(pr.accuracy(t.best.predict(df)).first().accuracy)
+    assert training.train(df, p).max_trees in (1, 2)
+
+
+def test_pruning_and_best():
+    s = [{"forest": 0, "accuracy": 0.7}, {"forest": 1, "accuracy": 0.95}, {"forest": 2, "accuracy": 0.95}, {"forest": 3, "accuracy": 0.9}]
+    assert training.pruned(s, 0.1) == {0} and training.pruned(s, 1.0) == set() and training.pruned([], 0.5) == set()
+    top = None
+    for x in s:
+        top = training.better(top, x)
+    assert top["forest"] == 1
+
+
+def test_switch_to_local_growth():
+    def stays(**kw):
+        return training.stays_distributed(pa.ForestParams(num_features=3, **kw), 10**6)
+
+    assert stays(local_active=False)({"n": 1}, 9)
+    assert not stays(local_force=True)({}, 0)
+    assert stays(local_depth=2)({"n": 1}, 1) and not stays(local_depth=2)({"n": 10**9}, 2)
+    assert stays()({}, 0) and stays()({"n": 20_001}, 3) and not stays()({"n": 20_000}, 3)
+    assert training.local_limit(pa.ForestParams(num_features=10_000, local_memory=1 << 20)) == 4
+
+
+def test_trainer_from_a_file(spark, tmp_path):
+    df = sample(spark, 500, missing=0.0).withColumn("features", F.expr("transform(features, (v, i) -> if(i = 2, v + 1, v))"))
+    formats.write_libsvm(df, str(tmp_path / "data"))
+    f = tmp_path / "run.properties"
+    f.write_text(f"dataset={tmp_path}/data\nnumFeatures=3\nnumClasses=3\nnumTrees=5\nmaxDepth=5\nstrategyFeature=all\ncategory=2:4|1:0,2:1,3:2,4:3\noutputTree=true\noutput={tmp_path}/out\n")
+    t = Trainer.of_file(spark, f)
+    assert t.params.categorical == {2: 4}
+    rows = t.load()
+    assert {r.c for r in rows.select(F.get("features", F.lit(2)).alias("c")).distinct().collect()} == {0.0, 1.0, 2.0, 3.0}
+    assert rows.filter("features[0] = 0 or features[0] = 1").count() == 0  # only the categorical feature is remapped
+    r = t.run()
+    assert r.accuracy > 0.85 and r.n_test > 100 and "LEAF" in r.dump
+    t.run()
+    assert spark.read.option("header", True).csv(f"{tmp_path}/out/stats").count() == 2
+    again = formats.load_trained(spark, f"{tmp_path}/out/model")
+    assert pr.accuracy(again.predict(rows)).first() == pr.accuracy(r.model.predict(rows)).first()
+    f.write_text(f.read_text() + "modelSelection=true\ntestAll=true\nrotation=true\nnumRotation=2\nnumTrees=2,4\nmaxDepth=2,4\n")
+    s = Trainer.of_file(spark, f).run()
+    assert s.model.rotations and len(s.tests) == len(s.scores)
+    again = formats.load_trained(spark, f"{tmp_path}/out/model")
+    assert again.predict(rows).select("votes").collect() == s.model.predict(rows).select("votes").collect()
+
+
+def test_extension_points(spark):
+    pa.register_feature_strategy("half", lambda n: n / 2)
+    pa.register_split_strategy("one", lambda long, bins, seed: long.select("feature").distinct().withColumn("thresholds", F.array(F.lit(0.3))))
+    formats.register_reader("made", lambda spark, path, n, remap, categorical: sample(spark, 200, missing=0.0).select("row_id", "label", "features"))
+    assert pa.features_per_node("half", 5) == 3
+    r = Trainer(spark, pa.ForestParams(num_features=3, num_classes=3, num_trees=3, depths=4, feature_strategy="half", split_strategy="one", file_type="made", dataset="x")).run()
+    assert {v["threshold"] for v in r.model.model.nodes.values() if v.get("kind")} <= {0.3, dz.MAX}
+
+
+def test_wide_numbers(spark):
+    ids = [2**62, -(2**62), 2**63 - 1, 0, 7]
+    df = spark.createDataFrame([(i,) for i in ids], "row_id long")
+    got = [r.u for r in df.select(ex.uniform(F.col("row_id"), F.lit(3), 1).alias("u")).collect()]
+    assert got == [ex.uniform_py(i, 3, 1) for i in ids] and all(0 <= u < 1 for u in got)
+    assert sa.split(df).count() == 5 and sa.bagging(df, range(3)).filter("size(weights) = 3").count() == 5
+    assert len({ex.uniform_py(i, 0) for i in range(200_000)}) > 199_000
+    assert sa.node_key(0, 0, 4099) != sa.node_key(0, 1, 0)
+    with pytest.raises(ValueError):
+        pa.ForestParams(depths=30)
+    one = sa.threshold_sample(spark.range(50_000).select(F.col("id").alias("row_id")), 2)
+    assert 9000 < one.count() < 11_000
+    assert {r.row_id for r in sa.threshold_sample(spark.range(50_000).repartition(7).select(F.col("id").alias("row_id")), 2).collect()} == {r.row_id for r in one.collect()}
 
 
 def test_expressions(spark):

@@ -21,7 +21,7 @@ from grovelight.operators.discretize import MAX, binned
 from grovelight.operators.level import BEST_DDL, PARTIAL_DDL, candidates, coarse, facts, matrix, partial, pick, scored, slots_of, space, summed, trees_of, walked
 from grovelight.operators.sampling import bagging
 
-NODES_DDL = "forest int, tree int, node int, kind string, feature int, bin int, threshold double, label int, n bigint, is_leaf boolean"
+NODES_DDL = "forest int, tree int, node int, kind string, feature int, bin int, threshold double, label int, n bigint, is_leaf boolean, is_open boolean"
 Key = tuple[int, int, int]
 
 
@@ -32,7 +32,7 @@ class Model:
     nodes: dict[Key, dict] = field(default_factory=dict)
 
     def rows(self) -> list[tuple]:
-        return [(*k, v.get("kind"), v.get("feature"), v.get("bin"), v.get("threshold"), v["label"], v["n"], v.get("kind") is None) for k, v in sorted(self.nodes.items())]
+        return [(*k, v.get("kind"), v.get("feature"), v.get("bin"), v.get("threshold"), v["label"], v["n"], v.get("kind") is None, bool(v.get("open"))) for k, v in sorted(self.nodes.items())]
 
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.rows(), NODES_DDL)
@@ -94,11 +94,12 @@ class Shape:
         return MAX if b > len(t) else t[b - 1]
 
 
-def apply_split(model: Model, shape: Shape, s: dict, max_depth: int) -> list[Key]:
-    """Adds a best split to the model; returns the children that stay open."""
+def apply_split(model: Model, shape: Shape, s: dict, max_depth: int, inner: bool = False) -> list[Key]:
+    """Adds a best split to the model; returns the children that stay open. inner: only the real cut below its test for missing values."""
     f, t, n = s["forest"], s["tree"], s["node"]
-    here = model.nodes.setdefault((f, t, n), {"label": s["all_label"], "n": s["all_n"], "ok": s["all_ok"]})
-    here.update(label=s["all_label"], n=s["all_n"], open=False)
+    if not inner:
+        here = model.nodes.setdefault((f, t, n), {"label": s["all_label"], "n": s["all_n"], "ok": s["all_ok"]})
+        here.update(label=s["all_label"], n=s["all_n"], open=False)
     kind = "category" if s["categorical"] else "le"
     b = s["bin"]
     value = float(b - 1) if s["categorical"] else shape.threshold_of(f, s["feature"], b) if b else 0.0
@@ -111,6 +112,12 @@ def apply_split(model: Model, shape: Shape, s: dict, max_depth: int) -> list[Key
         if not closed:
             opened.append((f, t, node))
 
+    if inner:
+        m = 2 * n + 2
+        model.nodes[f, t, m].update(real)
+        child(2 * m + 1, "left")
+        child(2 * m + 2, "right")
+        return opened
     both = s["left_n"] > 0 and s["right_n"] > 0
     if s["missing_n"] == 0:
         if both:
@@ -130,9 +137,25 @@ def apply_split(model: Model, shape: Shape, s: dict, max_depth: int) -> list[Key
         model.nodes[f, t, m].update(real)
         child(2 * m + 1, "left")
         child(2 * m + 2, "right")
+    elif both:
+        model.nodes[f, t, m]["later"] = s
     return opened
 
 
+def reopened(model: Model, shape: Shape, forests: Sequence[int], trees: Sequence[int], max_depth: int) -> list[Key]:
+    """Nodes that a smaller depth limit had closed, opened again; cuts that it had put off are made."""
+    out: list[Key] = []
+    for k, v in list(model.nodes.items()):
+        if k[0] not in forests or k[1] not in trees:
+            continue
+        if v.pop("deep", False):
+            v["open"] = True
+            out.append(k)
+        elif "later" in v and level_py(k[2]) + 1 <= max_depth:
+            out += apply_split(model, shape, v.pop("later"), max_depth, inner=True)
+    return out
+
+
 def prepared(df: DataFrame, shape: Shape, trees: Sequence[int], mean: float | None = 1.0, seed: int = 0) -> DataFrame:
     """label, bins, weights of every row with a label among the classes: one row per record, whatever the number of trees."""
     return binned(bagging(df, trees, mean, seed), shape.thresholds, shape.categorical).filter(F.col("label").between(0, shape.classes - 1)).select(F.col("label").cast("int").alias("label"), "bins", "weights")

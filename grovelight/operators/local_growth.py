@@ -8,6 +8,7 @@ batch, and each sub-tree is grown with arrays. The planner hands over only nodes
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -19,8 +20,8 @@ from grovelight.operators.growth import Key, Model, Shape, apply_split, by_tree
 
 BLOCK = pa.schema([("forest", pa.int32()), ("tree", pa.int32()), ("node", pa.int32()), ("label", pa.binary()), ("w", pa.binary()), ("bins", pa.binary())])
 BLOCK_DDL = "forest int, tree int, node int, label binary, w binary, bins binary"
-NODE = pa.schema([("forest", pa.int32()), ("tree", pa.int32()), ("node", pa.int32()), ("kind", pa.string()), ("feature", pa.int32()), ("bin", pa.int32()), ("threshold", pa.float64()), ("label", pa.int32()), ("n", pa.int64()), ("deep", pa.bool_())])
-NODE_DDL = "forest int, tree int, node int, kind string, feature int, bin int, threshold double, label int, n bigint, deep boolean"
+NODE = pa.schema([("forest", pa.int32()), ("tree", pa.int32()), ("node", pa.int32()), ("kind", pa.string()), ("feature", pa.int32()), ("bin", pa.int32()), ("threshold", pa.float64()), ("label", pa.int32()), ("n", pa.int64()), ("deep", pa.bool_()), ("later", pa.string())])
+NODE_DDL = "forest int, tree int, node int, kind string, feature int, bin int, threshold double, label int, n bigint, deep boolean, later string"
 
 
 def grow_subtree(bins: np.ndarray, label: np.ndarray, w: np.ndarray, key: Key, shape: Shape, max_depth: int) -> Model:
@@ -105,7 +106,7 @@ def _finish(shape: Shape, max_depth: int):
                 return
             label, w, bins = (np.concatenate([np.frombuffer(h[i], kind) for h in held]).astype(np.int64) for i, kind in enumerate(("<i4", "<u1", "<i2")))
             m = grow_subtree(bins.reshape(-1, shape.features), label, w, key, shape, max_depth)
-            done.extend((*k, v.get("kind"), v.get("feature"), v.get("bin"), v.get("threshold"), v["label"], v["n"], v.get("deep", False)) for k, v in m.nodes.items())
+            done.extend((*k, v.get("kind"), v.get("feature"), v.get("bin"), v.get("threshold"), v["label"], v["n"], v.get("deep", False), json.dumps(v["later"]) if "later" in v else None) for k, v in m.nodes.items())
             held.clear()
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -139,5 +140,7 @@ def finish_locally(rows: DataFrame, shape: Shape, trees: Sequence[int], keys: Se
         v = {"label": r["label"], "n": r["n"], "open": False, "deep": r["deep"]}
         if r["kind"]:
             v |= {k: r[k] for k in ("kind", "feature", "bin", "threshold")}
+        if r["later"]:
+            v["later"] = json.loads(r["later"])
         model.nodes[r["forest"], r["tree"], r["node"]] = v
     return model

@@ -14,7 +14,7 @@ from grovelight.operators import discretize as dz
 from grovelight.operators import prediction as pr
 from grovelight.operators import rotation as ro
 from grovelight.operators import sampling as sa
-from grovelight.operators.growth import Key, Model, Shape, grow, prepared
+from grovelight.operators.growth import Key, Model, Shape, grow, prepared, reopened
 from grovelight.operators.local_growth import finish_locally
 from grovelight.params import ForestParams, features_per_node, strategy_thresholds
 
@@ -168,12 +168,7 @@ class _Part:
 
     def deepen(self, forests: Sequence[int], depth: int, before: int | None) -> None:
         """The prepared trees of the forests down to ``depth``; nodes that the depth before had closed are opened again."""
-        if before is None:
-            todo = self.roots(forests)
-        else:
-            todo = [k for k, v in self.model.nodes.items() if v.get("deep") and k[0] in forests and k[1] in self.own]
-            for k in todo:
-                self.model.nodes[k]["deep"] = False
+        todo = self.roots(forests) if before is None else reopened(self.model, self.shape, forests, self.own, depth)
         self.model = grow_to(self.rows, self.n, self.p, self.shape, self.own, todo, depth, self.model, before or 0)
 
 

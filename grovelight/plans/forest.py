@@ -147,7 +147,7 @@ def feature_subset(spark, d):
 
 
 def feature_strategies(spark, d):
-    rows = [(s, n, m, features_per_node(s, n, m)) for s in ("all", "sqrt", "sqrtsqrt", "log2", "onethird") for n in (2, 7, 25, 54, 1000) for m in (1.0, 2.0)]
+    rows = [(str(s), n, m, features_per_node(s, n, m)) for s in ("all", "sqrt", "sqrtsqrt", "log2", "onethird", 7) for n in (2, 7, 25, 54, 1000) for m in (1.0, 2.0)]
     return spark.createDataFrame(rows, "strategy string, n int, multiplier double, k int")
 
 
@@ -162,7 +162,7 @@ def vectors(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.when(x > 0, F.round(x.cast("double"), 3)).otherwise(0.0)).alias("v"))
     return e.select(
         "vec_id", ex.active_count(v).alias("active"), ex.nonzero_count(v).alias("nonzero"), ex.keeps_sparse(ex.nonzero_count(v), F.size(v)).alias("sparse"),
-        ex.element(s, 3, -100.0).alias("at3"), F.round(ex.squared_distance(ex.to_dense(s, 64, 0.0), ex.append_bias(F.slice(v, 1, 63))), 6).alias("distance"), F.round(ex.log1p_exp(F.get(v, F.lit(0))), 6).alias("softplus"),
+        ex.element(s, 3, -100.0).alias("at3"), F.round(ex.squared_distance(ex.to_dense(s, 64, 0.0), ex.append_bias(F.slice(v, 2, 63))), 6).alias("distance"), F.round(ex.log1p_exp(F.get(v, F.lit(0))), 6).alias("softplus"),
     )
 
 
@@ -300,15 +300,8 @@ def rotate_features(spark, d):
     return r.select("row_id", *[F.round(F.get("features", F.lit(i)), 6).alias(f"y{i}") for i in range(4)])
 
 
-def _trained_votes(t, df):
-    return t.predict(df).select("row_id", "label", "votes", "predicted")
-
-
-def standard_forest(spark, d):
-    """Train on 70 %, predict the rest."""
-    s = sa.split(frame(spark, d))
-    p = ForestParams(num_features=N, num_classes=3, num_trees=10, depths=5, categorical={5: 5, 6: 5})
-    return _trained_votes(training.train(s.filter("split = 'train'").drop("split"), p), s.filter("split = 'test'"))
+def _trained_votes(t, df, classes=q.CLASSES):
+    return t.predict(df).select("row_id", "label", *[F.get("votes", F.lit(c)).alias(f"v{c}") for c in range(classes)], "predicted")
 
 
 def rotation_forest_votes(spark, d):
@@ -317,31 +310,6 @@ def rotation_forest_votes(spark, d):
     return _trained_votes(training.train(s.filter("split = 'train'").drop("split"), p), s.filter("split = 'test'"))
 
 
-def grid_scores(spark, d):
-    """Scores of model selection over bins x multiplier x trees x depth on the check part."""
-    s = sa.split(frame(spark, d), (0.6, 0.2, 0.2), ("train", "check", "test"))
-    p = ForestParams(num_features=N, num_classes=3, num_trees=(2, 4), depths=(2, 4), bin_numbers=(8, 16), multipliers=(1.0, 2.0), model_selection=True, epsilon=0.0, epsilon_remove=0.5, categorical={5: 5, 6: 5})
-    scores = training.select_model(s.filter("split = 'train'"), s.filter("split = 'check'"), p).scores
-    return spark.createDataFrame([tuple(x.values()) for x in scores], "forest int, bins int, multiplier double, trees int, depth int, accuracy double")
-
-
-def _score_table(spark, d):
-    """Accuracy of one-threshold rules on each feature: a table of configurations."""
-    f = frame(spark, d)
-    long = dz.to_long(f).join(f.select("row_id", "label"), "row_id").filter("feature < 5")
-    return long.groupBy("feature").agg(F.round(F.avg(F.when((F.col("value") > 30).cast("int") == F.least(F.col("label"), F.lit(1)), 1.0).otherwise(0.0)), 6).alias("accuracy"))
-
-
-def prune_configs(spark, d):
-    s = _score_table(spark, d)
-    best = s.agg(F.max("accuracy").alias("best"))
-    return s.join(F.broadcast(best), F.lit(True)).select("feature", "accuracy", (F.col("best") - F.col("accuracy") > 0.1).alias("skipped"))  # one row
-
-
-def best_model(spark, d):
-    return _score_table(spark, d).agg(F.max_by("feature", F.struct("accuracy", -F.col("feature"))).alias("feature"), F.max("accuracy").alias("accuracy"))
-
-
 def _libsvm_lines(spark, d):
     f = frame(spark, d)
     return f.select("row_id", F.trim(formats.format_libsvm(F.col("label") - 1, F.transform("features", lambda v: F.floor(v)))).alias("value"))
@@ -370,7 +338,7 @@ def feature_count(spark, d):
 def embedding_forest(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), "label", F.col("embedding").cast("array<double>").alias("features"))
     t = training.train(e, ForestParams(num_features=64, num_classes=10, num_trees=5, depths=6))
-    return _trained_votes(t, e)
+    return _trained_votes(t, e, 10)
 
 
 def stock_classifier(spark, d):
@@ -383,17 +351,12 @@ def stock_regressor(spark, d):
     return stock.predict(stock.train_regressor(f, trees=5, depth=4), f)
 
 
-def tree_dump(spark, d):
-    lines = grown4(core4(spark, d), 3, 2)[0].dump().split("\n")
-    return spark.createDataFrame(list(enumerate(lines)), "line_no long, line string")
-
-
 _FUNCS = (
     feature_frame, features_long, split_counts, kfold_counts, minmax_per_feature, scaled_features, distinct_value_counts, thresholds_distribution, thresholds_random,
     bin_values, bin_histogram, cut_values, bin_shrink, bin_deshrink, bagging_weights, feature_subset, feature_strategies, heap_nodes, vectors, node_entropy,
     best_split_continuous, best_split_missing, best_split_categorical, split_candidates, majority_label, route_rows, grow_depth2, grow_depth3, subtree_local,
-    predict_votes, predict_batches, predict_limited, accuracy, confusion, vote_details, ensemble_aggregate, rotate_features, standard_forest, rotation_forest_votes,
-    grid_scores, prune_configs, best_model, libsvm_format, libsvm_parse, arff_parse, feature_count, embedding_forest, stock_classifier, stock_regressor, tree_dump,
+    predict_votes, predict_batches, predict_limited, accuracy, confusion, vote_details, ensemble_aggregate, rotate_features, rotation_forest_votes,
+    libsvm_format, libsvm_parse, arff_parse, feature_count, embedding_forest, stock_classifier, stock_regressor,
 )
 QUERIES = {f.__name__: f for f in _FUNCS} | {"node_histogram": node_histogram_query}
 
@@ -420,8 +383,8 @@ _NODES_SQL = "select cast(n.tree as int) as tree, cast(n.node as int) as node, n
 _VOTES_SQL = "select row_id, v0, v1, v2, predicted from won"
 _LINE = "trim(concat_ws(' ', cast(label - 1 as varchar), " + ", ".join(f"case when f{i} is not null and floor(f{i}) <> 0 then concat('{i + 1}:', cast(cast(floor(f{i}) as bigint) as varchar)) end" for i in range(N)) + "))"
 _ARR = "[" + ", ".join(f"case when round(cast(embedding[{i + 1}] as double), 3) > 0 or embedding[{i + 1}] > 0 then round(cast(embedding[{i + 1}] as double), 3) else 0.0 end" for i in range(64)) + "]"
-_SCORES = _LONG + ", sc as (select feature, round(avg(case when v is not null and (case when v > 30 then 1 else 0 end) = least(label, 1) then 1.0 else 0.0 end), 6) as accuracy from long where feature < 5 group by feature) "
 _NAMED = ", ".join(f"f{i} as {n}" for i, n in enumerate(NAMES))
+
 _D3 = ", ".join([q.walked(3), q.voted()])
 
 SQL = {
@@ -441,7 +404,7 @@ SQL = {
     "bin_deshrink": "with " + _GRID + " select b, fine, coarse, cast(case when fine <= coarse then b else least(fine, b * (fine // coarse)) end as int) as restored from g where b <= coarse",
     "bagging_weights": _W + q.bags() + " select tree, w, count(*) as n from bags group by tree, w",
     "feature_subset": f"with n as (select cast(t as int) as tree, cast(k as int) as node, cast(f as int) as feature from (select unnest(range(8)) as t), (select unnest(range(15)) as k), (select unnest(range({N})) as f)) select tree, node, feature, cast(pos as int) as pos from (select *, row_number() over (partition by tree, node order by {ex.uniform_sql('cast(tree as bigint) * 2147483648 + node', 'feature')}, feature) - 1 as pos from n) where pos < 3",
-    "feature_strategies": "with g as (select s as strategy, cast(n as int) as n, cast(m as double) as multiplier from (select unnest(['all', 'sqrt', 'sqrtsqrt', 'log2', 'onethird']) as s), (select unnest([2, 7, 25, 54, 1000]) as n), (select unnest([1.0, 2.0]) as m)) select strategy, n, multiplier, cast(greatest(1, least(n, ceil(multiplier * case strategy when 'all' then n when 'sqrt' then ceil(sqrt(n)) when 'sqrtsqrt' then ceil(pow(n, 0.25)) when 'log2' then ceil(log2(n)) else ceil(n / 3.0) end))) as int) as k from g",
+    "feature_strategies": "with g as (select s as strategy, cast(n as int) as n, cast(m as double) as multiplier from (select unnest(['all', 'sqrt', 'sqrtsqrt', 'log2', 'onethird', '7']) as s), (select unnest([2, 7, 25, 54, 1000]) as n), (select unnest([1.0, 2.0]) as m)) select strategy, n, multiplier, cast(greatest(1, least(n, ceil(multiplier * case strategy when 'all' then n when 'sqrt' then ceil(sqrt(n)) when 'sqrtsqrt' then ceil(pow(n, 0.25)) when 'log2' then ceil(log2(n)) when '7' then 7 else ceil(n / 3.0) end))) as int) as k from g",
     "heap_nodes": "with n as (select cast(unnest(range(1000)) as int) as node) select node, cast(2 * node + 1 as int) as left_child, cast(2 * node + 2 as int) as right_child, cast(floor((node - 1) / 2.0) as int) as parent, cast(floor(log2(node + 1)) as int) as level from n",
     "node_histogram": _root_sql(ALL) + " select tree, cast(node as int) as node, feature, bin, c0, c1, c2 from h",
     "node_entropy": _root_sql([0]) + f", t as (select tree, cast(sum(c0) as bigint) as c0, cast(sum(c1) as bigint) as c1, cast(sum(c2) as bigint) as c2 from h group by tree) select tree, round({q.h(['c0', 'c1', 'c2'], 'c0 + c1 + c2')}, 6) as entropy, cast(case greatest(c0, c1, c2) when c0 then 0 when c1 then 1 else 2 end as int) as label from t",
@@ -462,8 +425,6 @@ SQL = {
     "confusion": q.core4(3, 2, _D3, "select label, predicted, count(*) as n from won group by label, predicted"),
     "vote_details": q.core4(3, 2, q.walked(3), 'select row_id, pred as "class", cast(count(*) as int) as votes from pred group by row_id, pred'),
     "rotate_features": _W[:-2] + " select row_id, " + ", ".join("round(" + " + ".join(f"({m}) * f{f}" for m, f in zip(row, q.CORE4, strict=True)) + f", 6) as y{i}" for i, row in enumerate(TURN)) + " from frame",
-    "prune_configs": _SCORES + "select feature, accuracy, (select max(accuracy) from sc) - accuracy > 0.1 as skipped from sc",
-    "best_model": _SCORES + "select feature, accuracy from sc order by accuracy desc, feature limit 1",
     "libsvm_format": _W[:-2] + f" select row_id, {_LINE} as line from frame",
     "libsvm_parse": _W[:-2] + f", l as (select row_id, {_LINE} as line from frame), e as (select row_id, cast(split_part(line, ' ', 1) as double) as label, unnest(string_split(line, ' ')[2:]) as p from l) select row_id, greatest(label, 0.0) as label, cast(count(*) as int) as n_entries, cast(max(cast(split_part(p, ':', 1) as int)) - 1 as int) as max_idx, sum(cast(split_part(p, ':', 2) as double)) as total from e group by row_id, label",
     "arff_parse": _W[:-2] + " select row_id, cast(label as double) as label, 7 as n_values, cast((case when f2 is null then 1 else 0 end) + (case when f3 is null then 1 else 0 end) + (case when f4 is null then 1 else 0 end) as int) as n_missing, floor(f0) as first from frame",

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 def record_lines(lines: DataFrame, comments: str = "#") -> DataFrame:
     """Trimmed lines that are neither blank nor start with a comment sign."""
     t = F.trim("value")
-    return lines.select(t.alias("value")).filter((t != "") & ~F.substring(t, 1, 1).isin(*comments))
+    return lines.withColumn("value", t).filter((F.col("value") != "") & ~F.substring("value", 1, 1).isin(*comments))
 
 
 def clean_label(label: Column) -> Column:
@@ -115,13 +115,13 @@ def feature_count(parsed: DataFrame) -> DataFrame:
 
 def parse_vectors(lines: DataFrame) -> DataFrame:
     """features of '[1.0,2.0]' lines."""
-    return lines.select(F.from_json("value", "array<double>").alias("features"))
+    return lines.withColumn("features", F.from_json("value", "array<double>")).drop("value")
 
 
 def parse_labeled_points(lines: DataFrame) -> DataFrame:
     """label, features of '(1.0,[1.0,2.0])' lines."""
     v = F.regexp_replace("value", r"^\(([^,]+),(\[.*\])\)$", "$2")
-    return lines.select(F.regexp_extract("value", r"^\(([^,]+),", 1).try_cast("double").alias("label"), F.from_json(v, "array<double>").alias("features"))
+    return lines.withColumns({"label": F.regexp_extract("value", r"^\(([^,]+),", 1).try_cast("double"), "features": F.from_json(v, "array<double>")}).drop("value")
 
 
 def append_stats(df: DataFrame, path: str) -> None:
@@ -142,8 +142,8 @@ def model_of(nodes: DataFrame):
     from grovelight.operators.growth import Model
 
     out = Model()
-    for r in nodes.select("forest", "tree", "node", "kind", "feature", "bin", "threshold", "label", "n").toArrow().to_pylist():
-        v = {"label": r["label"], "n": r["n"]}
+    for r in nodes.toArrow().to_pylist():
+        v = {"label": r["label"], "n": r["n"], "open": r["is_open"]}
         if r["kind"]:
             v |= {k: r[k] for k in ("kind", "feature", "bin", "threshold")}
         out.nodes[r["forest"], r["tree"], r["node"]] = v

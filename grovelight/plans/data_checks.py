@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from grovelight.sources import record_lines as rl
 from grovelight.sources.tables import table
@@ -24,10 +25,17 @@ def p3_records(spark: SparkSession, d: str) -> DataFrame:
     return rl.valid_records(_parsed(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_rejected, p3_records)}
+def p3_values(spark: SparkSession, d: str) -> DataFrame:
+    """Every value of the valid records."""
+    r = p3_records(spark, d)
+    e = r.select("line_id", "label", F.explode(F.arrays_zip(F.col("idx").alias("feature"), F.col("val").alias("value"))).alias("e"))
+    return e.select("line_id", "label", "e.feature", "e.value")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_rejected, p3_records, p3_values)}
 
 _N = "[+-]?[0-9]+([.][0-9]+)?([eE][+-]?[0-9]+)?"
-_REJECTED = rf"""
+_PARSED = rf"""
 with l as (select line_id, fmt, num_features as nf, num_classes as nc, trim(raw_line) as s from raw_lines join raw_files using (file_id)),
      r as (select * from l where s <> '' and s[1] <> '#' and not (fmt = 'ARFF' and s[1] in ('%', '@'))),
      svm as (select line_id, nf, nc, list_filter(string_split(s, ' '), lambda x: x <> '') as p from r where fmt = 'LIBSVM'),
@@ -41,10 +49,19 @@ with l as (select line_id, fmt, num_features as nf, num_classes as nc, trim(raw_
               union all
               select line_id, nc, q[-1], len(q) = nf + 1 and len(list_filter(q[:-2], lambda x: not (x in ('NaN', '?', '') or regexp_full_match(x, '{_N}')))) = 0
                      and len(list_filter(q[:-2], lambda x: isinf(coalesce(try_cast(x as double), 0)))) = 0 from arff2)
+"""
+_BAD = rf"""
 select line_id from flat
 where not (coalesce(ok, true) and regexp_full_match(label, '{_N}') and not isinf(coalesce(try_cast(label as double), 0))
            and coalesce(try_cast(label as double) = floor(try_cast(label as double)) and try_cast(label as double) < nc, false))
 """
+_REJECTED = _PARSED + _BAD
+_VALUES = f"""{_PARSED}, bad as ({_BAD}),
+     pairs as (select line_id, label, unnest(list_zip(k, list_transform(p[2:], lambda x: split_part(x, ':', 2)))) as t from svm2 where line_id not in (select line_id from bad)),
+     cells as (select line_id, q[-1] as label, unnest(list_zip(range(len(q) - 1), q[:-2])) as t from arff2 where line_id not in (select line_id from bad)),
+     every as (select line_id, label, cast(t[1] - 1 as int) as feature, t[2] as v from pairs union all select line_id, label, cast(t[1] as int), t[2] from cells)
+select line_id, cast(greatest(0, cast(label as double)) as int) as label, feature, case when v in ('', '?', 'NaN') then null else cast(v as double) end as value from every"""
 SQL = {
     "p3_found": _REJECTED,
+    "p3_values": _VALUES,
 }

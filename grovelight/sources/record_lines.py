@@ -1,8 +1,8 @@
 """Bulk parsing of LIBSVM and ARFF lines: valid records, and rejected lines with the reason.
 
-Lines that share a declared shape form blocks. A block is tried as a whole first: one pattern over
-the joined lines, one conversion of all its numbers, checks on whole arrays. A block that fails is
-cut in halves until the bad records stand alone; those are diagnosed field by field.
+Lines that share a declared shape form blocks. A block is split, unquoted, screened and converted in
+whole Arrow columns. A block with lines that are not plainly valid is cut in halves until these stand
+alone; runs without one come out as columns, the others are diagnosed field by field.
 """
 
 from __future__ import annotations
@@ -10,9 +10,11 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +23,11 @@ from grovelight.sources.tables import maybe_broadcast
 NUM = r"[+-]?[0-9]++(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?"
 NUMBER = re.compile(NUM, re.A)
 INDEX = re.compile(r"[0-9]+", re.A)
-SVM_LINE = rf"{NUM}(?: ++[0-9]++:(?:{NUM}|NaN))*+"
-ARFF_FIELD = rf" *+(?:(?:{NUM})|NaN|\?|) *+"
+#: Numbers that are surely finite; others are left to the strict way.
+PLAIN_NUMBER = r"[+-]?[0-9]{1,40}(?:\.[0-9]{1,40})?(?:[eE][+-]?[0-9]{1,2})?"
+PLAIN = rf"^{PLAIN_NUMBER}$"
+PLAIN_PAIR = rf"^[0-9]{{1,9}}:(?:{PLAIN_NUMBER}|NaN)$"
+QUOTED = r"^(?:'([^'\"]*)'|\"([^'\"]*)\")$"
 SCHEMA = "line_id bigint, file_id string, line_no int, label int, idx array<int>, val array<double>, reason string"
 ARROW = pa.schema([("line_id", pa.int64()), ("file_id", pa.string()), ("line_no", pa.int32()), ("label", pa.int32()), ("idx", pa.list_(pa.int32())), ("val", pa.list_(pa.float64())), ("reason", pa.string())])
 SPACE = " \t\r\n\f\v"
@@ -91,95 +96,172 @@ def strict(line: str, fmt: str, features: int, classes: int) -> Record:
     return label, list(range(features)), val
 
 
-def _labels(text: list[str], classes: int) -> np.ndarray:
-    v = np.array(text, np.float64)
-    if not (np.isfinite(v).all() and (v == np.floor(v)).all() and (v < classes).all()):
-        raise Rejected
-    return np.maximum(v, 0).astype(np.int64)
-
-
-def bulk(lines: list[str], fmt: str, features: int, classes: int, pattern: re.Pattern) -> list[Record]:
-    """A whole block at once; raises Rejected if any of its lines is not plainly valid."""
-    text = "\n".join(lines)
-    if not pattern.fullmatch(text):
-        raise Rejected
-    if fmt == "LIBSVM":
-        labels = _labels([x.split(" ", 1)[0] for x in lines], classes)
-        pairs = [x.split()[1:] for x in lines]
-        n = np.array([len(p) for p in pairs])
-        flat = [q for p in pairs for q in p]
-        if not flat:
-            return [(int(c), [], []) for c in labels]
-        both = np.array([q for p in flat for q in p.split(":")], dtype=object).reshape(-1, 2)
-        idx = both[:, 0].astype(np.float64)
-        val = both[:, 1].astype(np.float64)
-        end = np.cumsum(n)
-        rise = np.diff(idx) > 0
-        first = np.zeros(len(idx), bool)
-        first[(end - n)[n > 0]] = True
-        if idx.min() < 1 or idx.max() > features or not (rise | first[1:]).all() or np.isinf(val).any():
-            raise Rejected
-        ints = (idx - 1).astype(int).tolist()
-        vals = [None if v != v else v for v in val.tolist()]
-        return [(int(c), ints[e - k : e], vals[e - k : e]) for c, e, k in zip(labels.tolist(), end.tolist(), n.tolist(), strict=True)]
-    cells = np.array([f.strip() for x in lines for f in x.split(",")], dtype=object).reshape(len(lines), features + 1)
-    labels = _labels(cells[:, -1].tolist(), classes)
-    body = cells[:, :-1]
-    gap = (body == "") | (body == "?") | (body == "NaN")
-    val = np.where(gap, "nan", body).astype(np.float64)
-    if np.isinf(val).any():
-        raise Rejected
-    rows = val.tolist()
-    return [(c, list(range(features)), [None if v != v else v for v in r]) for c, r in zip(labels.tolist(), rows, strict=True)]
-
-
-def _pattern(fmt: str, features: int) -> re.Pattern:
-    line = SVM_LINE if fmt == "LIBSVM" else rf"(?:{ARFF_FIELD},){{{features}}} *+{NUM} *+"
-    return re.compile(rf"(?:{line})(?:\n{line})*+", re.A)
-
-
-def parse_block(lines: list[str], fmt: str, features: int, classes: int) -> list[Record | str]:
-    """A record or a reason for each line. Halves a failing block until the failing lines are alone."""
-    pattern = _pattern(fmt, features)
-    out: list[Record | str] = [""] * len(lines)
-    todo = [(0, len(lines))]
+# ---- the fast path: whole columns at a time
+
+
+def _is(texts: pa.Array, pattern: str) -> np.ndarray:
+    return pc.match_substring_regex(texts, pattern).to_numpy(zero_copy_only=False)
+
+
+def _number_column(texts: pa.Array) -> np.ndarray:
+    """Doubles of texts that are plain numbers; NaN for the others."""
+    plain = pc.if_else(pa.array(_is(texts, PLAIN)), pc.replace_substring_regex(texts, r"^\+", ""), pa.scalar(None, pa.string()))
+    return pc.cast(plain, pa.float64()).to_numpy(zero_copy_only=False)
+
+
+def _heads(lens: np.ndarray) -> np.ndarray:
+    return np.cumsum(lens) - lens
+
+
+def _label_ok(label: np.ndarray, classes: int) -> np.ndarray:
+    with np.errstate(invalid="ignore"):
+        return (label == np.floor(label)) & (label < classes)
+
+
+@dataclass
+class Columns:
+    """A block split into columns: which lines are plainly valid, and their labels, indices and values (NaN for a missing one)."""
+
+    ok: np.ndarray
+    label: np.ndarray
+    size: np.ndarray
+    idx: np.ndarray
+    val: np.ndarray
+
+    def of(self, lines: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """Arrow columns of some lines, in order."""
+        size = self.size[lines]
+        at = np.repeat(_heads(self.size)[lines], size) + np.arange(size.sum()) - np.repeat(_heads(size), size)
+        ends = pa.array(np.r_[0, np.cumsum(size)], pa.int32())
+        val = self.val[at]
+        return (
+            pa.array(np.maximum(self.label[lines], 0).astype(np.int32)),
+            pa.ListArray.from_arrays(ends, pa.array(self.idx[at].astype(np.int32))),
+            pa.ListArray.from_arrays(ends, pa.array(val, mask=np.isnan(val))),
+        )
+
+
+def _any_bad(bad: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """For each list whether one of its elements is marked."""
+    upto = np.r_[0, np.cumsum(bad)]
+    first = _heads(lens)
+    return upto[first + lens] > upto[first]
+
+
+def svm_columns(lines: pa.Array, features: int, classes: int) -> Columns:
+    parts = pc.split_pattern_regex(pc.utf8_trim(lines, " "), " +")
+    lens = parts.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = parts.flatten()
+    label = _number_column(flat.take(pa.array(_heads(lens))))
+    rest = np.ones(len(flat), bool)
+    rest[_heads(lens)] = False
+    pairs = flat.filter(pa.array(rest))
+    size = lens - 1
+    good = _is(pairs, PLAIN_PAIR)
+    pairs = pc.if_else(pa.array(good), pairs, pa.scalar("0:0"))
+    both = pc.split_pattern(pairs, ":").flatten()
+    odd = np.arange(1, len(both), 2)
+    idx = pc.cast(both.take(pa.array(odd - 1)), pa.int64()).to_numpy(zero_copy_only=False)
+    val = _number_column(both.take(pa.array(odd)))
+    rises = np.r_[True, idx[1:] > idx[:-1]] if len(idx) else np.zeros(0, bool)
+    rises[_heads(size)[size > 0]] = True
+    bad = ~good | ~rises | (idx < 1) | (idx > features)
+    return Columns(_label_ok(label, classes) & ~_any_bad(bad, size), label, size, idx - 1, val)
+
+
+def arff_columns(lines: pa.Array, features: int, classes: int) -> Columns:
+    parts = pc.split_pattern(lines, ",")
+    lens = parts.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    right = lens == features + 1
+    flat = pc.utf8_trim(parts.filter(pa.array(right)).flatten(), SPACE)
+    flat = pc.utf8_trim(pc.replace_substring_regex(flat, QUOTED, r"\1\2"), SPACE)
+    n = int(right.sum())
+    value = _number_column(flat)
+    table = value.reshape(n, features + 1)
+    fit = (~np.isnan(value) | _is(flat, r"^(?:NaN|\?|)$")).reshape(n, features + 1)
+    ok, label, size = np.zeros(len(lines), bool), np.full(len(lines), np.nan), np.where(right, features, 0)
+    ok[right] = _label_ok(table[:, -1], classes) & fit[:, :-1].all(1)
+    label[right] = table[:, -1]
+    return Columns(ok, label, size, np.tile(np.arange(features), n), table[:, :-1].ravel())
+
+
+def bisected(bad: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
+    """Runs of lines without a bad one, and the bad lines: a block with bad lines is halved until they stand alone."""
+    upto = np.r_[0, np.cumsum(bad)]
+    runs, alone, todo = [], [], [(0, len(bad))]
     while todo:
         a, b = todo.pop()
+        if upto[a] == upto[b]:
+            if b > a:
+                runs.append((a, b))
+        elif b - a == 1:
+            alone.append(a)
+        else:
+            todo += [((a + b) // 2, b), (a, (a + b) // 2)]
+    return runs, alone
+
+
+def parse_block(lines: pa.Array, fmt: str, features: int, classes: int) -> tuple[list[tuple[np.ndarray, tuple]], dict[int, Record | str]]:
+    """Columns of the runs of plainly valid lines, with their places; and a record or the reason for each other line."""
+    block = (svm_columns if fmt == "LIBSVM" else arff_columns)(lines, features, classes)
+    runs, alone = bisected(~block.ok)
+    good = np.concatenate([np.arange(a, b) for a, b in runs]) if runs else np.zeros(0, np.int64)
+    rest: dict[int, Record | str] = {}
+    for k, text in zip(alone, lines.take(pa.array(alone, pa.int64())).to_pylist(), strict=True):
         try:
-            out[a:b] = bulk(lines[a:b], fmt, features, classes, pattern)
-        except (Rejected, ValueError):
-            if b - a > 1:
-                todo += [(a, (a + b) // 2), ((a + b) // 2, b)]
-                continue
-            try:
-                out[a] = strict(lines[a], fmt, features, classes)
-            except Rejected as e:
-                out[a] = str(e)
-    return out
+            rest[k] = strict(text, fmt, features, classes)
+        except Rejected as e:
+            rest[k] = str(e)
+    return ([(good, block.of(good))] if len(good) else []), rest
+
+
+BLOCK, BLOCK_BYTES = 4096, 8 << 20
+
+
+def _blocks(rows: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Rows in blocks of bounded number and, but for single long lines, bounded size."""
+    at = np.maximum(np.arange(len(rows)) // BLOCK, 0) + np.cumsum(size) // BLOCK_BYTES
+    return np.split(rows, np.flatnonzero(np.diff(at)) + 1)
 
 
-BLOCK = 256
+def _rejected(keys: list[pa.Array], reason: list[str]) -> pa.RecordBatch:
+    n = len(reason)
+    return pa.RecordBatch.from_arrays([*keys, pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.float64())), pa.array(reason, pa.string())], schema=ARROW)
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        groups: dict[tuple, list] = {}
-        done = []
-        for line_id, file_id, no, line, fmt, features, classes in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            key = (line_id, file_id, no)
-            if fmt not in ("LIBSVM", "ARFF") or features is None or classes is None or features < 0:
-                done.append((*key, None, None, None, "file: no declared shape"))
-            elif line is None:
-                done.append((*key, None, None, None, "line: missing"))
-            else:
-                groups.setdefault((fmt, features, classes), []).append((key, line.strip(SPACE)))
-        for shape, rows in groups.items():
-            for s in range(0, len(rows), BLOCK):
-                part = rows[s : s + BLOCK]
-                for (key, _), r in zip(part, parse_block([x for _, x in part], *shape), strict=True):
-                    done.append((*key, None, None, None, r) if isinstance(r, str) else (*key, *r, None))
-        if done:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), ARROW, strict=True)], schema=ARROW)
+        ids, line = [b.column(k) for k in range(3)], pc.utf8_trim(b.column(3), SPACE)
+        fmt, features, classes, twice = b.column(4), b.column(5), b.column(6), b.column(7)
+        known = pc.and_(pc.fill_null(pc.is_in(fmt, pa.array(["LIBSVM", "ARFF"])), False), pc.and_(pc.fill_null(pc.greater_equal(features, 0), False), pc.is_valid(classes)))
+        known = pc.and_not(known, pc.fill_null(twice, False)).to_numpy(zero_copy_only=False)
+        there = line.is_valid().to_numpy(zero_copy_only=False)
+        for mask, reason in ((~known, None), (known & ~there, "line: missing")):
+            if mask.any():
+                at = pa.array(np.flatnonzero(mask))
+                why = [reason or ("file: declared twice" if t else "file: no declared shape") for t in twice.take(at).to_pylist()]
+                yield _rejected([c.take(at) for c in ids], why)
+        at = np.flatnonzero(known & there)
+        if not len(at):
+            continue
+        size = pc.fill_null(pc.binary_length(line), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        shapes, of = np.unique(np.array([f"{f} {n} {c}" for f, n, c in zip(*(c.take(pa.array(at)).to_pylist() for c in (fmt, features, classes)), strict=True)]), return_inverse=True)
+        for k, shape in enumerate(shapes):
+            kind, n, c = shape.split()
+            own = at[of == k]
+            for rows in _blocks(own, size[own]):
+                runs, rest = parse_block(line.take(pa.array(rows)), kind, int(n), int(c))
+                for good, cols in runs:
+                    where = pa.array(rows[good])
+                    yield pa.RecordBatch.from_arrays([*(x.take(where) for x in ids), *cols, pa.nulls(len(good), pa.string())], schema=ARROW)
+                bad = [k for k, r in rest.items() if isinstance(r, str)]
+                if bad:
+                    where = pa.array(rows[bad])
+                    yield _rejected([x.take(where) for x in ids], [rest[k] for k in bad])
+                fine = [k for k, r in rest.items() if not isinstance(r, str)]
+                if fine:
+                    where = pa.array(rows[fine])
+                    yield pa.RecordBatch.from_arrays([*(x.take(where) for x in ids), *(pa.array([rest[k][i] for k in fine], ARROW.field(3 + i).type) for i in range(3)), pa.nulls(len(fine), pa.string())], schema=ARROW)
 
 
 def parse_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
@@ -187,16 +269,18 @@ def parse_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
 
     Blank lines, lines that start with # and in ARFF also with % or @ are no records and do not come
     out. A NULL line is rejected ('line: missing'), as is a line of a file without a declared
-    shape ('file: no declared shape'). A missing value is NULL. Lines of any length are parsed whole;
+    shape ('file: no declared shape') or with two ('file: declared twice'). A missing value is NULL. Lines of any length are parsed whole;
     repeated lines each count; extra columns are ignored. The shapes are broadcast while they are few;
     beyond that they are joined by file, where Spark splits a file that holds most lines.
     """
-    shape = files.filter("file_id is not null").select(F.col("file_id").alias("f"), F.upper("fmt").alias("fmt"), F.col("num_features").cast("int").alias("nf"), F.col("num_classes").cast("int").alias("nc")).dropDuplicates(["f"])
+    shape = files.filter("file_id is not null").select(F.col("file_id").alias("f"), F.upper("fmt").alias("fmt"), F.col("num_features").cast("int").alias("nf"), F.col("num_classes").cast("int").alias("nc"))
+    # a file declared again alike is declared once; one declared in two ways has no shape
+    shape = shape.groupBy("f").agg(F.min("fmt").alias("fmt"), F.min("nf").alias("nf"), F.min("nc").alias("nc"), (F.countDistinct(F.struct("fmt", "nf", "nc")) > 1).alias("twice"))
     need = lines.select(F.col("line_id").cast("long").alias("line_id"), F.col("file_id").cast("string").alias("file_id"), F.col("line_no").cast("int").alias("line_no"), F.col("raw_line").cast("string").alias("raw_line"))
     joined = need.join(maybe_broadcast(shape, 50_000), F.col("file_id") == F.col("f"), "left")
     start = F.substring(F.regexp_replace("raw_line", r"^\s+", ""), 1, 1)
     skip = (start == "") | (start == "#") | ((F.col("fmt") == "ARFF") & start.isin("%", "@"))
-    return joined.filter(F.coalesce(~skip, F.lit(True))).select("line_id", "file_id", "line_no", "raw_line", "fmt", "nf", "nc").mapInArrow(_parse, SCHEMA)
+    return joined.filter(F.coalesce(~skip, F.lit(True))).select("line_id", "file_id", "line_no", "raw_line", "fmt", "nf", "nc", "twice").mapInArrow(_parse, SCHEMA)
 
 
 def valid_records(parsed: DataFrame) -> DataFrame:

@@ -58,9 +58,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_kept_days(spark: SparkSession, d: str) -> DataFrame:
-    """Estimates from the histograms of days (two digits); their values have bounded error, so SQL has no equal."""
-    h = cut(rp.day_histograms(rp.ordered_values(table(spark, d, "raw_data_sparse")), 2))
-    return rp.estimates(rp.combined(h)).select("source", "feature", "pct", "n_values", "value")
+    """Estimates from the histograms of days (two digits), held against the exact values: their ranks are exact, their values within 2**-19."""
+    values = cut(rp.ordered_values(table(spark, d, "raw_data_sparse")))
+    kept = rp.estimates(rp.combined(cut(rp.day_histograms(values, 2))))
+    exact = rp.percentiles(values).select("source", "feature", "pct", F.col("n_values").alias("n"), F.col("value").alias("exact"))
+    near = (F.abs(F.col("value") - F.col("exact")) <= F.abs("exact") * 2.0**-19) & (F.col("n") == F.col("n_values"))
+    return kept.join(exact, ["source", "feature", "pct"]).select("source", "feature", "pct", "n_values", near.alias("within"))
 
 
 def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
@@ -200,6 +203,8 @@ SQL = {
     "p4_term_frequencies": _TERMS + "select kind, term, docs, occurrences, n_records, mark from m",
     "p5_found": _PCT + "select p.source, p.feature, p.pct from p join feature_limits l on l.feature = p.feature and l.pct = p.pct where n_values >= 30 and (value < lo or value > hi)",
     "p5_percentiles": _PCT + "select source, feature, pct, n_values, value from p",
+    "p5_kept_days": _PCT + "select source, feature, pct, n_values, true as within from p",
+    "p7_found": _MIX + "select mix_id, source from p where short",
     "p7_shares_by_chars": _MIX + "select p.mix_id, p.source, coalesce(g.tokens, 0) as tokens, coalesce(docs, 0) as docs, round(rate, 6) as rate, round(coalesce(g.tokens * 1.0 / mix_tokens, 0.0), 6) as reached_share, short from p left join g on g.mix_id = p.mix_id and g.source = p.source left join m on m.mix_id = p.mix_id",
     "p7_mix_by_chars": _MIX + "select mix_id, source, doc_id, tokens, cast(unnest(range(1, copies + 1)) as bigint) as copy_no from c where copies > 0",
     "p2_found": _PAIRS + "select least(t_id, e_id) as row_id_a, greatest(t_id, e_id) as row_id_b from g",

@@ -343,12 +343,12 @@ def embedding_forest(spark, d):
 
 def stock_classifier(spark, d):
     f = core4(spark, d)
-    return stock.predict(stock.train_classifier(f, trees=5, depth=4), f)
+    return stock.predict(stock.train_classifier(f, trees=5, depth=4, num_features=4, categorical={2: 5, 3: 5}), f)
 
 
 def stock_regressor(spark, d):
     f = core4(spark, d).withColumn("label", F.get("features", F.lit(0)) / 1000)
-    return stock.predict(stock.train_regressor(f, trees=5, depth=4), f)
+    return stock.predict(stock.train_regressor(f, trees=5, depth=4, num_features=4, categorical={2: 5, 3: 5}), f)
 
 
 _FUNCS = (

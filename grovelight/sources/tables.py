@@ -13,13 +13,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder that every executor reaches: ``spark.checkpoint.dir`` where it is set.
+    """Folder that every executor reaches: ``spark.checkpoint.dir``, which a cluster must set.
 
-    A local session without the setting (tests) gets a folder below the warehouse directory.
+    Only a local session without the setting (tests) gets a folder of its own, below the warehouse
+    directory. What is cut there is deleted with its DataFrame where the session sets
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``.
     """
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = spark.conf.get("spark.sql.warehouse.dir") + "/grovelight-checkpoints"
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(where)

@@ -285,3 +285,19 @@ def test_expressions(spark):
     r = df.select(ex.active_count(F.col("v")), ex.nonzero_count(F.col("v")), ex.element(s, 3, -100.0), ex.element(s, 1, -100.0), ex.to_dense(s, 5), ex.append_bias(F.col("v")), ex.log1p_exp(F.lit(800.0)), ex.keeps_sparse(F.lit(5), F.lit(87))).first()
     assert list(r) == [4, 3, -100.0, 2.3, [1.0, 2.3, None, None, 123.34], [1.0, 2.3, 0.0, None, 123.34, 1.0], 800.0, True]
     assert math.isclose(df.select(ex.entropy([F.lit(2), F.lit(2)])).first()[0], math.log(2))
+
+
+def test_stock_forests_take_categories(spark):
+    """A category that only a subset split tells apart."""
+    from grovelight.operators import stock
+
+    r = random.Random(1)
+    rows = [(i, float(c in (1, 3)), [r.gauss(0, 1), float(c)]) for i in range(400) for c in [r.randrange(5)]]
+    df = spark.createDataFrame(rows, "row_id long, label double, features array<double>")
+    for impurity in ("gini", "entropy"):
+        m = stock.train_classifier(df, trees=3, depth=1, impurity=impurity, strategy="all", num_features=2, categorical={1: 5})
+        assert "in {" in m.toDebugString
+        assert stock.predict(m, df).filter("label <> prediction").count() == 0
+    m = stock.train_regressor(df, trees=3, depth=1, strategy="all", num_features=2, categorical={1: 5})
+    assert stock.predict(m, df).filter("abs(label - prediction) > 0.01").count() == 0
+    assert stock.from_ml(stock.to_ml(df)).select("features").collect() == df.select("features").collect()

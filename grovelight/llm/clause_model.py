@@ -19,6 +19,7 @@ import xxhash
 TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)*|[.!?;:…]+(?=\s)|\n+")
 BITS = 18
 PENALTY = 0.2  # of squared weights, beside a loss that adds up over clauses
+FIRST_STEPS, NEXT_STEPS = 20, 8
 MOST_DOUBTED = 0.15  # share of the positive reviews that may be taken for wrong
 LONGEST, STEP = 16, 8  # words of a clause; longer ones are cut into overlapping windows
 SHIFT = np.uint64(64 - BITS)
@@ -98,6 +99,16 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -36, 36)))
 
 
+@dataclass
+class _Point:
+    """Where the descent stands: weights, bias, and the squared gradients met."""
+
+    w: np.ndarray = field(default_factory=lambda: np.zeros(1 << BITS))
+    bias: float = -3.0
+    seen: np.ndarray = field(default_factory=lambda: np.full(1 << BITS, 1e-6))
+    seen_b: float = 1e-6
+
+
 class _Sample:
     """Features of all clauses of the reviewed documents."""
 
@@ -112,10 +123,10 @@ class _Sample:
         self.f, self.c = f[often[f]], c[often[f]]
         self.v = scale(self.a, self.b)[self.c]
 
-    def steps(self, w: np.ndarray, bias: float, of: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
-        """Adaptive gradient steps on the logistic loss over the clauses with a weight. of: the features' positions in use."""
-        f, c, v = self.f[of], self.c[of], self.v[of]
-        seen, seen_b = np.full(len(w), 1e-6), 1e-6
+    def steps(self, at: _Point, of: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, weight: np.ndarray, rounds: int) -> None:
+        """Adaptive gradient steps on the logistic loss over the clauses with a weight. of: features in use, their clauses and scales."""
+        f, c, v = of
+        w, bias, seen, seen_b = at.w, at.bias, at.seen, at.seen_b
         for _ in range(rounds):
             r = (sigmoid(np.bincount(c, w[f] * v, self.n) + bias) - y) * weight
             g = np.bincount(f, r[c] * v, len(w)) + PENALTY * w
@@ -123,7 +134,7 @@ class _Sample:
             w = w - 0.5 * g / np.sqrt(seen)
             seen_b += r.sum() ** 2
             bias -= 0.5 * r.sum() / np.sqrt(seen_b)
-        return w, bias
+        at.w, at.bias, at.seen, at.seen_b = w, bias, seen, seen_b
 
     def z(self, w: np.ndarray, bias: float) -> np.ndarray:
         return np.bincount(self.c, w[self.f] * self.v, self.n) + bias
@@ -137,17 +148,18 @@ class _Sample:
     def fit(self, docs: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
         """Weights and bias from the chosen documents, and the clauses taken as positive."""
         use = docs[self.doc]
-        of = np.flatnonzero(use[self.c])
+        here = np.flatnonzero(use[self.c])
+        of = self.f[here], self.c[here], self.v[here]
         pos = use & (self.y[self.doc] == 1)
         share = np.bincount(self.doc, minlength=len(self.y))[self.doc]
-        weight = np.where(pos, 1.0 / share, 1.0) * use
-        w, bias = self.steps(np.zeros(1 << BITS), -3.0, of, pos.astype(float), weight, 40)
+        at = _Point()
+        self.steps(at, of, pos.astype(float), np.where(pos, 1.0 / share, 1.0) * use, FIRST_STEPS)
         chosen = pos
         for _ in range(3):
-            z = self.z(w, bias)
+            z = self.z(at.w, at.bias)
             chosen = pos & (z >= self.best(z)[self.doc])
-            w, bias = self.steps(np.zeros(1 << BITS), -3.0, of, chosen.astype(float), (chosen | (use & ~pos)).astype(float), 30)
-        return w, bias, chosen
+            self.steps(at, of, chosen.astype(float), (chosen | (use & ~pos)).astype(float), NEXT_STEPS)
+        return at.w, at.bias, chosen
 
 
 def out_of_fold(s: _Sample, folds: int, use: np.ndarray | None = None) -> np.ndarray:

@@ -15,6 +15,15 @@ def to_long(df: DataFrame, features: str = "features") -> DataFrame:
     return df.select("row_id", F.posexplode(features).alias("feature", "value"))
 
 
+def sparse_value_counts(df: DataFrame) -> DataFrame:
+    """feature, value, n of sparse rows (idx, val); values that are not stored count as 0."""
+    pairs = df.select(F.explode(F.arrays_zip(F.col("idx").alias("feature"), F.col("val").cast("array<double>").alias("value"))).alias("e")).select("e.feature", "e.value")
+    stored = pairs.groupBy("feature").agg(F.count("*").alias("k"))
+    rows = df.agg(F.count("*").alias("rows"))
+    zeros = stored.join(F.broadcast(rows), F.col("k") < F.col("rows")).select("feature", F.lit(0.0).alias("value"), (F.col("rows") - F.col("k")).alias("n"))  # one row
+    return value_counts(pairs).unionByName(zeros).groupBy("feature", "value").agg(F.sum("n").alias("n"))
+
+
 def value_counts(long: DataFrame) -> DataFrame:
     """feature, value, n without missing values: pre-aggregated, so frequent values cost nothing more."""
     return long.filter("value is not null and not isnan(value)").groupBy("feature", "value").agg(F.count("*").alias("n"))

@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grovelight.functions.expressions import level_py
-from grovelight.operators.discretize import MAX, binned
-from grovelight.operators.level import BEST_DDL, PARTIAL_DDL, candidates, coarse, facts, matrix, partial, pick, scored, slots_of, space, summed, trees_of, walked
-from grovelight.operators.sampling import bagging
+from grovelight.operators.discretize import MAX
+from grovelight.operators.level import BEST_DDL, PARTIAL_DDL, candidates, coarse, facts, partial, pick, prepare, rows_of, scored, slots_of, space, summed, trees_of, walked
 
+ROWS_DDL = "label int, bins array<smallint>, weights array<tinyint>"
 NODES_DDL = "forest int, tree int, node int, kind string, feature int, bin int, threshold double, label int, n bigint, is_leaf boolean, is_open boolean"
 Key = tuple[int, int, int]
 
@@ -157,8 +157,21 @@ def reopened(model: Model, shape: Shape, forests: Sequence[int], trees: Sequence
 
 
 def prepared(df: DataFrame, shape: Shape, trees: Sequence[int], mean: float | None = 1.0, seed: int = 0) -> DataFrame:
-    """label, bins, weights of every row with a label among the classes: one row per record, whatever the number of trees."""
-    return binned(bagging(df, trees, mean, seed), shape.thresholds, shape.categorical).filter(F.col("label").between(0, shape.classes - 1)).select(F.col("label").cast("int").alias("label"), "bins", "weights")
+    """label, bins, weights of every row with a label among the classes: one row per record, whatever the number of trees.
+
+    ``df``: row_id, label, features; or row_id, label, idx, val for sparse rows, which then keep ``idx``
+    beside the bins of their stored values and never become dense.
+    """
+    ok = df.filter(F.col("label").between(0, shape.classes - 1))
+    head = [F.col("row_id").cast("long").alias("row_id"), F.col("label").cast("int").alias("label")]
+    run = prepare(shape, trees, mean, seed)
+    if is_sparse(df):
+        return ok.select(*head, F.col("idx").cast("array<int>").alias("idx"), F.col("val").cast("array<double>").alias("val")).mapInArrow(run, ROWS_DDL + ", idx array<int>")
+    return ok.select(*head, F.col("features").cast("array<double>").alias("features")).mapInArrow(run, ROWS_DDL)
+
+
+def is_sparse(df: DataFrame) -> bool:
+    return "features" not in df.columns and {"idx", "val"} <= set(df.columns)
 
 
 def by_tree(keys: Sequence[Key]) -> dict[tuple[int, int], np.ndarray]:
@@ -228,7 +241,7 @@ def rows_at_nodes(rows: DataFrame, model: Model, shape: Shape, trees: Sequence[i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fine, weights = matrix(b.column(1), shape.features, np.int64), matrix(b.column(2), len(trees), np.int64)
+            _, fine, weights = rows_of(b, shape, len(trees))
             for forest in forests:
                 bins = coarse(fine, shape, forest)
                 for k, tree in enumerate(trees):

@@ -13,6 +13,7 @@ from typing import TYPE_CHECKING
 import numpy as np
 import pyarrow as pa
 
+from grovelight.functions.expressions import ladder, uniform_array
 from grovelight.operators.sampling import draw_many, node_key
 
 if TYPE_CHECKING:
@@ -57,24 +58,53 @@ def candidates(shape: Shape, forest: int, tree: Sequence[int] | np.ndarray | int
     return drawn, flags[drawn]
 
 
-def coarse(bins: np.ndarray, shape: Shape, forest: int) -> np.ndarray:
-    """The forest's bins of a matrix of fine ones."""
+def coarse(bins: np.ndarray | SparseBins, shape: Shape, forest: int) -> np.ndarray | SparseBins:
+    """The forest's bins of fine ones."""
     limit = shape.coarse[forest]
-    out = bins
-    for f in range(shape.features):
-        fine = shape.fine(f)
-        if fine > limit and f not in shape.categorical:
-            if out is bins:
-                out = bins.copy()
-            b = bins[:, f]
-            out[:, f] = np.where(b == 0, 0, np.minimum(limit, np.maximum(1, (b / (fine / limit)).astype(np.int64))))
-    return out
+    fine = np.array([0 if f in shape.categorical else shape.fine(f) for f in range(shape.features)])
+    if not (fine > limit).any():
+        return bins
+
+    def fold(b: np.ndarray, fine: np.ndarray) -> np.ndarray:
+        return np.where((fine <= limit) | (b == 0), b, np.minimum(limit, np.maximum(1, (b / (np.maximum(fine, 1) / limit)).astype(np.int64))))
+
+    return bins.mapped(fold, fine) if isinstance(bins, SparseBins) else fold(bins, fine[None, :])
+
+
+class SparseBins:
+    """Bins of a batch by row and feature, of which only the stored ones are kept; the others are those of the value 0."""
+
+    def __init__(self, keys: np.ndarray, bins: np.ndarray, zero: np.ndarray, rows: np.ndarray) -> None:
+        self.keys, self.bins, self.zero, self.rows = keys, bins, zero, rows  # keys: row * features + feature, in order
+
+    @classmethod
+    def of(cls, idx: pa.Array, bins: pa.Array, zero: np.ndarray) -> SparseBins:
+        lens = idx.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        keys = np.repeat(np.arange(len(idx)), lens) * len(zero) + idx.flatten().to_numpy(zero_copy_only=False)
+        order = np.argsort(keys, kind="stable")
+        return cls(keys[order], bins.flatten().to_numpy(zero_copy_only=False).astype(np.int64)[order], zero, np.arange(len(idx)))
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, at):
+        if not isinstance(at, tuple):
+            return SparseBins(self.keys, self.bins, self.zero, self.rows[at])
+        rows, features = at
+        want = self.rows[rows] * len(self.zero) + features
+        if not len(self.keys):
+            return np.broadcast_to(self.zero[features], want.shape)
+        pos = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
+        return np.where(self.keys[pos] == want, self.bins[pos], self.zero[features])
+
+    def mapped(self, fold, fine: np.ndarray) -> SparseBins:
+        return SparseBins(self.keys, fold(self.bins, fine[self.keys % len(self.zero)]), fold(self.zero, fine), self.rows)
 
 
 def histogram(slot: np.ndarray, drawn: np.ndarray, bins: np.ndarray, label: np.ndarray, w: np.ndarray, s: Space) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
     """Weights by (slot, candidate, bin, class): an array of the whole, or the cells met and their sums where the whole is large."""
     k = np.arange(s.k)
-    at = (((slot[:, None] * s.k + k) * s.bins + np.take_along_axis(bins, drawn[slot], 1)) * s.classes + label[:, None]).ravel()
+    at = (((slot[:, None] * s.k + k) * s.bins + bins[np.arange(len(slot))[:, None], drawn[slot]]) * s.classes + label[:, None]).ravel()
     each = np.repeat(w, s.k)
     if len(drawn) * s.cells <= DENSE:
         return np.bincount(at, each, len(drawn) * s.cells).astype(np.int64)
@@ -195,9 +225,83 @@ def matrix(col: pa.Array, n: int, kind: type) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, n) if len(col) else np.zeros((0, n), kind)
 
 
-def rows_of(b: pa.RecordBatch, shape: Shape, trees: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """label, bins, weights of a batch."""
-    return b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), matrix(b.column(1), shape.features, np.int64), matrix(b.column(2), trees, np.int64)
+def rows_of(b: pa.RecordBatch, shape: Shape, trees: int) -> tuple[np.ndarray, np.ndarray | SparseBins, np.ndarray]:
+    """label, bins, weights of a batch; a fourth column has the indices of sparse rows."""
+    label, weights = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), matrix(b.column(2), trees, np.int64)
+    if b.num_columns == 4:
+        return label, SparseBins.of(b.column(3), b.column(1), zero_bins(shape)), weights
+    return label, matrix(b.column(1), shape.features, np.int64), weights
+
+
+# ---- values to bins, bags
+
+
+def bin_of(values: np.ndarray, thresholds: np.ndarray | list[float], categorical: bool) -> np.ndarray:
+    """0 for a missing value; a category + 1; else 1 + the number of thresholds below the value."""
+    gone = np.isnan(values)
+    out = np.where(gone, 0, values).astype(np.int64) + 1 if categorical else np.searchsorted(np.asarray(thresholds, np.float64), values, side="left") + 1
+    return np.where(gone, 0, out)
+
+
+def zero_bins(shape: Shape) -> np.ndarray:
+    return np.array([int(bin_of(np.zeros(1), shape.thresholds[f], f in shape.categorical)[0]) for f in range(shape.features)], np.int64)
+
+
+def bag_weights(ids: np.ndarray, trees: Sequence[int], mean: float | None, seed: int) -> np.ndarray:
+    """Poisson weights of rows in trees, the same as sampling.bagging gives; 1 without a mean."""
+    if mean is None:
+        return np.ones((len(ids), len(trees)), np.int8)
+    return np.searchsorted(np.array(ladder(mean)), uniform_array(ids[:, None], np.array(trees, np.int64)[None, :], seed), side="right").astype(np.int8)
+
+
+def _list(flat: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat, kind))
+
+
+def prepare(shape: Shape, trees: Sequence[int], mean: float | None, seed: int):
+    """Batches of row_id, label, features (or row_id, label, idx, val) to label, bins, weights (and idx)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_rows
+            weights = bag_weights(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), trees, mean, seed)
+            bags = _list(weights.ravel(), np.arange(n + 1) * len(trees), pa.int8())
+            if b.num_columns == 3:
+                x = dense(b.column(2), shape.features)
+                bins = np.empty(x.shape, np.int16)
+                for f in range(shape.features):
+                    bins[:, f] = bin_of(x[:, f], shape.thresholds[f], f in shape.categorical)
+                yield pa.RecordBatch.from_arrays([b.column(1), _list(bins.ravel(), np.arange(n + 1) * shape.features, pa.int16()), bags], ["label", "bins", "weights"])
+                continue
+            lens = b.column(2).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            idx = b.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            val = b.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            inside = (idx >= 0) & (idx < shape.features)
+            lens = np.bincount(np.repeat(np.arange(n), lens)[inside], minlength=n)
+            idx, val = idx[inside], val[inside]
+            bins, order = np.empty(len(idx), np.int16), np.argsort(idx, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(idx[order])) + 1):
+                if len(part):
+                    f = int(idx[part[0]])
+                    bins[part] = bin_of(val[part], shape.thresholds[f], f in shape.categorical)
+            ends = np.r_[0, np.cumsum(lens)]
+            yield pa.RecordBatch.from_arrays([b.column(1), _list(bins, ends, pa.int16()), bags, _list(idx.astype(np.int32), ends, pa.int32())], ["label", "bins", "weights", "idx"])
+
+    return run
+
+
+def dense(col: pa.Array, n: int) -> np.ndarray:
+    """Matrix of a list column: NULL lists, elements and the ends of short lists are NaN; longer lists are cut."""
+    lens = col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if (lens == n).all():
+        return flat.reshape(-1, n)
+    out = np.full((len(col), n), np.nan)
+    row = np.repeat(np.arange(len(col)), lens)
+    at = np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)
+    keep = at < n
+    out[row[keep], at[keep]] = flat[keep]
+    return out
 
 
 def partial(shape: Shape, trees: Sequence[int], packed: dict[tuple[int, int], Tree], frontier: dict[tuple[int, int], np.ndarray]):

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grovelight.functions.expressions import level_py
-from grovelight.operators.growth import Model
+from grovelight.operators.growth import Model, is_sparse
+from grovelight.operators.level import dense
 
 
 def tree_expression(model: Model, forest: int, tree: int, features: str = "features", max_depth: int = 1 << 30) -> Column:
@@ -89,26 +90,43 @@ def predict(df: DataFrame, model: Model, classes: int, forest: int = 0, max_tree
     """``df`` with ``tree_labels``, ``votes``, ``predicted``: whole batches walked through every tree, any depth, no shuffle.
 
     ``max_trees`` takes the first trees only, ``max_depth`` stops at that level, ``rotation`` turns the
-    points first. Rows whose array is NULL or shorter than the model count as missing there.
+    points first. Rows whose array is NULL or shorter than the model count as missing there. Sparse rows
+    (idx, val) are looked up at the features that the trees test; what is not stored is 0.
     """
     trees = model.trees(forest)[:max_trees]
-    shared = df.sparkSession.sparkContext.broadcast((packed_trees(model, forest, trees), rotation))  # arrays of the model's size
-    n = 1 + max((v.get("feature") or 0 for v in model.nodes.values()), default=0)
-    n = n if rotation is None else len(rotation)
+    packed = packed_trees(model, forest, trees)
+    used = np.unique(np.concatenate([t[1][t[0] > 0] for t in packed] or [np.zeros(0, np.int64)])).astype(np.int64)  # features that any test looks at
+    n = int(used.max(initial=0)) + 1 if rotation is None else len(rotation)
+    shared = df.sparkSession.sparkContext.broadcast((packed, rotation, used))  # arrays of the model's size
 
     @F.arrow_udf("array<int>")
     def walk(col: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        packed, turn = shared.value
+        packed, turn, _ = shared.value
         for c in col:
-            x = np.full((len(c), n), np.nan)
-            for i, row in enumerate(c.to_pylist()):
-                if row is not None:
-                    k = min(n, len(row))
-                    x[i, :k] = [np.nan if v is None else v for v in row[:k]]
+            x = dense(c, n)
             if turn is not None:
                 x = np.nan_to_num(x) @ turn.T
-            yield pa.array(list(walk_trees(packed, x, max_depth)), pa.list_(pa.int32()))
+            yield labels_of(packed, x)
 
+    @F.arrow_udf("array<int>")
+    def walk_sparse(cols: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        packed, _, used = shared.value
+        place = [(kind, np.searchsorted(used, feature), *rest) for kind, feature, *rest in packed]
+        for idx, val in cols:
+            lens = idx.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            row, f = np.repeat(np.arange(len(idx)), lens), idx.flatten().to_numpy(zero_copy_only=False)
+            at = np.minimum(np.searchsorted(used, f), max(0, len(used) - 1))
+            hit = used[at] == f if len(used) else np.zeros(len(f), bool)
+            x = np.zeros((len(idx), max(1, len(used))))
+            x[row[hit], at[hit]] = val.flatten().to_numpy(zero_copy_only=False).astype(np.float64)[hit]
+            yield labels_of(place, x)
+
+    def labels_of(trees_: list, x: np.ndarray) -> pa.Array:
+        out = walk_trees(trees_, x, max_depth)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(trees_)), pa.array(out.ravel()))
+
+    if is_sparse(df):
+        return voted(df.withColumn("tree_labels", walk_sparse(F.col("idx").cast("array<int>"), F.col("val").cast("array<double>"))), classes)
     return voted(df.withColumn("tree_labels", walk(F.col(features).cast("array<double>"))), classes)
 
 

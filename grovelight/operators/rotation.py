@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grovelight.operators.level import dense
+
 
 def minmax(long: DataFrame) -> DataFrame:
     """feature, lo, hi over present values."""
@@ -51,8 +53,8 @@ def rotated(df: DataFrame, matrix: np.ndarray, features: str = "features") -> Da
 
     @F.arrow_udf("array<double>")
     def product(c: pa.Array) -> pa.Array:
-        x = np.array([[0.0 if v is None or v != v else v for v in ((row or []) + [0.0] * n)[:n]] for row in c.to_pylist()]).reshape(-1, n)
-        return pa.array(list(x @ turn.T), pa.list_(pa.float64()))
+        y = np.nan_to_num(dense(c, n)) @ turn.T
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1, dtype=np.int32) * n), pa.array(y.ravel()))
 
     return df.withColumn(features, product(F.col(features).cast("array<double>")))
 

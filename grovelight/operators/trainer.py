@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from grovelight.operators import prediction as pr
 from grovelight.operators import sampling as sa
+from grovelight.operators.growth import is_sparse
 from grovelight.operators.training import Trained, select_model, train
 from grovelight.params import ForestParams, from_file
 from grovelight.sources import formats
@@ -41,14 +42,16 @@ class Trainer:
         return cls(spark, from_file(path))
 
     def load(self) -> DataFrame:
-        """row_id, label, features of the data set; row_id is a hash of the record and its number among equal ones' files."""
+        """row_id, label, features (idx, val where sparse working data are wanted) of the data set; row_id is a hash of the record where the file has none."""
         p = self.params
         arity, remap = p.category_specs()
-        d = formats.read(self.spark, p.dataset, p.file_type, p.num_features, remap, arity)
+        kind = "SPARSE" if p.sparse and p.file_type.upper() in ("LIBSVM", "SVM") else p.file_type
+        d = formats.read(self.spark, p.dataset, kind, p.num_features, remap, arity)
+        cols = ["idx", "val"] if is_sparse(d) else ["features"]
         if "row_id" in d.columns:
-            return d.select("row_id", "label", "features")
+            return d.select("row_id", "label", *cols)
         # equal records may share a number: they then fall into the same part and bags, which is harmless
-        return d.select(F.xxhash64("label", "features").alias("row_id"), "label", "features")
+        return d.select(F.xxhash64("label", *cols).alias("row_id"), "label", *cols)
 
     def run(self) -> Report:
         p, took = self.params, {}

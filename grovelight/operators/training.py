@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -14,15 +14,21 @@ from grovelight.operators import discretize as dz
 from grovelight.operators import prediction as pr
 from grovelight.operators import rotation as ro
 from grovelight.operators import sampling as sa
-from grovelight.operators.growth import Key, Model, Shape, grow, prepared, reopened
+from grovelight.operators.growth import Key, Model, Shape, grow, is_sparse, prepared, reopened
 from grovelight.operators.local_growth import finish_locally
 from grovelight.params import ForestParams, features_per_node, strategy_thresholds
+from grovelight.sources.tables import cut
 
 
 def fit_thresholds(df: DataFrame, bins: int, n: int, strategy: str = "distribution", seed: int = 0, sample: bool = True, sample_rows: int = 10_000) -> dict[int, list[float]]:
     """Thresholds of features 0..n-1 (at most bins - 1 each), from a sample by hash of about max(bins**2, sample_rows) rows, or from all rows."""
-    long = dz.to_long(sa.threshold_sample(df, bins, seed, sample_rows) if sample else df)
-    t = strategy_thresholds(strategy)(long, bins, seed)
+    some = sa.threshold_sample(df, bins, seed, sample_rows) if sample else df
+    if is_sparse(df):
+        if strategy.lower() != "distribution":
+            raise ValueError("sparse rows take their thresholds from the distribution")
+        t = dz.thresholds_by_distribution(cut(dz.sparse_value_counts(some)), bins)
+    else:
+        t = strategy_thresholds(strategy)(dz.to_long(some), bins, seed)
     got = {r.feature: list(r.thresholds) for r in t.collect()}  # one row per feature
     return {f: got.get(f, []) for f in range(n)}
 
@@ -95,18 +101,23 @@ def grow_to(rows: DataFrame, n: int, p: ForestParams, shape: Shape, trees: Seque
 
 
 def usable(df: DataFrame) -> DataFrame:
-    """row_id, label (from 0), features of the rows with a label."""
+    """row_id, label (from 0), features (or idx, val) of the rows with a label."""
     label = F.greatest(F.col("label"), F.lit(0)).cast("int")
-    return df.filter(F.col("label").isNotNull() & ~F.isnan(F.col("label").cast("double"))).select("row_id", label.alias("label"), F.col("features").cast("array<double>").alias("features"))
+    what = ["idx", "val"] if is_sparse(df) else [F.col("features").cast("array<double>").alias("features")]
+    return df.filter(F.col("label").isNotNull() & ~F.isnan(F.col("label").cast("double"))).select("row_id", label.alias("label"), *what)
 
 
 def train(df: DataFrame, params: ForestParams) -> Trained:
-    """A forest on ``df`` (row_id, label 0.., features). Rows with a NULL label are left out; an empty table raises.
+    """A forest on ``df`` (row_id, label 0.., features; or sparse idx, val). Rows with a NULL label are left out; an empty table raises.
 
     With ``model_selection`` the grid is scored on a fifth of the rows and the best model returned.
     """
     p = params.collapsed()
     df = usable(df).persist(StorageLevel.MEMORY_AND_DISK)
+    if is_sparse(df):
+        if p.rotation:
+            raise ValueError("sparse rows cannot be rotated")
+        p = replace(p, local_active=False)  # rows are not packed densely for one task
     try:
         if df.isEmpty():
             raise ValueError("no labelled rows to train on")

@@ -15,7 +15,7 @@ FILE_KEYS = {
     "featureMultiplierPerNode": "multipliers", "strategyFeature": "feature_strategy", "strategySplit": "split_strategy", "poissonMean": "poisson_mean",
     "rotation": "rotation", "numRotation": "num_rotations", "rotationRandomSeed": "rotation_seed", "modelSelection": "model_selection",
     "modelSelectionEpsilon": "epsilon", "modelSelectionEpsilonRemove": "epsilon_remove", "testAll": "test_all", "fcsActive": "local_active",
-    "fcsDepth": "local_depth", "fcsActiveForce": "local_force", "outputTree": "output_tree", "logStats": "log_stats", "dataset": "dataset", "fileType": "file_type", "category": "category", "output": "output",
+    "fcsDepth": "local_depth", "fcsActiveForce": "local_force", "outputTree": "output_tree", "logStats": "log_stats", "dataset": "dataset", "fileType": "file_type", "category": "category", "output": "output", "permitSparseWorkingData": "sparse",
 }
 
 
@@ -48,6 +48,7 @@ class ForestParams:
     log_stats: bool = True
     dataset: str = ""
     file_type: str = "LIBSVM"
+    sparse: bool = False  # LIBSVM data keep only their stored entries
     category: str = ""  # two specs parted by a semicolon or "|": arity of categorical features, remap of their raw values
     output: str = ""  # shared folder for statistics, tree dump and model
     categorical: dict[int, int] = field(default_factory=dict)

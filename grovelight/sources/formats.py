@@ -63,6 +63,11 @@ def read_libsvm(spark: SparkSession, path: str, n: int, remap: dict[int, int] |
     return d.select("label", to_dense(F.arrays_zip(F.col("idx").alias("i"), F.col("val").alias("v")), n, 0.0).alias("features"))
 
 
+def read_libsvm_sparse(spark: SparkSession, path: str, n: int, remap: dict[int, int] | None = None, categorical: Container[int] | None = None) -> DataFrame:
+    """label, idx, val: the stored entries only, for wide data."""
+    return parse_libsvm(record_lines(spark.read.text(path)), remap, categorical=categorical).select("label", "idx", "val")
+
+
 def _dense(d: DataFrame, remap: dict[int, int] | None, categorical: Container[int] | None, *keep: str) -> DataFrame:
     return d.select(*keep, clean_label(F.col("label").cast("double")).alias("label"), F.transform(F.col("features").cast("array<double>"), lambda v, i: remapped(v, i, remap, categorical)).alias("features"))
 
@@ -85,7 +90,7 @@ def read_csv(spark: SparkSession, path: str, n: int, remap: dict[int, int] | Non
     return _dense(d.select(F.col(names[-1]).alias("label"), F.array(*names[:-1]).alias("features")), remap, categorical)
 
 
-READERS: dict[str, Callable] = {"LIBSVM": read_libsvm, "SVM": read_libsvm, "ARFF": read_arff, "PARQUET": read_parquet, "CSV": read_csv}
+READERS: dict[str, Callable] = {"LIBSVM": read_libsvm, "SVM": read_libsvm, "SPARSE": read_libsvm_sparse, "ARFF": read_arff, "PARQUET": read_parquet, "CSV": read_csv}
 
 
 def register_reader(file_type: str, reader: Callable) -> None:

@@ -301,3 +301,40 @@ def test_stock_forests_take_categories(spark):
     m = stock.train_regressor(df, trees=3, depth=1, strategy="all", num_features=2, categorical={1: 5})
     assert stock.predict(m, df).filter("abs(label - prediction) > 0.01").count() == 0
     assert stock.from_ml(stock.to_ml(df)).select("features").collect() == df.select("features").collect()
+
+
+def test_sparse_rows_give_the_trees_of_dense_ones(spark, tmp_path):
+    r = random.Random(6)
+    rows = []
+    for i in range(500):
+        x = [0.0] * 40
+        for f in r.sample(range(40), 6):
+            x[f] = float(r.randrange(1, 9))
+        x[7] = float(r.choice([0, 0, 1, 2, 3]))
+        rows.append((i, int(x[3] > 0) + int(x[7] == 2), x))
+    dense = spark.createDataFrame(rows, "row_id long, label int, features array<double>")
+    stored = F.filter(F.transform("features", lambda v, i: F.struct(i.alias("i"), v.alias("v"))), lambda s: s["v"] != 0)
+    sparse = dense.select("row_id", "label", F.transform(stored, lambda s: s["i"]).alias("idx"), F.transform(stored, lambda s: s["v"]).alias("val"))
+    p = pa.ForestParams(num_features=40, num_classes=3, num_trees=4, depths=5, bin_numbers=8, feature_strategy="onethird", categorical={7: 4}, local_active=False)
+    a, b = training.train(dense, p), training.train(sparse, p)
+    keep = ("kind", "feature", "bin", "threshold", "label", "n")
+    assert {k: [v.get(x) for x in keep] for k, v in a.model.nodes.items()} == {k: [v.get(x) for x in keep] for k, v in b.model.nodes.items()}
+    one = a.predict(dense).select("row_id", "votes").orderBy("row_id").collect()
+    assert one == b.predict(sparse).select("row_id", "votes").orderBy("row_id").collect()
+    grid = Shape(3, {f: [1.0, 2.0, 3.0, 4.0] for f in range(40)} | {7: []}, {7: 4}, {0: 13, 1: 13}, {0: 5, 1: 2})
+    rows_ = [prepared(d, grid, range(2)).cache() for d in (dense, sparse)]
+    m = [grow(x, grid, range(2), [(f, t, 0) for f in (0, 1) for t in range(2)], 3)[0] for x in rows_]
+    assert m[0].nodes == m[1].nodes
+    formats.write_libsvm(dense, str(tmp_path / "d"))
+    q = pa.ForestParams(num_features=40, num_classes=3, num_trees=6, depths=6, feature_strategy="onethird", sparse=True, dataset=str(tmp_path / "d"), file_type="SVM")
+    t = Trainer(spark, q)
+    assert t.load().columns == ["row_id", "label", "idx", "val"] and t.run().accuracy > 0.6
+    empty = spark.createDataFrame([(1, 0, [], []), (2, 0, None, None)], "row_id long, label int, idx array<int>, val array<double>")
+    assert b.predict(empty).filter("predicted is null").count() == 0
+
+
+def test_bags_of_arrays_equal_those_of_columns(spark):
+    ids = [0, 1, 2**61, -5, 99999]
+    df = spark.createDataFrame([(i,) for i in ids], "row_id long")
+    got = [r.weights for r in sa.bagging(df, [0, 3, 7], 0.7, 4).collect()]
+    assert lv.bag_weights(np.array(ids), [0, 3, 7], 0.7, 4).tolist() == [list(w) for w in got]

@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 # ---- fixed values: multipliers and moduli of the repeatable uniform numbers
@@ -138,3 +138,31 @@ def squared_distance(a: Column, b: Column) -> Column:
 def log1p_exp(x: Column) -> Column:
     """ln(1 + e^x) without overflow."""
     return F.when(x > 0, x + F.log1p(F.exp(-x))).otherwise(F.log1p(F.exp(x)))
+
+
+def round_half_up(x: Column, digits: int = 0) -> Column:
+    return F.round(x, digits)
+
+
+def running(what: str, x: Column, group: Sequence[str], order: Sequence[str]) -> Column:
+    """Running 'mean', 'min' or 'max' of x inside groups that are ordered as a whole; for groups that fit a task."""
+    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return {"mean": F.avg, "min": F.min, "max": F.max}[what](x).over(w)
+
+
+class Bijection:
+    """A one-to-one map of constants, as columns in both directions."""
+
+    def __init__(self, pairs: dict) -> None:
+        if len(set(pairs.values())) != len(pairs):
+            raise ValueError("two keys have one value")
+        self.pairs = dict(pairs)
+
+    def _map(self, items: list[tuple]) -> Column:
+        return F.create_map(*[F.lit(x) for kv in items for x in kv])
+
+    def value(self, key: Column) -> Column:
+        return F.try_element_at(self._map(list(self.pairs.items())), key)
+
+    def key(self, value: Column) -> Column:
+        return F.try_element_at(self._map([(v, k) for k, v in self.pairs.items()]), value)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from grovelight.functions.expressions import level_py
 from grovelight.operators.growth import Model, is_sparse
 from grovelight.operators.level import dense
+from grovelight.operators.rotation import turned
 
 
 def tree_expression(model: Model, forest: int, tree: int, features: str = "features", max_depth: int = 1 << 30) -> Column:
@@ -105,7 +106,7 @@ def predict(df: DataFrame, model: Model, classes: int, forest: int = 0, max_tree
         for c in col:
             x = dense(c, n)
             if turn is not None:
-                x = np.nan_to_num(x) @ turn.T
+                x = turned(x, turn)
             yield labels_of(packed, x)
 
     @F.arrow_udf("array<int>")

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from grovelight.operators.level import dense
 
 
+DIGITS = 9
+
+
 def minmax(long: DataFrame) -> DataFrame:
     """feature, lo, hi over present values."""
     return long.filter("value is not null and not isnan(value)").groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
@@ -42,18 +45,26 @@ def orthogonal(m: np.ndarray) -> np.ndarray:
     return q * np.where(np.diag(r) < 0, -1.0, 1.0)
 
 
+def turned(x: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """Rows of x turned by the matrix, missing values as 0."""
+    return np.round(np.nan_to_num(x) @ matrix.T, DIGITS)
+
+
 def rotated(df: DataFrame, matrix: np.ndarray, features: str = "features") -> DataFrame:
-    """``features`` turned by the matrix, missing values as 0: y_i = sum_j m_ij x_j in column expressions up to 16 features, by Arrow batches beyond."""
+    """``features`` turned by the matrix, missing values as 0: y_i = sum_j m_ij x_j in column expressions up to 4 features, by Arrow batches beyond.
+
+    Rounded to DIGITS decimals, so that sums in another order give the same points.
+    """
     n = len(matrix)
-    if n <= 16:
+    if n <= 4:
         x = [F.coalesce(F.get(F.col(features), F.lit(j)), F.lit(0.0)) for j in range(n)]
         out = [sum((float(row[j]) * x[j] for j in range(1, n)), float(row[0]) * x[0]) for row in matrix]
-        return df.withColumn(features, F.array(*out))
+        return df.withColumn(features, F.array(*[F.round(y, DIGITS) for y in out]))
     turn = np.asarray(matrix)
 
     @F.arrow_udf("array<double>")
     def product(c: pa.Array) -> pa.Array:
-        y = np.nan_to_num(dense(c, n)) @ turn.T
+        y = turned(dense(c, n), turn)
         return pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1, dtype=np.int32) * n), pa.array(y.ravel()))
 
     return df.withColumn(features, product(F.col(features).cast("array<double>")))

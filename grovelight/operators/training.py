@@ -45,17 +45,16 @@ class Trained:
     rotations: dict[int, np.ndarray] = field(default_factory=dict)
     spans: dict[int, tuple[float, float]] = field(default_factory=dict)
     parts: dict[int, Model] = field(default_factory=dict)
+    dealt_over: int = 1  # rotations over which ``max_trees`` are dealt
 
     def predict(self, df: DataFrame) -> DataFrame:
         """``df`` with votes and predicted label. A rotation ensemble adds up the votes of its parts in the same row."""
         if not self.rotations:
             return pr.predict(df, self.model, self.classes, self.forest, self.max_trees, self.max_depth)
         d = ro.scale_arrays(df.withColumn("__raw", F.col("features")), self.spans)
-        left, cols = self.max_trees or 1 << 30, []
+        dealt, cols = ro.trees_per_rotation(self.max_trees or 1 << 30, self.dealt_over), []
         for r, m in self.parts.items():
-            k = min(left, len(m.trees(self.forest)))
-            left -= k
-            if k:
+            if k := min(dealt[r], len(m.trees(self.forest))):
                 d = pr.predict(d, m, self.classes, self.forest, k, self.max_depth, rotation=self.rotations[r]).withColumn(f"__t{r}", F.col("tree_labels"))
                 cols.append(f"__t{r}")
         d = pr.voted(d.withColumn("tree_labels", F.concat(*cols)), self.classes)
@@ -186,7 +185,7 @@ class _Part:
 def assembled(parts: Sequence[_Part], p: ForestParams, spans: dict, forest: int, depth: int = 1 << 30, trees: int | None = None) -> Trained:
     if parts[0].matrix is None:
         return Trained(parts[0].model, p.num_classes, forest, depth, trees)
-    return Trained(Model(), p.num_classes, forest, depth, trees, {x.rotation: x.matrix for x in parts}, spans, {x.rotation: x.model for x in parts})
+    return Trained(Model(), p.num_classes, forest, depth, trees, {x.rotation: x.matrix for x in parts}, spans, {x.rotation: x.model for x in parts}, p.num_rotations)
 
 
 @dataclass

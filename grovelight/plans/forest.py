@@ -304,12 +304,6 @@ def _trained_votes(t, df, classes=q.CLASSES):
     return t.predict(df).select("row_id", "label", *[F.get("votes", F.lit(c)).alias(f"v{c}") for c in range(classes)], "predicted")
 
 
-def rotation_forest_votes(spark, d):
-    s = sa.split(frame(spark, d))
-    p = ForestParams(num_features=N, num_classes=3, num_trees=4, depths=3, rotation=True, num_rotations=2)
-    return _trained_votes(training.train(s.filter("split = 'train'").drop("split"), p), s.filter("split = 'test'"))
-
-
 def _libsvm_lines(spark, d):
     f = frame(spark, d)
     return f.select("row_id", F.trim(formats.format_libsvm(F.col("label") - 1, F.transform("features", lambda v: F.floor(v)))).alias("value"))
@@ -337,8 +331,9 @@ def feature_count(spark, d):
 
 def embedding_forest(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), "label", F.col("embedding").cast("array<double>").alias("features"))
-    t = training.train(e, ForestParams(num_features=64, num_classes=10, num_trees=5, depths=6))
-    return _trained_votes(t, e, 10)
+    s = sa.split(e)
+    t = training.train(s.filter("split = 'train'").drop("split"), ForestParams(num_features=64, num_classes=10, num_trees=5, depths=6))
+    return _trained_votes(t, s.filter("split = 'test'"), 10)
 
 
 def stock_classifier(spark, d):
@@ -355,7 +350,7 @@ _FUNCS = (
     feature_frame, features_long, split_counts, kfold_counts, minmax_per_feature, scaled_features, distinct_value_counts, thresholds_distribution, thresholds_random,
     bin_values, bin_histogram, cut_values, bin_shrink, bin_deshrink, bagging_weights, feature_subset, feature_strategies, heap_nodes, vectors, node_entropy,
     best_split_continuous, best_split_missing, best_split_categorical, split_candidates, majority_label, route_rows, grow_depth2, grow_depth3, subtree_local,
-    predict_votes, predict_batches, predict_limited, accuracy, confusion, vote_details, ensemble_aggregate, rotate_features, rotation_forest_votes,
+    predict_votes, predict_batches, predict_limited, accuracy, confusion, vote_details, ensemble_aggregate, rotate_features,
     libsvm_format, libsvm_parse, arff_parse, feature_count, embedding_forest, stock_classifier, stock_regressor,
 )
 QUERIES = {f.__name__: f for f in _FUNCS} | {"node_histogram": node_histogram_query}

@@ -89,7 +89,7 @@ def level_of(n: str) -> str:
     return f"cast(floor(log2({n} + 1)) as int)"
 
 
-def grown(depth: int, n_features: int, k: int, trees: int = TREES, forest: int = 0) -> str:
+def grown(depth: int, n_features: int, k: int, trees: int = TREES, forest: int = 0, first: int = 0) -> str:
     """Levels of growth, unrolled: nodes(tree, node, label, n, ok) and splits(tree, node, kind, feature, bin).
 
     A node with missing values tests for them first; the real cut is that of its right child, one level below.
@@ -98,7 +98,7 @@ def grown(depth: int, n_features: int, k: int, trees: int = TREES, forest: int =
     sums = ", ".join(f"cast(sum(case when b.label = {c} then a.w else 0 end) as bigint) as c{c}" for c in range(CLASSES))
     left = "case when s.categorical then b.bin = s.bin else b.bin <= s.bin end"
     for d in range(depth):
-        draw = "feature" if k >= n_features else f"{uniform_sql(f'cast(tree + {1009 * forest} as bigint) * 2147483648 + node', 'feature')}, feature"
+        draw = "feature" if k >= n_features else f"{uniform_sql(f'cast(tree + {1009 * forest + first} as bigint) * 2147483648 + node', 'feature')}, feature"
         out += [
             f"fr{d} as (select * from (select tree, node, feature, row_number() over (partition by tree, node order by {draw}) - 1 as pos from open{d}, (select unnest(range({n_features})) as feature)) where pos < {k})",
             f"h{d} as (select a.tree, a.node, b.feature, f.pos, b.categorical, b.bin, {sums} from as{d} a join b on b.row_id = a.row_id join fr{d} f on f.tree = a.tree and f.node = a.node and f.feature = b.feature group by a.tree, a.node, b.feature, f.pos, b.categorical, b.bin)",
@@ -159,3 +159,23 @@ t as (select feature, threshold, row_number() over (partition by feature order b
 d as (select n.tree, n.node, n.label, {level_of('n.node')} as lv, {what} as what from nodes n left join splits s on s.tree = n.tree and s.node = n.node left join t on t.feature = s.feature and t.pos = s.bin),
 e as (select tree, coalesce({path.format(lv="lv")}, '') as path, repeat('  ', lv) || node || ' ' || what || ' label ' || label as line from d union all select distinct tree, '!', 'forest 0 tree ' || tree from d),
 f as (select row_number() over (order by tree, path <> '!', path) - 1 as line_no, line from e)"""
+
+
+def turned(matrix: list[list[float]], fit: str) -> str:
+    """frame of the scaled and turned features; spans come from the rows where ``fit``."""
+    n = len(matrix)
+    span = ", ".join(f"min(f{j}) as lo{j}, max(f{j}) as hi{j}" for j in range(n))
+    unit = ", ".join(f"case when f{j} is null or hi{j} = lo{j} then 0.0 else least(1.0, greatest(0.0, (f{j} - lo{j}) / (hi{j} - lo{j}))) end as s{j}" for j in range(n))
+    out = ", ".join("round(" + " + ".join(f"cast('{m!r}' as double) * s{j}" for j, m in enumerate(row)) + f", 9) as f{i}" for i, row in enumerate(matrix))
+    return ", ".join([FRAME.replace("frame as (", "frame0 as ("), f"spans as (select {span} from frame0 where {fit})", f"units as (select row_id, label, {unit} from frame0, spans)", f"frame as (select row_id, label, {out} from units)"])
+
+
+def ends(depths: tuple[int, ...], counts: tuple[int, ...], first: int = 0) -> str:
+    """votes(row_id, label, depth, trees, v0..) of the first ``trees`` trees cut at each depth, from p0, p1, ..."""
+    votes = ", ".join(f"sum(case when n.label = {c} then 1 else 0 end) as v{c}" for c in range(CLASSES))
+    rows = " union all ".join(f"select row_id, label, tree, node, {x} as depth from p{x}" for x in depths)
+    return f"ends as ({rows}), votes as (select e.row_id, e.label, depth, trees, {votes} from ends e join nodes n on n.tree = e.tree and n.node = e.node, (select unnest([{', '.join(map(str, counts))}]) as trees) where e.tree < trees group by e.row_id, e.label, depth, trees)"
+
+
+def winner() -> str:
+    return "case " + " ".join(f"when v{c} = greatest(" + ", ".join(f"v{k}" for k in range(CLASSES)) + f") then {c}" for c in range(CLASSES)) + " end"

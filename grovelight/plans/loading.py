@@ -14,7 +14,7 @@ from grovelight.functions import expressions as ex
 from grovelight.operators import rotation as ro
 from grovelight.operators import sampling as sa
 from grovelight.operators import stock
-from grovelight.params import from_file
+from grovelight.params import ForestParams, doubling, from_file, stepping
 from grovelight.plans import forest_sql as q
 from grovelight.plans.forest import N, frame
 from grovelight.sources import formats
@@ -176,9 +176,32 @@ def rotation_orthogonal(spark, d):
     return spark.createDataFrame([(i, j, float(g[i, j])) for i in range(12) for j in range(12)], "i int, j int, product double")
 
 
+def running_statistics(spark, d):
+    """Running mean and minimum of a customer's orders, and rounding."""
+    o = table(spark, d, "orders")
+    by = (["o_custkey"], ["o_orderkey"])
+    x = F.floor("o_totalprice")
+    return o.select("o_orderkey", F.round(ex.running("mean", x, *by), 6).alias("mean"), ex.running("min", x, *by).alias("least"), ex.round_half_up(x / 7, 2).alias("rounded"))
+
+
+def category_numbers(spark, d):
+    """Names to numbers and back."""
+    m = ex.Bijection({s: i for i, s in enumerate(q.SEGMENTS)})
+    c = table(spark, d, "customer").select("c_custkey", m.value(F.col("c_mktsegment")).alias("number"))
+    return c.withColumn("name", m.key(F.col("number")))
+
+
+def parameter_grids(spark, d):
+    """Doubling and stepping lists, and the sorted lists of a grid with its forests."""
+    p = ForestParams(bin_numbers=(32, 8, 16), multipliers=(2.0, 1.0), model_selection=True)
+    rows = [("doubling", i, float(x)) for i, x in enumerate(doubling(3, 50))] + [("stepping", i, float(x)) for i, x in enumerate(stepping(5, 30, 7))]
+    rows += [("bins", i, float(b)) for i, b, _ in p.grid()] + [("multiplier", i, m) for i, _, m in p.grid()]
+    return spark.createDataFrame(rows, "list string, pos int, value double")
+
+
 _FUNCS = (
     libsvm_scan, libsvm_remap, arff_scan, csv_scan, parquet_scan, libsvm_sink, line_filter, vector_scan, labeled_point_scan, config_file, stats_file,
-    threshold_sample, no_bagging, rebagging, ml_vectors, rotate_wide, rotation_orthogonal,
+    threshold_sample, no_bagging, rebagging, ml_vectors, rotate_wide, rotation_orthogonal, running_statistics, category_numbers, parameter_grids,
 )
 QUERIES = {f.__name__: f for f in _FUNCS}
 
@@ -226,6 +249,11 @@ SQL = {
     "ml_vectors": _W + ", " + q.long(q.ALL) + " select row_id, feature, coalesce(v, 0.0) as value from long",
     "rotate_wide": f"select vec_id, {_TURNED} from embeddings",
     "rotation_orthogonal": "select cast(i as int) as i, cast(j as int) as j, case when i = j then 1.0 else 0.0 end::double as product from (select unnest(range(12)) as i), (select unnest(range(12)) as j)",
+    "running_statistics": "select o_orderkey, round(avg(x) over w, 6) as mean, min(x) over w as least, round(x / 7, 2) as rounded from (select *, cast(floor(o_totalprice) as bigint) as x from orders) window w as (partition by o_custkey order by o_orderkey rows unbounded preceding)",
+    "category_numbers": "select c_custkey, cast(case c_mktsegment " + " ".join(f"when '{s}' then {i}" for i, s in enumerate(q.SEGMENTS)) + " end as int) as number, c_mktsegment as name from customer",
+    "parameter_grids": """with recursive n as (select 0 as pos, 3 as v union all select pos + 1, v * 2 from n where v * 2 <= 50)
+        select 'doubling' as list, cast(pos as int) as pos, cast(v as double) as value from n union all select 'stepping', cast(i as int), cast(5 + 7 * i as double) from (select unnest(range(4)) as i)
+        union all select 'bins', cast(i as int), cast(8 * (1 << (i // 2)) as double) from (select unnest(range(6)) as i) union all select 'multiplier', cast(i as int), cast(1 + i % 2 as double) from (select unnest(range(6)) as i)""",
     "vectors": f"""with e as (select vec_id, {_ARR} as v from embeddings), n as (select *, len(list_filter(v, lambda x: x <> 0)) as k from e)
         select vec_id, cast(64 as int) as active, cast(k as int) as nonzero, (k + 1) * 1.5 < 64 as sparse, case when v[4] <> 0 then v[4] else -100.0 end as at3,
                round(list_sum(list_transform(range(1, 65), lambda i: (v[i] - (case when i < 64 then v[i + 1] else 1.0 end)) * (v[i] - (case when i < 64 then v[i + 1] else 1.0 end)))), 6) as distance,

@@ -139,9 +139,23 @@ def train_from_file(spark, d):
 
 
 GRID = ForestParams(num_features=N, num_classes=q.CLASSES, num_trees=(2, 4), depths=(1, 3), bin_numbers=(8, 16), multipliers=(1.0, 2.0), model_selection=True, epsilon=0.0, epsilon_remove=1.0, categorical=CATEGORIES, test_all=True)
+TURNED = ForestParams(num_features=N, num_classes=q.CLASSES, num_trees=4, depths=3, rotation=True, num_rotations=2)
+TURNED_GRID = ForestParams(num_features=N, num_classes=q.CLASSES, num_trees=(2, 4), depths=(3,), bin_numbers=(8, 16), epsilon=0.0, model_selection=True, rotation=True, num_rotations=2)
 SCORES = "forest int, bins int, multiplier double, trees int, depth int, accuracy double"
 
 
+def rotation_forest_votes(spark, d):
+    """An ensemble over two drawn rotations, trained on 70 %, applied to the rest."""
+    s = sa.split(frame(spark, d))
+    return _voted(training.train(s.filter("split = 'train'").drop("split"), TURNED).predict(s.filter("split = 'test'")))
+
+
+def rotated_thresholds(spark, d):
+    """Cut points of turned features."""
+    t = training.fit_thresholds(ro.rotated(core4(spark, d).withColumn("features", F.transform("features", lambda v: F.floor(v).cast("double"))), np.array(TURN) * 2), q.BINS, 4, sample=False)
+    return spark.createDataFrame([(f, k, v) for f, x in t.items() for k, v in enumerate(x)], "feature int, pos int, threshold double")
+
+
 def _selected(spark, d, test: bool = False) -> training.Selection:
     s = sa.split(frame(spark, d), (0.6, 0.2, 0.2), ("train", "check", "test")).persist()
     part = {x: s.filter(F.col("split") == x).drop("split") for x in ("train", "check", "test")}
@@ -176,14 +190,13 @@ def best_model(spark, d):
 def rotation_selection(spark, d):
     """A grid of ensembles over two rotations: scores on the check part."""
     s = sa.split(frame(spark, d), (0.6, 0.2, 0.2), ("train", "check", "test")).persist()
-    p = ForestParams(num_features=N, num_classes=q.CLASSES, num_trees=(2, 4), depths=(3,), bin_numbers=(8, 16), model_selection=True, rotation=True, num_rotations=2)
-    got = training.select_model(s.filter("split = 'train'").drop("split"), s.filter("split = 'check'").drop("split"), p)
+    got = training.select_model(s.filter("split = 'train'").drop("split"), s.filter("split = 'check'").drop("split"), TURNED_GRID)
     return spark.createDataFrame([tuple(x.values()) for x in got.scores], SCORES)
 
 
 _FUNCS = (
     grow_missing, predict_missing, predict_missing_compiled, tree_dump, grow_resumed, grow_switched, open_nodes, merged_trees, model_round_trip, rotated_votes,
-    standard_forest, train_from_file, grid_scores, selection_tests, prune_configs, best_model, rotation_selection,
+    standard_forest, rotation_forest_votes, rotated_thresholds, train_from_file, grid_scores, selection_tests, prune_configs, best_model, rotation_selection,
 )
 QUERIES = {f.__name__: f for f in _FUNCS}
 
@@ -204,13 +217,31 @@ def _standard(tail: str) -> str:
 def _grid(part: str) -> str:
     """Accuracy of every forest of the grid, at each depth and number of trees, on the rows of a part."""
     fit, out = f"{_TRAIN} < 0.6", []
-    won = "case " + " ".join(f"when v{c} = greatest(v0, v1, v2) then {c}" for c in range(q.CLASSES)) + " end"
-    votes = ", ".join(f"sum(case when n.label = {c} then 1 else 0 end) as v{c}" for c in range(q.CLASSES))
-    ends = " union all ".join(f"select row_id, label, tree, node, {x} as depth from p{x}" for x in GRID.depths)
     for f, b, m in GRID.grid():
         chain = ", ".join([q.forest(q.ALL, max(GRID.depths), {1.0: 3, 2.0: 6}[m], max(GRID.num_trees), fit, _cuts(fit), max(GRID.bin_numbers), b, f), q.walked(max(GRID.depths), part)])
-        chain += f", ends as ({ends}), votes as (select e.row_id, e.label, depth, trees, {votes} from ends e join nodes n on n.tree = e.tree and n.node = e.node, (select unnest([{', '.join(map(str, GRID.num_trees))}]) as trees) where e.tree < trees group by e.row_id, e.label, depth, trees)"
-        out.append(f"select {f} as forest, {b} as bins, cast({m} as double) as multiplier, cast(trees as int) as trees, cast(depth as int) as depth, round(avg(case when label = {won} then 1.0 else 0.0 end), 6) as accuracy from (with {chain} select * from votes) group by trees, depth")
+        chain += ", " + q.ends(GRID.depths, GRID.num_trees)
+        out.append(f"select {f} as forest, {b} as bins, cast({m} as double) as multiplier, cast(trees as int) as trees, cast(depth as int) as depth, round(avg(case when label = {q.winner()} then 1.0 else 0.0 end), 6) as accuracy from (with {chain} select * from votes) group by trees, depth")
+    return " union all ".join(out)
+
+
+def _turned_votes(fit: str, part: str, bins: int, coarse: int | None, number: int, counts: tuple[int, ...], most: int) -> str:
+    """row_id, label, trees, v0.. of the rotations together; ``counts`` trees in all, ``most`` trees set the numbers of each rotation's trees."""
+    out = []
+    for r in range(TURNED.num_rotations):
+        matrix = ro.rotation_matrix(N, TURNED.rotation_seed + r).tolist()
+        own = [ro.trees_per_rotation(n, TURNED.num_rotations)[r] for n in counts]
+        bags = f"bags as (select row_id, cast(t as int) as tree, 1 as w from (select row_id from frame where {fit}), (select unnest(range({max(own)})) as t))"
+        chain = [q.turned(matrix, fit), q.long(q.ALL), q.thresholds(bins, q.ALL, _cuts(fit)), q.binned([], coarse), bags, q.grown(3, N, 3, max(own), number, r * most), q.walked(3, part), q.ends((3,), tuple(own))]
+        pick = " ".join(f"when {o} then {n}" for o, n in zip(own, counts, strict=True))
+        out.append(f"select row_id, label, case trees {pick} end as trees, v0, v1, v2 from (with {', '.join(chain)} select * from votes)")
+    return "select row_id, label, trees, cast(sum(v0) as int) as v0, cast(sum(v1) as int) as v1, cast(sum(v2) as int) as v2 from (" + " union all ".join(out) + ") group by row_id, label, trees"
+
+
+def _turned_grid() -> str:
+    fit, out = f"{_TRAIN} < 0.6", []
+    for f, b, m in TURNED_GRID.grid():
+        votes = _turned_votes(fit, _CHECK, max(TURNED_GRID.bin_numbers), b, f, TURNED_GRID.num_trees, max(TURNED_GRID.num_trees))
+        out.append(f"select {f} as forest, {b} as bins, cast({m} as double) as multiplier, cast(trees as int) as trees, 3 as depth, round(avg(case when label = {q.winner()} then 1.0 else 0.0 end), 6) as accuracy from ({votes}) group by trees")
     return " union all ".join(out)
 
 
@@ -230,6 +261,9 @@ SQL = {
     "model_round_trip": q.core4(3, 2, _D3, _VOTES_SQL),
     "rotated_votes": _ROTATED + " " + _VOTES_SQL,
     "standard_forest": _standard(" " + _VOTES_SQL),
+    "rotation_forest_votes": f"select row_id, v0, v1, v2, cast({q.winner()} as int) as predicted from ({_turned_votes(f'{_TRAIN} < 0.7', f'not ({_TRAIN} < 0.7)', 32, None, 0, (4,), 4)})",
+    "rotation_selection": _turned_grid(),
+    "rotated_thresholds": "with " + ", ".join([_TURNED, q.long([0, 1, 2, 3]), q.thresholds(q.BINS, [0, 1, 2, 3])]) + " select feature, cast(row_number() over (partition by feature order by threshold) - 1 as int) as pos, threshold from thr",
     "train_from_file": _standard(" select count(*) as n_test, round(avg(case when label = predicted then 1.0 else 0.0 end), 6) as accuracy from won"),
     "grid_scores": _grid(_CHECK),
     "selection_tests": _grid(_TEST),

@@ -163,7 +163,7 @@ def save_trained(spark: SparkSession, t, path: str) -> None:
         d = m.table(spark).withColumn("part", F.lit(r))
         nodes = d if nodes is None else nodes.unionByName(d)
     nodes.coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
-    meta = {"classes": t.classes, "forest": t.forest, "max_depth": t.max_depth, "max_trees": t.max_trees, "rotations": {r: m.tolist() for r, m in t.rotations.items()}, "spans": t.spans}
+    meta = {"classes": t.classes, "forest": t.forest, "max_depth": t.max_depth, "max_trees": t.max_trees, "rotations": {r: m.tolist() for r, m in t.rotations.items()}, "spans": t.spans, "dealt_over": t.dealt_over}
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
@@ -178,4 +178,4 @@ def load_trained(spark: SparkSession, path: str):
     parts = {int(r): model_of(nodes.filter(F.col("part") == int(r))) for r in meta["rotations"]}
     spans = {int(f): tuple(x) for f, x in meta["spans"].items()}
     model = Model() if parts else model_of(nodes)
-    return Trained(model, meta["classes"], meta["forest"], meta["max_depth"], meta["max_trees"], {int(r): np.array(m) for r, m in meta["rotations"].items()}, spans, parts)
+    return Trained(model, meta["classes"], meta["forest"], meta["max_depth"], meta["max_trees"], {int(r): np.array(m) for r, m in meta["rotations"].items()}, spans, parts, meta["dealt_over"])

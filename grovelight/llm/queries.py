@@ -195,7 +195,34 @@ with r as (select row_id, split_name, source, list_transform(features, lambda x:
            from r t, r e where t.split_name = 'train' and e.split_name <> 'train'),
      g as (select * from p where list_sum(same) >= 20)
 """
+_PLAIN = "text"
+for _entity, _sign in (("amp", "&"), ("lt", "<"), ("gt", ">"), ("nbsp", " "), ("quot", '"')):
+    _PLAIN = f"replace({_PLAIN}, '&{_entity};', '{_sign}')"
+_PLAIN = f"regexp_replace({_PLAIN}, '</?(?:b|i|u|s|em|strong|span|a|font|sup|sub|small|big|mark|wbr|code|tt)(?:\\s[^<>]*)?/?>', '', 'gi')"
+_PLAIN = f"regexp_replace({_PLAIN}, '<!--.*?-->|</?[a-zA-Z!?][^<>]*>', ' ', 'gs')"
+_PLAIN = f"regexp_replace({_PLAIN}, '[\u00ad\u200b\u200c\u200d\u2060\ufeff]', '', 'g')"
+_WORDS = f"regexp_extract_all(lower({_PLAIN}), '[\\p{{L}}\\p{{N}}]+')"
+#: Pairs by the rule itself. Items have at most 120 words, so that a set of their words fits a whole number of 128 bits.
+_LEAKED = f"""
+with i as (select item_id, w, len(w) as n, cast(ceil(len(w) * 2 / 3.0) as bigint) as least, cast(floor(len(w) * 1.5) as bigint) as width, (cast(1 as hugeint) << len(w)) - 1 as whole
+           from (select item_id, {_WORDS} as w from (select item_id, item_text as text from eval_items))),
+     d as (select doc_id, w from (select doc_id, {_WORDS} as w from documents)),
+     ir as (select distinct item_id, array_to_string(w[k:k + 11], ' ') as run from (select item_id, w, unnest(range(1, n - 10)) as k from i)),
+     dr as (select distinct doc_id, array_to_string(w[k:k + 11], ' ') as run from (select doc_id, w, unnest(range(1, len(w) - 10)) as k from d)),
+     passages as (select distinct item_id, doc_id from ir join dr on dr.run = ir.run),
+     iw as (select item_id, w, k, row_number() over (partition by item_id, w order by k) as r from (select item_id, unnest(w) as w, unnest(range(n)) as k from i)),
+     dw as (select doc_id, w, p, row_number() over (partition by doc_id, w order by p) as r from (select doc_id, unnest(w) as w, unnest(range(len(w))) as p from d) where w in (select w from iw)),
+     c as (select item_id, doc_id, count(*) as common from iw join dw on dw.w = iw.w and dw.r = iw.r group by item_id, doc_id),
+     near as (select c.item_id, c.doc_id from c join i on i.item_id = c.item_id where common >= least),
+     m as (select item_id, w, cast(sum(cast(1 as hugeint) << k) as hugeint) as bits from iw group by item_id, w),
+     l as (select near.item_id, near.doc_id, list(p order by p) as ps, list(bits order by p) as ms from near join m on m.item_id = near.item_id join dw on dw.doc_id = near.doc_id and dw.w = m.w group by near.item_id, near.doc_id),
+     s as (select l.item_id, doc_id, least, n, whole, ms[j:j + len(list_filter(ps, lambda p: p >= ps[j] and p < ps[j] + width)) - 1] as seq from (select *, unnest(range(1, len(ps) + 1)) as j from l) l join i on i.item_id = l.item_id),
+     e as (select distinct item_id, doc_id from s where len(seq) >= least and n - bit_count(list_reduce(seq, lambda row, b: ((row + (row & b)) | (row - (row & b))) & whole, whole)) >= least),
+     leaked as (select * from passages union select * from e)
+"""
 SQL = {
+    "p6_found": _LEAKED + "select item_id, doc_id from leaked",
+    "p6_report": _LEAKED + "select suite, held_split, source, count(distinct item_id) as n_items, count(distinct doc_id) as n_docs from leaked join documents using (doc_id) join eval_items using (item_id) group by suite, held_split, source",
     "p1_found": _USABLE + "select plan_id, label_id from t where available < min_rows or available < wanted",
     "p1_report": _ALLOCATED + "select *, round(case when sample_rows > 0 then drawn * 1.0 / sample_rows else 0.0 end, 6) as reached_share from r",
     "p1_sample": _ALLOCATED + "select plan_id, label_id, row_id from s",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,30 +31,60 @@ def value_counts(long: DataFrame) -> DataFrame:
     return long.filter("value is not null and not isnan(value)").groupBy("feature", "value").agg(F.count("*").alias("n"))
 
 
-def thresholds_by_distribution(counts: DataFrame, bins: int) -> DataFrame:
+def thresholds_by_distribution(counts: DataFrame, bins: int, buckets: int | None = None) -> DataFrame:
     """feature, thresholds: cuts of about equal mass.
 
     Few distinct values: all of them but the largest. Else values are met in order, and the value before
     one is a cut when the next target (a multiple of n / bins) is nearer to the running count before
     it; each value can meet one target only. With K_i targets below the midpoint of the running counts
     around value i, the cuts made up to it number i + min(0, min over j <= i of K_j - j): a running
-    minimum instead of a fold, so no list of a feature's values is ever put together. ``counts`` comes
-    from a sample of bounded size (see sampling.threshold_sample) where the data are large.
+    minimum instead of a fold. A feature's values are ordered in ``buckets`` ranges of their own (one
+    per 100,000 values of ``counts`` where not given); counts and minimums of ranges carry the rest, so
+    no task orders all values of a feature. ``counts`` is read several times: see sources.tables.cut.
     """
-    w = Window.partitionBy("feature")
-    o = w.orderBy("value")
-    c = counts.withColumn("total", F.sum("n").over(w)).withColumn("distinct_values", F.count("*").over(w)).withColumn("largest", F.max("value").over(w))
-    c = c.withColumn("upto", F.sum("n").over(o)).withColumn("before", F.lag("value").over(o)).withColumn("i", F.row_number().over(o) - 1)
+    if buckets is None:
+        buckets = max(1, math.ceil(counts.count() / 100_000))
+    c = _ordered(counts, buckets)
     few = c.filter((F.col("distinct_values") <= bins) & (F.col("value") < F.col("largest"))).select("feature", F.col("value").alias("threshold"))
     # targets t = k * total / bins with 2t < count before + count after
     met = F.ceil((2 * F.col("upto") - F.col("n")) * bins / (2.0 * F.col("total"))) - 1
     many = c.filter((F.col("distinct_values") > bins) & (F.col("i") > 0)).withColumn("slack", met - F.col("i"))
-    many = many.withColumn("made", F.col("i") + F.least(F.lit(0), F.min("slack").over(o))).withColumn("had", F.coalesce(F.lag("made").over(o), F.lit(0)))
-    cuts = many.filter("made > had").select("feature", F.col("before").alias("threshold"))
+    here = Window.partitionBy("feature", "bucket").orderBy("value")
+    many = many.withColumn("least", F.min("slack").over(here)).withColumn("least_before", F.lag("least").over(here))
+    if buckets > 1:
+        each = many.groupBy("feature", "bucket").agg(F.min("slack").alias("m"))
+        prior = F.min("m").over(Window.partitionBy("feature").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))  # at most ``buckets`` rows
+        each = each.select("feature", "bucket", prior.alias("prior"))
+        many = many.join(each, ["feature", "bucket"]).withColumn("least", F.least("least", "prior")).withColumn("least_before", F.least("least_before", "prior"))
+    made = F.col("i") + F.least(F.lit(0), "least")
+    had = F.when(F.col("i") == 1, 0).otherwise(F.col("i") - 1 + F.least(F.lit(0), "least_before"))
+    cuts = many.filter(made > had).select("feature", F.col("before").alias("threshold"))
     per = few.unionByName(cuts).groupBy("feature").agg(F.array_sort(F.collect_set("threshold")).alias("thresholds"))  # at most `bins` each
     return counts.select("feature").distinct().join(per, "feature", "left").select("feature", F.coalesce("thresholds", F.array().cast("array<double>")).alias("thresholds"))
 
 
+def _ordered(counts: DataFrame, buckets: int) -> DataFrame:
+    """``counts`` with bucket, total, distinct_values, largest of the feature; i (place from 0), upto (running count), before (the value before)."""
+    if buckets == 1:
+        w = Window.partitionBy("feature")
+        o = w.orderBy("value")
+        c = counts.withColumn("bucket", F.lit(0)).withColumn("total", F.sum("n").over(w)).withColumn("distinct_values", F.count("*").over(w)).withColumn("largest", F.max("value").over(w))
+        return c.withColumn("upto", F.sum("n").over(o)).withColumn("before", F.lag("value").over(o)).withColumn("i", F.row_number().over(o) - 1)
+    share = F.array(*[F.lit(k / buckets) for k in range(1, buckets)])
+    bounds = counts.groupBy("feature").agg(F.percentile_approx("value", share, 10_000).alias("bounds"))
+    c = counts.join(bounds, "feature").withColumn("bucket", F.size(F.filter("bounds", lambda x: x < F.col("value")))).drop("bounds")
+    each = c.groupBy("feature", "bucket").agg(F.sum("n").alias("bn"), F.count("*").alias("bd"), F.max("value").alias("top"))
+    w = Window.partitionBy("feature")  # at most ``buckets`` rows
+    o = w.orderBy("bucket")
+    each = each.select(
+        "feature", "bucket", F.sum("bn").over(w).alias("total"), F.sum("bd").over(w).alias("distinct_values"), F.max("top").over(w).alias("largest"),
+        (F.sum("bn").over(o) - F.col("bn")).alias("n_before"), (F.sum("bd").over(o) - F.col("bd")).alias("i_before"), F.lag("top").over(o).alias("top_before"),
+    )
+    here = Window.partitionBy("feature", "bucket").orderBy("value")
+    c = c.join(each, ["feature", "bucket"])
+    return c.withColumn("upto", F.col("n_before") + F.sum("n").over(here)).withColumn("before", F.coalesce(F.lag("value").over(here), "top_before")).withColumn("i", F.col("i_before") + F.row_number().over(here) - 1)
+
+
 def fractions(bins: int, seed: int = 0) -> list[float]:
     return sorted(uniform_py(k, 5, seed) for k in range(1, bins))
 

@@ -19,7 +19,7 @@ from grovelight.operators.local_growth import finish_locally
 from grovelight.params import ForestParams, features_per_node
 from grovelight.plans import forest_sql as q
 from grovelight.sources import formats
-from grovelight.sources.tables import table
+from grovelight.sources.tables import cut, table
 
 N = 7
 NAMES = ["total_price", "acct_bal", "sum_qty", "avg_disc", "n_lines", "priority", "segment"]
@@ -93,7 +93,7 @@ def distinct_value_counts(spark, d):
 
 
 def _thresholds(spark, d, bins):
-    return dz.thresholds_by_distribution(dz.value_counts(dz.to_long(frame(spark, d)).filter("feature < 5")), bins)
+    return dz.thresholds_by_distribution(cut(dz.value_counts(dz.to_long(frame(spark, d)).filter("feature < 5"))), bins)
 
 
 def thresholds_distribution(spark, d):

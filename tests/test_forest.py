@@ -44,6 +44,13 @@ def test_shrink_tables(spark):
     assert table([0, 1, 5], 5, 8) == [0, 1, 5]
     assert table([0, 1, 2, 3, 16, 31, 32], 32, 16) == [0, 1, 1, 1, 8, 15, 16]
     assert column(spark, dz.deshrink(F.col("b"), F.lit(32), F.lit(16)), b=[1, 2, 16]) == [2, 4, 32]
+    # fixed values: bins beyond the range, and features of 4, 8 and 7 thresholds folded into 8 bins
+    assert table([0, -1, 32, 33, 100], 32, 16) == [0, 1, 16, 16, 16]
+    assert table([5, 4, 1, 0], 5, 8) == [5, 4, 1, 0]
+    assert table([0, -1, 32, 33, 100], 9, 8) == [0, 1, 8, 8, 8]
+    assert table([8, 7, 6, 2, 1], 8, 8) == [8, 7, 6, 2, 1]
+    assert column(spark, dz.deshrink(F.col("b"), F.lit(32), F.lit(16)), b=[0, 32, 33, 100]) == [0, 32, 32, 32]
+    assert column(spark, dz.deshrink(F.col("b"), F.lit(9), F.lit(8)), b=[0, 32, 33, 100]) == [0, 9, 9, 9]
 
 
 def walk(values, bins):
@@ -67,8 +74,9 @@ def test_thresholds_follow_the_walk(spark, seed):
     r = random.Random(seed)
     data = {f: [float(r.choice([1, 1, 1, 2, 50, r.randrange(60), r.randrange(400)])) for _ in range(r.randrange(1, 300))] for f in range(4)}
     long = spark.createDataFrame([(f, v) for f, x in data.items() for v in x] + [(0, None), (9, 1.0)], "feature int, value double")
-    for bins in (2, 5, 8):
-        got = {r.feature: r.thresholds for r in dz.thresholds_by_distribution(dz.value_counts(long), bins).collect()}
+    counts = dz.value_counts(long).cache()
+    for bins, buckets in ((2, None), (5, 7), (8, 3)):
+        got = {r.feature: r.thresholds for r in dz.thresholds_by_distribution(counts, bins, buckets).collect()}
         assert got == {**{f: walk(x, bins) for f, x in data.items()}, 9: []}
 
 

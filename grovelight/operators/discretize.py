@@ -39,11 +39,11 @@ def thresholds_by_distribution(counts: DataFrame, bins: int, buckets: int | None
     it; each value can meet one target only. With K_i targets below the midpoint of the running counts
     around value i, the cuts made up to it number i + min(0, min over j <= i of K_j - j): a running
     minimum instead of a fold. A feature's values are ordered in ``buckets`` ranges of their own (one
-    per 100,000 values of ``counts`` where not given); counts and minimums of ranges carry the rest, so
+    per million values of ``counts`` where not given); counts and minimums of ranges carry the rest, so
     no task orders all values of a feature. ``counts`` is read several times: see sources.tables.cut.
     """
     if buckets is None:
-        buckets = max(1, math.ceil(counts.count() / 100_000))
+        buckets = max(1, math.ceil(counts.count() / 1_000_000))
     c = _ordered(counts, buckets)
     few = c.filter((F.col("distinct_values") <= bins) & (F.col("value") < F.col("largest"))).select("feature", F.col("value").alias("threshold"))
     # targets t = k * total / bins with 2t < count before + count after

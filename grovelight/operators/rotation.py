@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grovelight.operators.level import dense
+from grovelight.sources.tables import maybe_broadcast
 
 
 DIGITS = 9
@@ -21,7 +22,7 @@ def minmax(long: DataFrame) -> DataFrame:
 def scaled(long: DataFrame, spans: DataFrame) -> DataFrame:
     """row_id, feature, value in [0, 1]; a constant feature and a missing value give 0."""
     v = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("value") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))))
-    return long.join(F.broadcast(spans), "feature", "left").select("row_id", "feature", F.coalesce(F.when(F.col("value").isNull() | F.isnan("value"), None).otherwise(v), F.lit(0.0)).alias("value"))  # one row per feature
+    return long.join(maybe_broadcast(spans, 1_000_000), "feature", "left").select("row_id", "feature", F.coalesce(F.when(F.col("value").isNull() | F.isnan("value"), None).otherwise(v), F.lit(0.0)).alias("value"))  # one row per feature
 
 
 def scale_arrays(df: DataFrame, spans: dict[int, tuple[float, float]], features: str = "features") -> DataFrame:

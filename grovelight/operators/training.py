@@ -265,7 +265,9 @@ def select_model(df: DataFrame, check: DataFrame, params: ForestParams, test: Da
     tests = []
     if test is not None and p.test_all:
         grown = sorted({(s["forest"], s["bins"], s["multiplier"], s["trees"], s["depth"]) for s in scores})
-        got = accuracies([assembled(parts, p, spans, f, depth, n) for f, _, _, n, depth in grown], usable(test).persist())
+        tested = usable(test).persist(StorageLevel.MEMORY_AND_DISK)
+        got = accuracies([assembled(parts, p, spans, f, depth, n) for f, _, _, n, depth in grown], tested)
+        tested.unpersist()
         tests = [{"forest": f, "bins": b, "multiplier": m, "trees": n, "depth": depth, "accuracy": a} for (f, b, m, n, depth), a in zip(grown, got, strict=True)]
     for x in parts:
         x.close()

@@ -181,13 +181,13 @@ def by_tree(keys: Sequence[Key]) -> dict[tuple[int, int], np.ndarray]:
     return {k: np.array(sorted(v), np.int64) for k, v in out.items()}
 
 
-def passes(shape: Shape, keys: Sequence[Key], memory: int) -> list[list[Key]]:
-    """Open nodes in groups whose histograms fit ``memory`` bytes in a task."""
+def passes(shape: Shape, keys: Sequence[Key], memory: int, most: int = -1) -> list[list[Key]]:
+    """Open nodes in groups whose histograms fit ``memory`` bytes in a task, of at most ``most`` nodes if that is given."""
     out: list[list[Key]] = [[]]
     used = 0
     for k in sorted(keys):
         size = 8 * space(shape, k[0]).cells
-        if out[-1] and used + size > memory:
+        if out[-1] and (used + size > memory or 0 < most <= len(out[-1])):
             out.append([])
             used = 0
         out[-1].append(k)
@@ -254,15 +254,15 @@ def rows_at_nodes(rows: DataFrame, model: Model, shape: Shape, trees: Sequence[i
     return found.groupBy("forest", "tree", "node").agg(F.sum("n_rows").alias("n_rows"), F.sum("weight").alias("weight"))
 
 
-def level_splits(rows: DataFrame, model: Model, shape: Shape, trees: Sequence[int], keys: Sequence[Key], memory: int = 64 << 20) -> list[dict]:
+def level_splits(rows: DataFrame, model: Model, shape: Shape, trees: Sequence[int], keys: Sequence[Key], memory: int = 64 << 20, most: int = -1) -> list[dict]:
     """The best split of every open node that has rows: one row per node comes to the driver, as part of the model."""
     out: list[dict] = []
-    for group in passes(shape, keys, memory):
+    for group in passes(shape, keys, memory, most):
         out += level_histograms(rows, model, shape, trees, group).mapInArrow(pick(shape), BEST_DDL).toArrow().to_pylist()
     return sorted(out, key=lambda s: (s["forest"], s["tree"], s["node"]))
 
 
-def grow(rows: DataFrame, shape: Shape, trees: Sequence[int], frontier: Sequence[Key], max_depth: int, model: Model | None = None, min_depth: int = 0, keep: Callable[[dict, int], bool] | None = None, memory: int = 64 << 20) -> tuple[Model, list[Key]]:
+def grow(rows: DataFrame, shape: Shape, trees: Sequence[int], frontier: Sequence[Key], max_depth: int, model: Model | None = None, min_depth: int = 0, keep: Callable[[dict, int], bool] | None = None, memory: int = 64 << 20, most: int = -1) -> tuple[Model, list[Key]]:
     """The grown model and the open nodes that were set aside: those for which ``keep(node, depth)`` is false."""
     model = model or Model()
     todo, aside, depth = list(frontier), [], min_depth
@@ -274,6 +274,6 @@ def grow(rows: DataFrame, shape: Shape, trees: Sequence[int], frontier: Sequence
             if not todo:
                 break
         # a child of a missing-value test may lie two levels down: it is worked on with the next level all the same
-        todo = [k for s in level_splits(rows, model, shape, trees, todo, memory) for k in apply_split(model, shape, s, max_depth)]
+        todo = [k for s in level_splits(rows, model, shape, trees, todo, memory, most) for k in apply_split(model, shape, s, max_depth)]
         depth += 1
     return model, aside

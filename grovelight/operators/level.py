@@ -236,15 +236,17 @@ def rows_of(b: pa.RecordBatch, shape: Shape, trees: int) -> tuple[np.ndarray, np
 # ---- values to bins, bags
 
 
-def bin_of(values: np.ndarray, thresholds: np.ndarray | list[float], categorical: bool) -> np.ndarray:
-    """0 for a missing value; a category + 1; else 1 + the number of thresholds below the value."""
+def bin_of(values: np.ndarray, thresholds: np.ndarray | list[float], categories: int = 0) -> np.ndarray:
+    """0 for a missing value; a category + 1 (one outside 0..categories-1 counts as missing); else 1 + the number of thresholds below the value."""
     gone = np.isnan(values)
-    out = np.where(gone, 0, values).astype(np.int64) + 1 if categorical else np.searchsorted(np.asarray(thresholds, np.float64), values, side="left") + 1
-    return np.where(gone, 0, out)
+    if categories:
+        gone |= ~((values > -1) & (values < categories))
+        return np.where(gone, -1, np.where(gone, 0, values).astype(np.int64)) + 1
+    return np.where(gone, 0, np.searchsorted(np.asarray(thresholds, np.float64), values, side="left") + 1)
 
 
 def zero_bins(shape: Shape) -> np.ndarray:
-    return np.array([int(bin_of(np.zeros(1), shape.thresholds[f], f in shape.categorical)[0]) for f in range(shape.features)], np.int64)
+    return np.array([int(bin_of(np.zeros(1), shape.thresholds[f], shape.categorical.get(f, 0))[0]) for f in range(shape.features)], np.int64)
 
 
 def bag_weights(ids: np.ndarray, trees: Sequence[int], mean: float | None, seed: int) -> np.ndarray:
@@ -270,7 +272,7 @@ def prepare(shape: Shape, trees: Sequence[int], mean: float | None, seed: int):
                 x = dense(b.column(2), shape.features)
                 bins = np.empty(x.shape, np.int16)
                 for f in range(shape.features):
-                    bins[:, f] = bin_of(x[:, f], shape.thresholds[f], f in shape.categorical)
+                    bins[:, f] = bin_of(x[:, f], shape.thresholds[f], shape.categorical.get(f, 0))
                 yield pa.RecordBatch.from_arrays([b.column(1), _list(bins.ravel(), np.arange(n + 1) * shape.features, pa.int16()), bags], ["label", "bins", "weights"])
                 continue
             lens = b.column(2).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -283,7 +285,7 @@ def prepare(shape: Shape, trees: Sequence[int], mean: float | None, seed: int):
             for part in np.split(order, np.flatnonzero(np.diff(idx[order])) + 1):
                 if len(part):
                     f = int(idx[part[0]])
-                    bins[part] = bin_of(val[part], shape.thresholds[f], f in shape.categorical)
+                    bins[part] = bin_of(val[part], shape.thresholds[f], shape.categorical.get(f, 0))
             ends = np.r_[0, np.cumsum(lens)]
             yield pa.RecordBatch.from_arrays([b.column(1), _list(bins, ends, pa.int16()), bags, _list(idx.astype(np.int32), ends, pa.int32())], ["label", "bins", "weights", "idx"])
 

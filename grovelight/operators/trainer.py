@@ -22,7 +22,7 @@ class Report:
     """What a run came to: the model, accuracy on the test part, seconds of each step, scores of model selection."""
 
     model: Trained
-    accuracy: float
+    accuracy: float | None  # None where it was not asked for, or without test rows
     n_test: int
     seconds: dict[str, float]
     scores: list[dict] = field(default_factory=list)
@@ -44,6 +44,8 @@ class Trainer:
     def load(self) -> DataFrame:
         """row_id, label, features (idx, val where sparse working data are wanted) of the data set; row_id is a hash of the record where the file has none."""
         p = self.params
+        if p.num_features <= 0:
+            p = self.params = p.with_features(formats.count_features(self.spark, p.dataset, p.file_type))
         arity, remap = p.category_specs()
         kind = "SPARSE" if p.sparse and p.file_type.upper() in ("LIBSVM", "SVM") else p.file_type
         d = formats.read(self.spark, p.dataset, kind, p.num_features, remap, arity)
@@ -63,6 +65,7 @@ class Trainer:
             began = time.time()
 
         rows = self.load()
+        p = self.params
         shares, names = ((0.6, 0.2, 0.2), ("train", "check", "test")) if p.model_selection else ((0.7, 0.3), ("train", "test"))
         rows = sa.split(rows, shares, names, p.seed).persist()
         part = {n: rows.filter(F.col("split") == n).drop("split") for n in names}
@@ -75,10 +78,12 @@ class Trainer:
         else:
             model = train(part["train"], p)
         step("train")
-        label = F.greatest(F.col("label"), F.lit(0)).cast("int")
-        got = pr.accuracy(model.predict(part["test"]).withColumn("label", label)).first().accuracy
-        step("test")
-        out = Report(model, got or 0.0, n_test, took, scores, tests, model.dump() if p.output_tree else "")
+        got = None
+        if not p.skip_accuracy:
+            label = F.greatest(F.col("label"), F.lit(0)).cast("int")
+            got = pr.accuracy(model.predict(part["test"]).withColumn("label", label)).first().accuracy
+            step("test")
+        out = Report(model, got, n_test, took, scores, tests, model.dump() if p.output_tree else "")
         rows.unpersist()
         if p.output:
             self.write(out)

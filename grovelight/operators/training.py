@@ -95,7 +95,7 @@ def stays_distributed(p: ForestParams, rows: int) -> Callable[[dict, int], bool]
 
 def grow_to(rows: DataFrame, n: int, p: ForestParams, shape: Shape, trees: Sequence[int], frontier: Sequence[Key], depth: int, model: Model | None = None, min_depth: int = 0) -> Model:
     """Level by level while nodes are large, then sub-trees inside tasks. rows: see growth.prepared; n: their number."""
-    model, aside = grow(rows, shape, trees, frontier, depth, model, min_depth, stays_distributed(p, n))
+    model, aside = grow(rows, shape, trees, frontier, depth, model, min_depth, stays_distributed(p, n), most=p.max_nodes)
     return finish_locally(rows, shape, trees, aside, depth, model)
 
 

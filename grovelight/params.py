@@ -16,6 +16,7 @@ FILE_KEYS = {
     "rotation": "rotation", "numRotation": "num_rotations", "rotationRandomSeed": "rotation_seed", "modelSelection": "model_selection",
     "modelSelectionEpsilon": "epsilon", "modelSelectionEpsilonRemove": "epsilon_remove", "testAll": "test_all", "fcsActive": "local_active",
     "fcsDepth": "local_depth", "fcsActiveForce": "local_force", "outputTree": "output_tree", "logStats": "log_stats", "dataset": "dataset", "fileType": "file_type", "category": "category", "output": "output", "permitSparseWorkingData": "sparse",
+    "skipAccuracy": "skip_accuracy", "maxNodesConcurrent": "max_nodes",
 }
 
 
@@ -44,6 +45,8 @@ class ForestParams:
     local_rows: int = 20_000  # rows of a node that one task may finish
     local_memory: int = 512 << 20  # bytes a task may use for it
     sample_rows: int = 10_000  # rows from which cut points are taken, or bins**2 where that is more
+    max_nodes: int = -1  # open nodes worked on in one pass over the rows; -1: as many as fit a task's memory
+    skip_accuracy: bool = False  # no test after training
     output_tree: bool = False
     log_stats: bool = True
     dataset: str = ""
@@ -74,6 +77,10 @@ class ForestParams:
             return self
         return replace(self, **{n: (max(getattr(self, n)),) for n in ("num_trees", "depths", "bin_numbers", "multipliers")})
 
+    def with_features(self, n: int) -> ForestParams:
+        p = replace(self, num_features=n)
+        return replace(p, categorical=p.category_specs()[0]) if p.category else p
+
     def plain(self) -> ForestParams:
         """For turned points: no categories, and no bags, as each rotation sees all rows."""
         return replace(self, categorical={}, poisson_mean=None)
@@ -153,8 +160,8 @@ def from_file(path: str | Path) -> ForestParams:
             got[name] = int(value) if name == "feature_strategy" and value.isdigit() else value
     if not got.get("dataset"):
         raise ValueError("dataset is required")
-    p = ForestParams(**got)
-    return replace(p, categorical=p.category_specs()[0])
+    got.setdefault("num_features", 0)  # 0: the trainer counts them in the data
+    return ForestParams(**got).with_features(got["num_features"])
 
 
 def parse_arity(spec: str, n: int) -> dict[int, int]:

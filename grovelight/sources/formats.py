@@ -98,6 +98,15 @@ def register_reader(file_type: str, reader: Callable) -> None:
     READERS[file_type.upper()] = reader
 
 
+def count_features(spark: SparkSession, path: str, file_type: str) -> int:
+    """Number of features of a data set: the largest index of LIBSVM lines, the largest number of values before the label of others."""
+    kind = file_type.upper()
+    if kind in ("PARQUET", "CSV", "ARFF"):
+        lines = spark.read.parquet(path).select(F.size("features").alias("n")) if kind == "PARQUET" else record_lines(spark.read.text(path), "#%@" if kind == "ARFF" else "").select((F.size(F.split("value", ",")) - 1).alias("n"))
+        return lines.agg(F.max("n")).first()[0] or 0
+    return feature_count(parse_libsvm(record_lines(spark.read.text(path)))).first()[0] or 0
+
+
 def read(spark: SparkSession, path: str, file_type: str, n: int, remap: dict[int, int] | None = None, categorical: Container[int] | None = None) -> DataFrame:
     """By file type; LIBSVM for an unknown one."""
     return READERS.get(file_type.upper(), read_libsvm)(spark, path, n, remap, categorical)

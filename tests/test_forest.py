@@ -263,6 +263,22 @@ def test_trainer_from_a_file(spark, tmp_path):
     assert again.predict(rows).select("votes").collect() == s.model.predict(rows).select("votes").collect()
 
 
+def test_trainer_counts_features_and_may_skip_the_test(spark, tmp_path):
+    df = sample(spark, 300, missing=0.0)
+    formats.write_libsvm(df, str(tmp_path / "data"))
+    line = F.concat_ws(",", *[F.get("features", F.lit(i)).cast("string") for i in range(3)], F.col("label").cast("string"))
+    df.select(line.alias("value")).write.text(str(tmp_path / "arff"))
+    df.write.parquet(str(tmp_path / "parquet"))
+    for kind, at in (("SVM", "data"), ("ARFF", "arff"), ("CSV", "arff"), ("PARQUET", "parquet")):
+        assert formats.count_features(spark, str(tmp_path / at), kind) == 3
+    f = tmp_path / "run.properties"
+    f.write_text(f"dataset={tmp_path}/data\nnumClasses=3\nnumTrees=3\nmaxDepth=4\nstrategyFeature=all\ncategory=-1:4\nskipAccuracy=true\nmaxNodesConcurrent=2\nfcsActive=false\n")
+    t = Trainer.of_file(spark, f)
+    r = t.run()
+    assert t.params.num_features == 3 and t.params.categorical == {0: 4, 1: 4, 2: 4} and r.accuracy is None and "test" not in r.seconds
+    assert [len(x) for x in passes(Shape(3, {0: [1.0]}, {}, {0: 1}, {0: 8}), [(0, 0, k) for k in range(5)], 1 << 30, 2)] == [2, 2, 1]
+
+
 def test_extension_points(spark):
     pa.register_feature_strategy("half", lambda n: n / 2)
     pa.register_split_strategy("one", lambda long, bins, seed: long.select("feature").distinct().withColumn("thresholds", F.array(F.lit(0.3))))
